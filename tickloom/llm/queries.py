@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, line_dedup, quality, sentence_dedup, simhash, url_filter
+from . import bpe, chat, decontaminate, line_dedup, quality, sentence_dedup, simhash, suffix_dedup, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -105,6 +109,10 @@ FROM b
 """
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -184,6 +192,10 @@ FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id
 """
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate_substrings(table(spark, sf_dir, "documents"), with_kept=False)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -203,10 +215,13 @@ FROM m GROUP BY doc_id
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
+    "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
+    "op5_decontaminate": op5_decontaminate,
     "op6_bpe": op6_bpe,
     "op7_chat": op7_chat,
     "op8_sentence_dedup": op8_sentence_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 SQL: dict[str, str] = {

@@ -227,3 +227,20 @@ def near_duplicates(frame: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return marked.join(least, marked["fp"] == least["node"]).select(
         F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id")
     )
+
+
+def drop_near_duplicates(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = SHINGLE_WORDS) -> DataFrame:
+    """``frame`` with the documents of the least id of each group.
+
+    Rows of one id stay or go together; a row without an id stays if its group
+    has no row with one.
+    """
+    found = near_duplicates(frame, id_col, text_col, distance, shingle)
+    kept = found.where(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select(F.col(f"`{id_col}`").alias("_kept"), F.col("fingerprint").alias("_print")).distinct()
+    with_id = frame.join(kept.select("_kept").where("_kept is not null").distinct(), F.col(f"`{id_col}`") == F.col("_kept"), "left_semi")
+    without = frame.where(F.col(f"`{id_col}`").isNull())
+    if not kept.where("_kept is null").limit(1).count():
+        return with_id
+    prints = fingerprints(without.withColumn("_row", F.col(f"`{text_col}`")).select(F.col("_row").alias("_id"), F.col("_row").alias("_text")), "_id", "_text", shingle)
+    keep = prints.select("_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("_print")).join(kept.where("_kept is null").select("_print"), "_print", "left_semi").select("_id").distinct()
+    return with_id.unionByName(without.join(keep, F.col(f"`{text_col}`").eqNullSafe(F.col("_id")), "left_semi"))
