@@ -36,3 +36,18 @@ def checkpointed(frame: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tickloom-checkpoint-"))
     return frame.checkpoint(eager=True)
+
+
+def join_by_frequency(left: DataFrame, right: DataFrame, keys: list[str], weight: str, most: int = 4096) -> DataFrame:
+    """Inner join of ``left`` with ``right``, a row per key with ``weight``, about its rows on the left.
+
+    Keys of more than a ``most``-th of the total weight are at most ``most``; they
+    are broadcast, so their rows stay where they are.  All other keys shuffle.
+    """
+    right = checkpointed(right)
+    total = right.agg(F.sum(weight).alias("total")).first().total or 0
+    limit = max(16, total // most)
+    hot = F.broadcast(right.where(F.col(weight) > limit))
+    cold = right.where(F.col(weight) <= limit)
+    rest = left.join(hot.select(*keys), keys, "left_anti")
+    return left.join(hot, keys).unionByName(rest.join(cold, keys)).drop(weight)

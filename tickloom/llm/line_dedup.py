@@ -8,7 +8,7 @@ several documents and the least document id of each.
 
 The filters have a fixed size, ``filter_bytes`` each (broadcast), whatever the
 input: on more lines they suspect more, so more lines shuffle, and the result
-stays exact.
+stays exact.  Keys travel as 128-bit digests.
 
 Contract for odd input: a null or empty text is one empty line; keys shorter
 than ``min_chars`` code points are never dropped; rows with one id are one
@@ -28,24 +28,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID
+from .common import LAST_ID, checkpointed, join_by_frequency
 
-BLANK = " \t\n\x0b\x0c\r"
+BLANK = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 10
 FILTER_BYTES = 1 << 22
 #: Bits set for each key, and bytes of a merged piece of a filter.
 PROBES = 4
 PIECE = 1 << 16
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def line_key(line: str) -> str:
-    key = line.strip(BLANK)
-    return key.lower() if key.isascii() else key.translate(_LOWER)
+def line_key(line: bytes, min_chars: int = 0) -> bytes | None:
+    """The key of a UTF-8 line; None if it has fewer than ``min_chars`` code points."""
+    key = line.strip(BLANK).lower()  # on bytes: A-Z only
+    if len(key) < min_chars or len(key) < 4 * min_chars and len(key.decode("utf-8")) < min_chars:
+        return None
+    return key
 
 
-def _hashes(keys: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(k.encode("utf-8")) for k in keys), dtype=np.uint64, count=len(keys))
+def text_keys(text: bytes, min_chars: int) -> list[bytes]:
+    return [key for line in text.split(b"\n") if (key := line_key(line, min_chars)) is not None]
+
+
+def _digests(keys: list[bytes]) -> np.ndarray:
+    """Two 64-bit numbers for each key."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), dtype=np.uint64).reshape(-1, 2)
 
 
 def _bits(hashes: np.ndarray, filter_bytes: int) -> np.ndarray:
@@ -78,7 +85,7 @@ def build_filter(frame: DataFrame, text_col: str, min_chars: int, filter_bytes:
         seen = TwiceSeen(filter_bytes)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
-                seen.add(_hashes([key for text in batch.column(0)[k : k + 512].to_pylist() for line in text.split("\n") if len(key := line_key(line)) >= min_chars]))
+                seen.add(_digests([key for text in batch.column(0)[k : k + 512].to_pylist() for key in text_keys(text, min_chars)])[:, 0])
         once, twice = np.packbits(seen.once).tobytes(), np.packbits(seen.twice).tobytes()
         pieces = [k for k in range(0, filter_bytes, PIECE) if any(once[k : k + PIECE])]
         yield pa.RecordBatch.from_pydict(
@@ -97,7 +104,7 @@ def build_filter(frame: DataFrame, text_col: str, min_chars: int, filter_bytes:
         )
 
     schema = "piece int, once binary, twice binary"
-    parts = frame.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).mapInArrow(scan, schema)
+    parts = frame.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text")).mapInArrow(scan, schema)
     # first within salted groups of tasks, then the groups: no task reads a piece from every task
     salted = parts.withColumn("salt", F.spark_partition_id() % 16).repartition("piece", "salt").drop("salt").mapInArrow(merge, schema)
     whole = salted.repartition("piece").mapInArrow(merge, schema).select("piece", "twice")
@@ -107,8 +114,8 @@ def build_filter(frame: DataFrame, text_col: str, min_chars: int, filter_bytes:
     return bytes(out)
 
 
-def repeated_keys(frame: DataFrame, id_col: str, text_col: str, min_chars: int, filter_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(suspects: key, doc; confirmed: key, first), with ``first`` the least document that holds the key."""
+def lost_keys(frame: DataFrame, id_col: str, text_col: str, min_chars: int, filter_bytes: int) -> DataFrame:
+    """(_doc, _drop): for each document the 128-bit digests of the keys that it loses."""
     spark = frame.sparkSession
     shared = spark.sparkContext.broadcast(build_filter(frame, text_col, min_chars, filter_bytes))
 
@@ -116,41 +123,40 @@ def repeated_keys(frame: DataFrame, id_col: str, text_col: str, min_chars: int,
         twice = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).view(bool)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
-                keys, docs = [], []
-                for doc, text in zip(batch.column(0)[k : k + 512].to_pylist(), batch.column(1)[k : k + 512].to_pylist()):
-                    own = {key for line in text.split("\n") if len(key := line_key(line)) >= min_chars}
-                    keys += own
-                    docs += [doc] * len(own)
-                hit = twice[_bits(_hashes(keys), filter_bytes)].all(axis=1) if keys else np.zeros(0, dtype=bool)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.string()).filter(pa.array(hit)), "doc": pa.array(docs, pa.int64()).filter(pa.array(hit))})
+                own = [set(text_keys(text, min_chars)) for text in batch.column(1)[k : k + 512].to_pylist()]
+                digests = _digests([key for keys in own for key in keys])
+                docs = np.repeat(batch.column(0)[k : k + 512].to_numpy(), [len(keys) for keys in own])
+                hit = twice[_bits(digests[:, 0], filter_bytes)].all(axis=1)
+                both = digests[hit].view(np.int64)
+                yield pa.RecordBatch.from_pydict({"h": pa.array(both[:, 0]), "l": pa.array(both[:, 1]), "doc": pa.array(docs[hit], pa.int64())})
 
-    source = frame.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    found = source.mapInArrow(suspects, "key string, doc long")
-    confirmed = found.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("key", "first")
-    return found, confirmed
+    source = frame.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
+    found = checkpointed(source.mapInArrow(suspects, "h long, l long, doc long"))
+    held = found.groupBy("h", "l").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
+    lost = join_by_frequency(found, held.where("first < last").drop("last"), ["h", "l"], "n").where("doc <> first")
+    return lost.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("h", "l")).alias("_drop"))
 
 
 def _rewrite(frame: DataFrame, id_col: str, text_col: str, min_chars: int, filter_bytes: int) -> DataFrame:
     """``frame`` with _drop: the digests of the keys that its document loses (null: none)."""
-    found, confirmed = repeated_keys(frame, id_col, text_col, min_chars, filter_bytes)
-    # the key as a 128-bit digest: texts of lines need not travel again
-    lost = found.join(confirmed, "key").where("doc <> first").select("doc", F.unhex(F.md5("key")).alias("digest"))
-    lost = lost.groupBy("doc").agg(F.collect_set("digest").alias("_drop"))
-    return frame.withColumn("_doc", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))).join(lost.withColumnRenamed("doc", "_doc"), "_doc", "left").drop("_doc")
+    lost = lost_keys(frame, id_col, text_col, min_chars, filter_bytes)
+    return frame.withColumn("_doc", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))).join(lost, "_doc", "left").drop("_doc")
 
 
-def _kept(text: str, drop: list[bytes] | None, min_chars: int) -> tuple[str, int, int]:
-    lines = text.split("\n")
+def _kept(text: bytes, drop: list[dict] | None, min_chars: int) -> tuple[bytes, int, int]:
     if not drop:
-        return text, len(lines), 0
-    gone = set(drop)
-    stay = [x for x in lines if not (len(key := line_key(x)) >= min_chars and hashlib.md5(key.encode("utf-8")).digest() in gone)]
-    return "\n".join(stay), len(lines), len(lines) - len(stay)
+        return text, text.count(b"\n") + 1, 0
+    lines = text.split(b"\n")
+    gone = {(d["h"], d["l"]) for d in drop}
+    keys = [line_key(line, min_chars) for line in lines]
+    digests = iter(map(tuple, _digests([k for k in keys if k is not None]).view(np.int64).tolist()))
+    stay = [line for line, key in zip(lines, keys) if key is None or next(digests) not in gone]
+    return b"\n".join(stay), len(lines), len(lines) - len(stay)
 
 
 def deduplicate_lines(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, filter_bytes: int = FILTER_BYTES, with_text: bool = True) -> DataFrame:
     """A row per input row: id, n_lines, n_dropped, kept_sha256 and (if ``with_text``) kept_text."""
-    narrow = frame.select(F.col(f"`{id_col}`").alias(id_col), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    narrow = frame.select(F.col(f"`{id_col}`").alias(id_col), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("_text"))
     kind = narrow.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,10 +168,10 @@ def deduplicate_lines(frame: DataFrame, id_col: str = "doc_id", text_col: str =
                     id_col: part.column(id_col),
                     "n_lines": pa.array([r[1] for r in rows], pa.int64()),
                     "n_dropped": pa.array([r[2] for r in rows], pa.int64()),
-                    "kept_sha256": pa.array([hashlib.sha256(r[0].encode("utf-8")).hexdigest() for r in rows], pa.string()),
+                    "kept_sha256": pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string()),
                 }
                 if with_text:
-                    columns["kept_text"] = pa.array([r[0] for r in rows], pa.string())
+                    columns["kept_text"] = pa.array([r[0].decode("utf-8") for r in rows], pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = f"`{id_col}` {kind}, n_lines long, n_dropped long, kept_sha256 string" + (", kept_text string" if with_text else "")
@@ -179,10 +185,8 @@ def drop_repeated_lines(frame: DataFrame, id_col: str = "doc_id", text_col: str
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts = [t if t is None else _kept(t, d, min_chars)[0] for t, d in zip(batch.column(at).to_pylist(), batch.column("_drop").to_pylist())]
+            texts = [t if t is None else _kept(t.encode("utf-8"), d, min_chars)[0].decode("utf-8") for t, d in zip(batch.column(at).to_pylist(), batch.column("_drop").to_pylist())]
             yield batch.set_column(at, text_col, pa.array(texts, pa.string())).drop_columns("_drop")
 
     return joined.mapInArrow(cut, frame.schema)
 
-
-__all__ = ["TwiceSeen", "deduplicate_lines", "drop_repeated_lines", "line_key"]

@@ -30,19 +30,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST_ID
-from .line_dedup import line_key
 
 SPAN = 3
 MIN_WORDS = 12
+_BLANK = " \t\n\x0b\x0c\r"
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _PIECE = re.compile(r"[^.!?\n]+[.!?]*|[.!?]+|\n")
 
 
+def _key(piece: str) -> str:
+    key = piece.strip(_BLANK)
+    return key.lower() if key.isascii() else key.translate(_LOWER)
+
+
 def split_sentences(text: str) -> tuple[list[str], list[int], list[str]]:
     """(pieces, the places of those that are sentences, their keys); joined, the pieces give the text again."""
     pieces = _PIECE.findall(text)
     places, keys = [], []
     for i, piece in enumerate(pieces):
-        if key := line_key(piece):
+        if key := _key(piece):
             places.append(i)
             keys.append(key)
     return pieces, places, keys
