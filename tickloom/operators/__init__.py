@@ -1 +1 @@
-
+"""Analytical operators over ordinary DataFrames."""

@@ -1 +1 @@
-
+"""Registered queries, each with the DuckDB SQL that must give the same rows."""
