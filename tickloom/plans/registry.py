@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tickloom.operators import indicators
 from tickloom.sources import bars
 
-from . import indicator_queries
+from . import candle_queries, indicator_queries
 from .indicator_queries import rounded
 
 
@@ -15,5 +15,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(indicators.compute(bars.bars_daily(spark, sf_dir), "sma", "bollinger", "rsi"))
 
 
-QUERIES = {"flagship": flagship} | indicator_queries.QUERIES
-SQL = dict(indicator_queries.SQL)
+QUERIES = {"flagship": flagship} | indicator_queries.QUERIES | candle_queries.QUERIES
+SQL = indicator_queries.SQL | candle_queries.SQL
