@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID
+from .common import LAST_ID, checkpointed
 from .components import connected_components
 
 SEED = 42
@@ -216,7 +216,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = 2, segment_bits: int
 
 def near_duplicates(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """A row per input row: id, fingerprint (16 hex digits) and component_id, the least id it is linked with."""
-    marked = fingerprints(frame, id_col, text_col, shingle).select(F.col(f"`{id_col}`").alias("_id"), "fp")
+    marked = checkpointed(fingerprints(frame, id_col, text_col, shingle).select(F.col(f"`{id_col}`").alias("_id"), "fp"))
     classes = marked.groupBy("fp").agg(F.min(F.coalesce("_id", F.lit(LAST_ID))).alias("first"))
     # rows that share an id connect their fingerprints
     repeated = marked.where("_id is not null").groupBy("_id").agg(F.min("fp").alias("src"), F.max("fp").alias("top")).where("src <> top")
