@@ -1 +1 @@
-
+"""Bars and recursive indicators over unbounded tables."""
