@@ -72,7 +72,7 @@ def gerber_cov(returns: DataFrame, *, threshold: float = 0.5, annualize: bool =
     """Co-movement beyond +-threshold standard deviations around zero, as a correlation."""
     aligned = tail_aligned(returns)
     sd = F.stddev_samp("ret").over(Window.partitionBy("asset"))
-    signed = aligned.withColumns({"_sd": sd, "_side": F.when(F.col("ret") >= threshold * sd, 1).when(F.col("ret") <= -threshold * sd, -1).otherwise(0)})
+    signed = aligned.withColumns({"_sd": sd, "_side": F.when(F.col("ret") > threshold * sd, 1).when(F.col("ret") < -threshold * sd, -1).otherwise(0)})
     left = signed.select("obs_id", F.col("asset").alias("a"), F.col("_side").alias("sa"), F.col("_sd").alias("da"))
     right = signed.select("obs_id", F.col("asset").alias("b"), F.col("_side").alias("sb"), F.col("_sd").alias("db"))
     both = F.col("sa") * F.col("sb")

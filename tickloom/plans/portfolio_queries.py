@@ -64,7 +64,7 @@ FROM pairs JOIN m ma ON ma.asset = a JOIN m mb ON mb.asset = b, n GROUP BY a, b"
 query(
     "cov_gerber",
     f"""WITH {_P}, d AS (SELECT asset, stddev_samp(ret) AS d FROM p GROUP BY asset),
-s AS (SELECT a, b, da.d AS da, db.d AS db, CASE WHEN xa >= da.d / 2 THEN 1 WHEN xa <= -da.d / 2 THEN -1 ELSE 0 END * CASE WHEN xb >= db.d / 2 THEN 1 WHEN xb <= -db.d / 2 THEN -1 ELSE 0 END AS k
+s AS (SELECT a, b, da.d AS da, db.d AS db, CASE WHEN xa > da.d / 2 THEN 1 WHEN xa < -da.d / 2 THEN -1 ELSE 0 END * CASE WHEN xb > db.d / 2 THEN 1 WHEN xb < -db.d / 2 THEN -1 ELSE 0 END AS k
       FROM pairs JOIN d da ON da.asset = a JOIN d db ON db.asset = b)
 SELECT a::VARCHAR AS i, b::VARCHAR AS j, round(252 * any_value(da * db) * CASE WHEN a = b THEN 1.0 WHEN sum(abs(k)) > 0 THEN sum(k)::DOUBLE / sum(abs(k)) ELSE 0 END, 6) AS value FROM s GROUP BY a, b""",
 )(_panel(covariance.gerber_cov))
