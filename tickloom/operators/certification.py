@@ -148,7 +148,7 @@ def backtest_overfitting(trials: DataFrame, *, n_splits: int = 16, t: str = "t",
     base = trials.select(F.col(t).alias("t"), F.col(trial).alias("trial"), F.col(ret).alias("r"))
     times = base.select("t").distinct().withColumn("block", F.ntile(splits).over(Window.orderBy("t")) - 1)  # one row per date, not per return
     centre = base.groupBy("trial").agg(F.avg("r").alias("c"))
-    stats = base.join(F.broadcast(times), "t").join(F.broadcast(centre), "trial").withColumn("x", F.col("r") - F.col("c"))
+    stats = base.join(times, "t").join(centre, "trial").withColumn("x", F.col("r") - F.col("c"))
     stats = stats.groupBy("block", "trial").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.first("c").alias("c"))
     combos = [(k, b, int(b in chosen)) for k, chosen in enumerate(combinations(range(splits), splits // 2)) for b in range(splits)]
     sides = spark.createDataFrame(combos, "combo int, block int, inside int")

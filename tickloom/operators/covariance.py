@@ -37,8 +37,9 @@ def ledoit_wolf(returns: DataFrame, *, annualize: bool = True, trading_days: int
     w = Window.partitionBy("asset")
     centred = aligned.withColumn("ret", F.col("ret") - F.avg("ret").over(w))
     pairs = pair_moments(centred, F.sum(F.col("xa") ** 2 * F.col("xb") ** 2).alias("q"), F.avg(F.col("xa") * F.col("xb")).alias("s"))
-    sds = pairs.where("a = b").select(F.col("a").alias("k"), F.sqrt("cov").alias("sd"))
-    joined = pairs.join(F.broadcast(sds.withColumnsRenamed({"k": "a", "sd": "sa"})), "a").join(F.broadcast(sds.withColumnsRenamed({"k": "b", "sd": "sb"})), "b")
+    own = F.sqrt(F.max(F.when(F.col("a") == F.col("b"), F.col("cov"))).over(Window.partitionBy("a")))
+    other = F.sqrt(F.max(F.when(F.col("a") == F.col("b"), F.col("cov"))).over(Window.partitionBy("b")))
+    joined = pairs.withColumns({"sa": own, "sb": other})
     joined = joined.withColumn("rho", F.col("cov") / (F.col("sa") * F.col("sb") + EPSILON))
     whole = joined.agg(F.sqrt(F.count(F.lit(1)).cast("double")).alias("assets"), F.sum("rho").alias("rhos"), F.sum(F.when(F.col("a") == F.col("b"), F.col("cov"))).alias("trace"))
     joined = joined.join(F.broadcast(whole))

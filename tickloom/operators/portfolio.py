@@ -338,7 +338,7 @@ def select_non_dominated(returns: DataFrame, *, risk_measure: str = "volatility"
     # equal means: only the least risk of them survives
     tiers = risk.groupBy("m").agg(F.min("risk").alias("risk"))
     front = tiers.withColumn("before", F.min("risk").over(Window.orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, -1))).where("before is null or risk < before")
-    return returns.join(risk.join(F.broadcast(front.select("m", "risk")), ["m", "risk"]).select("asset"), "asset", "left_semi")
+    return returns.join(risk.join(front.select("m", "risk"), ["m", "risk"]).select("asset"), "asset", "left_semi")
 
 
 # ---- cross-validation -----------------------------------------------------

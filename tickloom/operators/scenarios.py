@@ -251,7 +251,7 @@ def posterior_moments(returns: DataFrame, probabilities: DataFrame) -> DataFrame
     """(i, j, mean_i, cov) under scenario probabilities, as one join and one aggregation."""
     rows = returns.join(probabilities.select("obs_id", F.col("probability").alias("q")), "obs_id")
     means = rows.groupBy("asset").agg(F.sum(F.col("q") * F.col("ret")).alias("m"))
-    off = rows.join(F.broadcast(means), "asset").select("obs_id", "asset", "q", (F.col("ret") - F.col("m")).alias("d"), "m")
+    off = rows.join(means, "asset").select("obs_id", "asset", "q", (F.col("ret") - F.col("m")).alias("d"), "m")
     left = off.select("obs_id", "q", F.col("asset").alias("i"), F.col("d").alias("di"), F.col("m").alias("mean_i"))
     right = off.select("obs_id", F.col("asset").alias("j"), F.col("d").alias("dj"))
     return left.join(right, "obs_id").groupBy("i", "j").agg(F.first("mean_i").alias("mean_i"), F.sum(F.col("q") * F.col("di") * F.col("dj")).alias("cov"))
