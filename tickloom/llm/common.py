@@ -41,13 +41,22 @@ def checkpointed(frame: DataFrame) -> DataFrame:
 def join_by_frequency(left: DataFrame, right: DataFrame, keys: list[str], weight: str, most: int = 4096) -> DataFrame:
     """Inner join of ``left`` with ``right``, a row per key with ``weight``, about its rows on the left.
 
-    Keys of more than a ``most``-th of the total weight are at most ``most``; they
-    are broadcast, so their rows stay where they are.  All other keys shuffle.
+    Keys of more than a ``most``-th of the total weight are at most ``most``: they
+    are broadcast, and their rows take a scattered key into the shuffle that joins
+    all other keys, so no task gathers them.  ``left`` is read once.
     """
     right = checkpointed(right)
     total = right.agg(F.sum(weight).alias("total")).first().total or 0
     limit = max(16, total // most)
-    hot = F.broadcast(right.where(F.col(weight) > limit))
-    cold = right.where(F.col(weight) <= limit)
-    rest = left.join(hot.select(*keys), keys, "left_anti")
-    return left.join(hot, keys).unionByName(rest.join(cold, keys)).drop(weight)
+    values = [c for c in right.columns if c not in (*keys, weight)]
+    pack = F.struct(*values)
+    hot = right.where(F.col(weight) > limit).select(*keys, pack.alias("_hot"))
+    cold = right.where(F.col(weight) <= limit).select(*[F.col(k).alias(f"_{k}") for k in keys], pack.alias("_cold"))
+    marked = left.join(F.broadcast(hot), keys, "left")
+    scattered = F.xxhash64(*[c for c in left.columns if c not in keys])
+    marked = marked.withColumns({f"_k{i}": F.when(F.col("_hot").isNotNull(), scattered).otherwise(F.col(k)) for i, k in enumerate(keys)})
+    match = F.col("_hot").isNull()
+    for i, k in enumerate(keys):
+        match = match & (F.col(f"_k{i}") == F.col(f"_{k}"))
+    joined = marked.join(cold, match, "left").withColumn("_found", F.coalesce("_hot", "_cold")).where("_found is not null")
+    return joined.select(*left.columns, *[F.col(f"_found.{v}").alias(v) for v in values])

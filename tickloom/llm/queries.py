@@ -169,18 +169,17 @@ def op8_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_dedup.deduplicate_sentences(table(spark, sf_dir, "documents"), with_text=False)
 
 
-OP8_SQL = r"""
+OP8_SQL = rf"""
 WITH pieces AS (
   SELECT doc_id, i, list[i] AS piece, translate(trim(list[i], E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT doc_id, list, unnest(range(1, len(list) + 1)) AS i
-        FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?]*|[.!?]+|\n') AS list FROM documents))),
-s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, len(regexp_extract_all(key, '[^\s\x0b]+')) AS words FROM pieces WHERE key <> ''),
-runs AS (
-  SELECT doc_id, pos, key || chr(10) || lead(key, 1) OVER w || chr(10) || lead(key, 2) OVER w AS run,
-         words + lead(words, 1) OVER w + lead(words, 2) OVER w AS n
-  FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-ranked AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS k FROM runs WHERE run IS NOT NULL AND n >= 12),
-gone AS (SELECT DISTINCT doc_id, pos + j AS pos FROM ranked, range(0, 3) AS r(j) WHERE k > 1),
+  FROM (SELECT doc_id, list, unnest(range(1, len(list) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{sentence_dedup.PIECE}') AS list FROM documents))),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos, len(regexp_extract_all(key, '[^\s\x0b]+')) AS words FROM pieces WHERE key <> ''),
+c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM s),
+d AS (SELECT doc_id, list(key ORDER BY pos) AS keys, list(upto ORDER BY pos) AS cum FROM c GROUP BY doc_id),
+e AS (SELECT c.doc_id, c.pos, keys, greatest(c.pos + 2, len(list_filter(cum, lambda x: x < upto - words + 20)) + 1) AS stop FROM c JOIN d USING (doc_id)),
+runs AS (SELECT doc_id, pos, stop, array_to_string(list_slice(keys, pos, stop), chr(10)) AS run FROM e WHERE stop <= len(keys)),
+ranked AS (SELECT doc_id, pos, stop, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS k FROM runs),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, stop + 1)) AS pos FROM ranked WHERE k > 1),
 marked AS (SELECT p.doc_id, p.i, p.piece, s.pos, g.pos IS NOT NULL AS dropped
            FROM pieces p LEFT JOIN s ON s.doc_id = p.doc_id AND s.i = p.i LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.pos = s.pos),
 m AS (SELECT doc_id, count(pos) AS n_sentences, count(*) FILTER (WHERE dropped) AS n_removed,

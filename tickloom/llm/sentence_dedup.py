@@ -1,17 +1,19 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of ``span`` consecutive sentences is hashed (128 bits); runs join
-globally by their hash, and the sentences that any non-first repeated run covers
-go.  A run counts only from ``min_words`` words on, so chance repeats of very
-short sentences are left alone.
+Every run of consecutive sentences is hashed (128 bits): from each sentence on,
+the shortest run of at least ``span`` sentences and ``min_words`` words.  Runs
+join globally by their hash, and the sentences that any non-first repeated run
+covers go.  The word count keeps chance repeats of very short sentences alone
+and lets runs of one-word sentences grow.
 
 A sentence is a run of text up to and including its ``.``, ``!`` or ``?`` signs,
-or up to a line end.  Runs compare by their sentences stripped of ASCII white
+or up to a line end; it is cut after every 25 words, so text without such signs
+has sentences too.  Runs compare by their sentences stripped of ASCII white
 space with A-Z lower-cased; pieces that are empty after that are no sentences
 and stay where they are.
 
-Contract for odd input: null text has no sentences and stays null; documents
-with fewer sentences than ``span`` are compared by no run; the first occurrence
+Contract for odd input: null text has no sentences and stays null; runs that
+the end of the text cuts short are not compared; the first occurrence
 is that of the least (id, position); a null id is a document that sorts after
 all others; rows with one id count as one document and lose the same sentences;
 an empty table gives an empty result; other columns are ignored.
@@ -29,13 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID
+from .common import LAST_ID, join_by_frequency
 
 SPAN = 3
-MIN_WORDS = 12
+MIN_WORDS = 20
+SENTENCE_WORDS = 25
 _BLANK = " \t\n\x0b\x0c\r"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_PIECE = re.compile(r"[^.!?\n]+[.!?]*|[.!?]+|\n")
+_WORD, _GAP = r"[^ \t\r\x0b\x0c\n.!?]", r"[ \t\r\x0b\x0c]"
+PIECE = rf"{_GAP}*(?:{_WORD}+{_GAP}*){{1,{SENTENCE_WORDS}}}[.!?]*|{_GAP}*[.!?]+|\n|{_GAP}+"
+_PIECE = re.compile(PIECE)
 
 
 def _key(piece: str) -> str:
@@ -54,20 +59,23 @@ def split_sentences(text: str) -> tuple[list[str], list[int], list[str]]:
     return pieces, places, keys
 
 
-def span_hashes(keys: list[str], span: int, min_words: int) -> tuple[list[bytes], list[int]]:
-    """Digests of the runs that count, and the sentence each begins with."""
+def span_hashes(keys: list[str], span: int, min_words: int) -> tuple[list[bytes], list[int], list[int]]:
+    """Digests of the runs, the sentence each begins with, and the one after its last."""
     if len(keys) < span:
-        return [], []
+        return [], [], []
     total = np.cumsum([0, *(len(k.split()) for k in keys)])
-    starts = np.flatnonzero(total[span:] - total[:-span] >= min_words).tolist()
-    return [xxhash.xxh3_128_digest("\n".join(keys[i : i + span]).encode("utf-8")) for i in starts], starts
+    starts = np.arange(len(keys) - span + 1)
+    ends = np.maximum(np.searchsorted(total, total[starts] + min_words), starts + span)
+    whole = ends <= len(keys)
+    starts, ends = starts[whole].tolist(), ends[whole].tolist()
+    return [xxhash.xxh3_128_digest("\n".join(keys[a:b]).encode("utf-8")) for a, b in zip(starts, ends)], starts, ends
 
 
-def _remove(text: str | None, starts: list[int] | None, span: int) -> tuple[str | None, int, int]:
+def _remove(text: str | None, runs: list[dict] | None) -> tuple[str | None, int, int]:
     if text is None:
         return None, 0, 0
     pieces, places, keys = split_sentences(text)
-    gone = {i for s in starts or () for i in range(s, s + span)}
+    gone = {i for r in runs or () for i in range(r["at"], r["to"])}
     if not gone:
         return text, len(keys), 0
     out = {places[i] for i in gone}
@@ -82,27 +90,28 @@ def deduplicate_sentences(frame: DataFrame, id_col: str = "doc_id", text_col: st
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
-                high, docs, places = [], [], []
+                high, docs, places, stops = [], [], [], []
                 for doc, text in zip(batch.column(0)[k : k + 512].to_pylist(), batch.column(1)[k : k + 512].to_pylist()):
-                    digests, starts = span_hashes(split_sentences(text)[2], span, min_words)
+                    digests, starts, ends = span_hashes(split_sentences(text)[2], span, min_words)
                     high += digests
                     places += starts
+                    stops += ends
                     docs += [doc] * len(starts)
                 both = np.frombuffer(b"".join(high), dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_pydict({"h": pa.array(both[:, 0]), "l": pa.array(both[:, 1]), "doc": pa.array(docs, pa.int64()), "at": pa.array(places, pa.int32())})
+                yield pa.RecordBatch.from_pydict({"h": pa.array(both[:, 0]), "l": pa.array(both[:, 1]), "doc": pa.array(docs, pa.int64()), "at": pa.array(places, pa.int32()), "to": pa.array(stops, pa.int32())})
 
-    runs = source.where("_text is not null").select("_doc", "_text").mapInArrow(hashed, "h long, l long, doc long, at int")
-    runs = runs.select("h", "l", F.struct("doc", "at").alias("place"))
-    repeated = runs.groupBy("h", "l").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("h", "l", "first")
-    later = runs.join(repeated, ["h", "l"]).where("place <> first")
-    cover = later.groupBy(F.col("place.doc").alias("_doc")).agg(F.collect_set("place.at").alias("_starts"))
-    joined = source.join(cover, "_doc", "left").select("_id", "_text", "_starts")
+    runs = source.where("_text is not null").select("_doc", "_text").mapInArrow(hashed, "h long, l long, doc long, at int, to int")
+    place = F.struct("doc", "at")
+    repeated = runs.groupBy("h", "l").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last").drop("last")
+    later = join_by_frequency(runs, repeated, ["h", "l"], "n").where(place != F.col("first"))
+    cover = later.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("at", "to")).alias("_runs"))
+    joined = source.join(cover, "_doc", "left").select("_id", "_text", "_runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                rows = [_remove(t, s, span) for t, s in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                rows = [_remove(t, r) for t, r in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
                 columns = {
                     id_col: part.column(0),
                     "n_sentences": pa.array([r[1] for r in rows], pa.int64()),
@@ -116,4 +125,4 @@ def deduplicate_sentences(frame: DataFrame, id_col: str = "doc_id", text_col: st
     return joined.mapInArrow(cut, f"`{id_col}` {kind}, n_sentences long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else ""))
 
 
-__all__ = ["deduplicate_sentences", "span_hashes", "split_sentences"]
+__all__ = ["PIECE", "deduplicate_sentences", "span_hashes", "split_sentences"]
