@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, checkpointed
+from .common import LAST_ID, checkpointed, join_by_frequency
 
 WINDOW = 400
 NAME_BYTES = 32
@@ -360,11 +360,11 @@ def _single_windows(bodies: DataFrame, window: int) -> DataFrame:
 def repeated_marks(docs: DataFrame, window: int, hot_segments: int) -> DataFrame:
     """(doc, key, spans): for each document the runs of windows that repeat.  ``docs``: doc, key, text (binary)."""
     segments = checkpointed(_segments(docs.select("doc", "key", "text"), window))
-    names = segments.groupBy("name").agg(F.sum("weight").alias("all")).where("all > 1").select("name")
-    shared = checkpointed(segments.drop("weight").join(names, "name"))
+    names = segments.groupBy("name").agg(F.sum("weight").alias("all")).where("all > 1").withColumn("met", F.lit(True))
+    shared = checkpointed(join_by_frequency(segments.drop("weight"), names, ["name"], "all").drop("met"))
     distinct = shared.groupBy("name", "d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "key", "first", "n")).alias("one"))
     kinds = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"))
-    sized = distinct.join(kinds, "name").select("name", "d1", "d2", "copies", "kinds", "one.*")
+    sized = join_by_frequency(distinct, kinds.withColumn("weight", F.col("kinds")), ["name"], "weight").select("name", "d1", "d2", "copies", "kinds", "one.*")
     whole = sized.where("kinds = 1 and copies > 1").select("name", "d1", "d2", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("marks"))
     few = sized.where((F.col("kinds") > 1) & (F.col("kinds") <= hot_segments) | (F.col("kinds") == 1) & (F.col("copies") == 1))
     marks = whole.unionByName(_sort_groups(_bodies(few, docs, window), window))
