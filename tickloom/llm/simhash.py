@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, checkpointed
+from .common import LAST_ID, checkpointed, join_by_frequency
 from .components import connected_components
 
 SEED = 42
@@ -161,9 +161,9 @@ def fingerprint_links(distinct: DataFrame, distance: int = 2, segment_bits: int
             for batch in batches:
                 fps = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 if level == 0:
-                    names, extra = list(_cells(segment_counts(fps, segment_bits), spare, distance + spare, 1)), []
+                    names = list(_cells(segment_counts(fps, segment_bits), spare, distance + spare, 1))
                 else:
-                    names, extra = list(_cells(segment_counts(fps, 1), spare + 6, distance + spare + 6, 2)), []
+                    names = list(_cells(segment_counts(fps, 1), 4, distance + 4, 2))
                 cells = np.stack(names, axis=1) if len(fps) else np.zeros((0, 1), dtype=np.uint64)
                 if level:
                     cells = _mix(cells ^ batch.column("cell").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None])
@@ -207,7 +207,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = 2, segment_bits: int
 
     first = distinct.select("fp").mapInArrow(explode(0), "cell long, fp long")
     sizes = first.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = first.join(sizes, "cell")
+    shared = join_by_frequency(first, sizes.withColumn("weight", F.col("size")), ["cell"], "weight")
     small = shared.where(F.col("size") <= cell_limit).select("cell", "fp")
     large = shared.where(F.col("size") > cell_limit).select("cell", "fp").mapInArrow(explode(1), "cell long, fp long")
     cells = small.unionByName(large)
@@ -217,14 +217,15 @@ def fingerprint_links(distinct: DataFrame, distance: int = 2, segment_bits: int
 def near_duplicates(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """A row per input row: id, fingerprint (16 hex digits) and component_id, the least id it is linked with."""
     marked = checkpointed(fingerprints(frame, id_col, text_col, shingle).select(F.col(f"`{id_col}`").alias("_id"), "fp"))
-    classes = marked.groupBy("fp").agg(F.min(F.coalesce("_id", F.lit(LAST_ID))).alias("first"))
+    classes = marked.groupBy("fp").agg(F.min(F.coalesce("_id", F.lit(LAST_ID))).alias("first"), F.count(F.lit(1)).alias("rows"))
     # rows that share an id connect their fingerprints
     repeated = marked.where("_id is not null").groupBy("_id").agg(F.min("fp").alias("src"), F.max("fp").alias("top")).where("src <> top")
     same = marked.join(repeated.select("_id", "src"), "_id").select("src", F.col("fp").alias("dst")).where("src <> dst").distinct()
     links = fingerprint_links(classes.select("fp"), distance).unionByName(same)
     least = connected_components(links, classes.select(F.col("fp").alias("node"), F.col("first").alias("label")))
     component = F.when(F.col("label") == LAST_ID, F.lit(None).cast("long")).otherwise(F.col("label"))
-    return marked.join(least, marked["fp"] == least["node"]).select(
+    weighed = least.join(classes.select(F.col("fp").alias("node"), "rows"), "node").withColumnRenamed("node", "fp")
+    return join_by_frequency(marked, weighed, ["fp"], "rows").select(
         F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id")
     )
 
