@@ -19,7 +19,7 @@ from tickloom.functions.exprs import EPSILON, TRADING_DAYS
 from tickloom.sources.bars import tail_aligned
 
 from .covariance import principal_factors
-from .panel import moments, pair_moments
+from .panel import moments
 from .solvers import leaf_order, linkage
 
 Number = Column | float
@@ -493,5 +493,3 @@ def correlation_chart(returns: DataFrame) -> DataFrame:
     rows = [(a, b, str(m.ids[p]), str(m.ids[q]), float(m.corr[p, q])) for a, p in enumerate(order) for b, q in enumerate(order)]
     return returns.sparkSession.createDataFrame(rows, "row int, column int, i string, j string, correlation double")
 
-
-__all__ = [n for n in globals() if not n.startswith("_") and n not in ("pair_moments",)]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .allocation import Constraints, _result
-from .panel import EPSILON, TRADING_DAYS, moments, observations
+from .panel import EPSILON, moments, observations
 from .solvers import minimize_on_box
 
 PLAIN = ("variance", "std", "semi_variance", "mad", "flpm", "gini_md", "var", "cvar", "worst", "entropic")
@@ -158,5 +158,3 @@ def monte_carlo_var(spark, weights: Sequence[float], mean: Sequence[float], cov:
         out += [(-F.first(f"q{q}") * 100 / value).alias(f"var{q}"), (-F.avg(F.when(F.col("pnl") <= F.col(f"q{q}"), F.col("pnl"))) * 100 / value).alias(f"es{q}")]
     return ends.join(F.broadcast(cuts)).agg(*out)
 
-
-YEAR = TRADING_DAYS

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -256,5 +255,3 @@ def posterior_moments(returns: DataFrame, probabilities: DataFrame) -> DataFrame
     right = off.select("obs_id", F.col("asset").alias("j"), F.col("d").alias("dj"))
     return left.join(right, "obs_id").groupBy("i", "j").agg(F.first("mean_i").alias("mean_i"), F.sum(F.col("q") * F.col("di") * F.col("dj")).alias("cov"))
 
-
-NORMAL = NormalDist()
