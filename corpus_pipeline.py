@@ -28,8 +28,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the least id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group stays, that of the least id.  Groups are linked by fingerprints of five-word shingles within five bits."""
+    return simhash.drop_near_duplicates(docs, shingle=5, distance=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
