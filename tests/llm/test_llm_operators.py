@@ -273,6 +273,32 @@ def test_leaks_are_found_and_clean_documents_left(spark, small):
     assert sum(got[h.doc_id].contaminated for h in clean) <= 0.02 * len(clean)
 
 
+@pytest.mark.parametrize("n_items", [200, 2_000])
+def test_leaks_of_large_benchmarks_against_checks_of_every_window(spark, n_items):
+    rng = np.random.default_rng(n_items)
+    prose = lambda n: [f"w{k}" for k in rng.zipf(1.3, n) % 20_000]
+    items = [prose(rng.integers(30, 60)) for _ in range(n_items)]
+    rows, planted = [(k, " ".join(prose(200))) for k in range(100)], {}
+    for k in range(100):
+        item, host = int(rng.integers(n_items)), prose(200)
+        leak = items[item] if k % 2 else [w for w in items[item] if rng.random() > 0.15]
+        at = int(rng.integers(200))
+        planted[1_000 + k] = item
+        rows.append((1_000 + k, " ".join(host[:at] + leak + host[at:])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    detector = decontaminate.fit(frame, bench)
+    of = defaultdict(list)
+    for p in detector.pieces:
+        of[p.item].append(p)
+    missed = {0: 0, 1: 0}
+    for d, text in rows[100:]:
+        words = decontaminate.words_of(text)
+        if any(detector._verify(p, words[a : a + 93]) for p in of[planted[d]] for a in range(0, len(words), 13)):
+            missed[d % 2] += planted[d] not in dict(detector.find(text))
+    assert missed[1] == 0 and missed[0] <= 2
+
+
 def test_common_subsequence_against_dynamic_programming():
     rng = random.Random(7)
     for _ in range(200):
