@@ -299,6 +299,13 @@ def test_leaks_of_large_benchmarks_against_checks_of_every_window(spark, n_items
     assert missed[1] == 0 and missed[0] <= 2
 
 
+def test_benchmarks_of_many_terms_keep_them_all(spark):
+    items = [(k, " ".join(f"t{k * 40 + j}" for j in range(40))) for k in range(1_800)]  # 72,000 words
+    frame = spark.createDataFrame([(k, f"some words before {text} and after") for k, text in items[::50]] + [(-1, "nothing of them")], "doc_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.decontaminate(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {-1: []} | {k: [k] for k, _ in items[::50]}
+
+
 def test_common_subsequence_against_dynamic_programming():
     rng = random.Random(7)
     for _ in range(200):
