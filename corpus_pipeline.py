@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from tickloom.llm import bpe, decontaminate, line_dedup, similar, toxicity
 from tickloom.llm.common import checkpointed, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,8 +28,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the least id.  Groups are linked by fingerprints of five-word shingles within five bits."""
-    return simhash.drop_near_duplicates(docs, shingle=5, distance=5)
+    """One document of each group stays, that of the least id.  Groups are linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
+    return similar.drop_similar(docs, least=0.8, shingle=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

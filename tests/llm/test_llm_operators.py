@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tickloom.llm import bpe, chat, decontaminate, line_dedup, quality, sentence_dedup, simhash, suffix_dedup, toxicity, url_filter
+from tickloom.llm import bpe, chat, decontaminate, line_dedup, quality, sentence_dedup, similar, simhash, suffix_dedup, toxicity, url_filter
 from tickloom.llm.components import connected_components
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -189,6 +189,29 @@ def test_one_document_of_each_group_stays(documents, texts):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == documents.columns
 
 
+def test_pipeline_near_duplicates_against_all_pairs(spark):
+    rng = random.Random(21)
+    prose = lambda n: [f"w{rng.randrange(5_000)}" for _ in range(n)]
+    docs = {1_000: "", 1_001: " ", 1_002: "a b", 1_003: "A  b", 1_004: "a b c"}
+    hub = prose(300)
+    for k in range(400):
+        words = docs[rng.randrange(k)].split() if k % 3 and k > 20 else prose(rng.randrange(20, 300))
+        words = list(hub) if k % 8 == 0 else words
+        for _ in range(rng.randrange(8)):
+            words[rng.randrange(len(words))] = prose(1)[0]
+        docs[k] = " ".join(words)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in docs.items() for w in [t.lower().split()]}
+    label, ids = {i: i for i in docs}, sorted(docs)
+    links = [(a, b) for a in ids for b in ids if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in range(50):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    rows = [*docs.items(), (None, docs[1]), (None, "only here without an id"), (7, docs[7])]
+    got = Counter(r.doc_id for r in similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(links) > 100
+    assert got == Counter([i for i in ids if label[i] == i] + [None] + [7] * (label[7] == 7))
+
+
 # ---- 3
 
 
