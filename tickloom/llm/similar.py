@@ -3,7 +3,8 @@
 Texts with one set of shingles are one node.  Two sets of similarity ``least`` or
 more share a shingle among the first ``n - ceil(least * n) + 1`` of each, in the
 order of the shingles' hashes, so nodes meet by these and no pair is missed.
-Every candidate is checked on the whole sets before it is linked.  Of shingles
+Every candidate is checked on the whole sets before it is linked, unless parity
+bitmaps already differ in more bits than such sets in shingles.  Of shingles
 with many nodes first the neighbours by size are checked, then the pairs that
 these links leave in different components.
 
@@ -29,6 +30,8 @@ SHINGLE_WORDS = 5
 #: Nodes of a shingle whose pairs are all checked at once.
 FEW = 16
 _BLOCK = 1024
+#: Bytes of a parity bitmap.
+_BITMAP = 256
 
 
 def _named(frame: DataFrame, text_col: str, shingle: int, with_set: bool) -> DataFrame:
@@ -52,6 +55,11 @@ def _close(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9
 
 
+def _bitmap(hashes: np.ndarray) -> bytes:
+    """Parity of the hashes in each of the bitmap's places: two bitmaps differ in no more bits than the sets in hashes."""
+    return np.packbits(np.bincount((hashes % np.uint64(8 * _BITMAP)).astype(np.int64), minlength=8 * _BITMAP) & 1).tobytes()
+
+
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """Columns of runs of rows that hold the groups of the first column whole (rows are sorted by it)."""
     held: list[list[np.ndarray]] = []
@@ -127,6 +135,18 @@ def similar_links(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], le
                         if len(p):
                             yield _pair_batch([node[x][p]], [node[y][q]])
 
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(s.as_py(), dtype=np.uint64) for s in batch.column("_set")]
+            yield pa.RecordBatch.from_pydict({"node": batch.column("_node"), "n": pa.array([len(s) for s in sets], pa.int32()), "map": pa.array([_bitmap(s) for s in sets], pa.binary())})
+
+    def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, _BITMAP // 8) for c in ("a", "b"))
+            both = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+            near = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= (1 - least) / (1 + least) * both + 1e-6
+            yield batch.select(["src", "dst"]).filter(pa.array(near, pa.bool_()))
+
     def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -137,14 +157,18 @@ def similar_links(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], le
             yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = checkpointed(pairs.distinct())
+        pairs = checkpointed(pairs.where("src <> dst").distinct())
+        maps = checkpointed(sets_of(pairs.select(F.explode(F.array("src", "dst")).alias("_node")).distinct()).mapInArrow(mapped, "node long, n int, map binary"))
+        with_maps = pairs.join(maps.select(F.col("node").alias("src"), F.col("n").alias("na"), F.col("map").alias("a")), "src").join(maps.select(F.col("node").alias("dst"), F.col("n").alias("nb"), F.col("map").alias("b")), "dst")
+        pairs = checkpointed(with_maps.select("src", "dst", "na", "nb", "a", "b").mapInArrow(sifted, "src long, dst long"))
         wanted = checkpointed(sets_of(pairs.select(F.explode(F.array("src", "dst")).alias("_node")).distinct()))
         both = pairs.join(wanted.select(F.col("_node").alias("src"), F.col("_set").alias("a")), "src").join(wanted.select(F.col("_node").alias("dst"), F.col("_set").alias("b")), "dst")
         return checkpointed(both.select("src", "dst", "a", "b").mapInArrow(jaccard, "src long, dst long"))
 
     kind = "shingle long, node long, n int"
     met = checkpointed(sets.mapInArrow(prefixes, kind).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(shared, kind))
-    links = verified(met.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(near, "src long, dst long"))
+    # the checkpoint's partitions hold the shingles whole and sorted
+    links = verified(met.mapInArrow(near, "src long, dst long"))
     many = met.groupBy("shingle").count().where(F.col("count") > FEW).select("shingle")
     crowded = checkpointed(met.join(many, "shingle"))
     if not crowded.limit(1).count():
