@@ -6,21 +6,23 @@ distance, so pairs within ``d`` bits are within ``d`` in the embedding.  Such a
 pair differs in at most ``d`` coordinates; with the coordinates dealt into
 ``d + 3`` blocks it shares the grid cell of some ``3`` blocks, and every pair
 meets in the cell of its first such choice.  Inside a cell the Manhattan bound
-sifts candidates and the Hamming distance decides.  A cell passes on a spanning
-forest of its links, never all pairs, and cells with many fingerprints are cut
-by the bits themselves before they are joined.
-
-Contract for odd input: null and empty texts have no words and the fingerprint
-zero, which links like any other; texts are read whole; rows with one id count
-as one document for the component, and all of them are returned; a null id
-is a document of its own, takes part like an id larger than all others and is
-returned as null; an empty
-table gives an empty result; other columns are ignored.
+sifts candidates and the Hamming distance decides.  A cell passes on one link per
+fingerprint, never all pairs.  Cells of many fingerprints are cut again on the
+finest grid of the embedding, segments of one bit: a choice of ``FINE_SPARE`` of
+``d + FINE_SPARE`` blocks leaves 2 blocks of 4 bits open at 2 bits of distance, so
+a cell then holds at most 256 fingerprints.
+
+Contract for odd input: ids are integers; null and empty texts have no words and
+the fingerprint zero, which links like any other; texts are read whole; rows with
+one id count as one document for the component, and all of them are returned; a
+row without an id takes part, is returned with a null id, and its component is
+null if no linked row has an id; an empty table gives an empty result; other
+columns are ignored (``near_duplicates``) or kept (``drop_near_duplicates``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,15 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, checkpointed, join_by_frequency
+from .common import checkpointed, fresh_name, integer_ids, join_by_frequency
 from .components import connected_components
 
 SEED = 42
 SHINGLE_WORDS = 3
 SEGMENT_BITS = 2
-#: Fingerprints in a cell compared by brute force at once; cells beyond CELL_LIMIT are cut further.
-BLOCK = 2048
-CELL_LIMIT = 20_000
+#: Cells beyond CELL_LIMIT are cut again, by this choice of blocks.
+CELL_LIMIT = 4096
+FINE_SPARE = 14
 
 _SPREAD = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], dtype=np.uint64)
 
@@ -124,36 +126,38 @@ def _cells(columns: np.ndarray, keep: int, blocks: int, salt: int) -> Iterator[n
         yield cell
 
 
-def forest(fps: np.ndarray, distance: int, segment_bits: int = SEGMENT_BITS) -> list[tuple[int, int]]:
-    """A spanning forest (as index pairs) of the links between distinct fingerprints of one cell."""
-    n = len(fps)
-    root = list(range(n))
+def reached_from(size: int, near: Callable) -> list[tuple[int, int]]:
+    """(root, member) for every one of ``size`` members that some chain of near ones joins to a root.
+
+    ``near(a, b)`` tells it for broadcast arrays of members; each member is compared with the free ones once.
+    """
+    free, out = np.ones(size, dtype=bool), []
+    for root in range(size):
+        if not free[root]:
+            continue
+        free[root] = False
+        front = np.array([root])
+        while len(front) and free.any():
+            reached = np.zeros(size, dtype=bool)
+            for k in range(0, len(front), 256):
+                rest = np.flatnonzero(free & ~reached)
+                reached[rest[near(front[k : k + 256, None], rest[None, :]).any(axis=0)]] = True
+            free &= ~reached
+            front = np.flatnonzero(reached)
+            out += [(root, k) for k in front.tolist()]
+    return out
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
 
-    out = []
+def cell_links(fps: np.ndarray, distance: int, segment_bits: int = SEGMENT_BITS) -> list[tuple[int, int]]:
+    """Index pairs that connect the linked fingerprints of one cell, one for each but the first of a component."""
     codes = unary_codes(fps, segment_bits)
-    for a in range(0, n, BLOCK):
-        for b in range(a, n, BLOCK):
-            x, y = np.nonzero(np.bitwise_count(codes[a : a + BLOCK, None] ^ codes[None, b : b + BLOCK]) <= distance)
-            near = (x + a < y + b) & (np.bitwise_count(fps[x + a] ^ fps[y + b]) <= distance)
-            for i, j in zip((x[near] + a).tolist(), (y[near] + b).tolist()):
-                p, q = find(i), find(j)
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    out.append((i, j))
-    return out
+    return reached_from(len(fps), lambda a, b: (np.bitwise_count(codes[a] ^ codes[b]) <= distance) & (np.bitwise_count(fps[a] ^ fps[b]) <= distance))
 
 
 def fingerprint_links(distinct: DataFrame, distance: int = 2, segment_bits: int = SEGMENT_BITS, spare: int = 3, cell_limit: int = CELL_LIMIT) -> DataFrame:
-    """(src, dst): links between fingerprints, enough to connect all within ``distance`` bits.
+    """(src, dst): pairs of fingerprints of one component, enough to connect all within ``distance`` bits.
 
-    ``distinct`` has one column ``fp`` without repeats.  Cells of more than
-    ``cell_limit`` fingerprints are cut again by blocks of single bits.
+    ``distinct`` has one column ``fp`` without repeats.
     """
 
     def explode(level: int):
@@ -163,7 +167,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = 2, segment_bits: int
                 if level == 0:
                     names = list(_cells(segment_counts(fps, segment_bits), spare, distance + spare, 1))
                 else:
-                    names = list(_cells(segment_counts(fps, 1), 4, distance + 4, 2))
+                    names = list(_cells(segment_counts(fps, 1), FINE_SPARE, distance + FINE_SPARE, 2))
                 cells = np.stack(names, axis=1) if len(fps) else np.zeros((0, 1), dtype=np.uint64)
                 if level:
                     cells = _mix(cells ^ batch.column("cell").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None])
@@ -187,7 +191,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = 2, segment_bits: int
                     if int(group[0] ^ group[1]).bit_count() <= distance:
                         found.append((group[0], group[1]))
                 else:
-                    found += [(group[i], group[j]) for i, j in forest(group, distance, segment_bits)]
+                    found += [(group[i], group[j]) for i, j in cell_links(group, distance, segment_bits)]
             pairs = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             return pd.DataFrame({"src": pairs[:, 0], "dst": pairs[:, 1]})
 
@@ -216,32 +220,35 @@ def fingerprint_links(distinct: DataFrame, distance: int = 2, segment_bits: int
 
 def near_duplicates(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """A row per input row: id, fingerprint (16 hex digits) and component_id, the least id it is linked with."""
-    marked = checkpointed(fingerprints(frame, id_col, text_col, shingle).select(F.col(f"`{id_col}`").alias("_id"), "fp"))
-    classes = marked.groupBy("fp").agg(F.min(F.coalesce("_id", F.lit(LAST_ID))).alias("first"), F.count(F.lit(1)).alias("rows"))
+    source = frame.select(integer_ids(frame, id_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
+    marked = checkpointed(fingerprints(source, "id", "text", shingle))
+    classes = marked.groupBy("fp").agg(F.min("id").alias("label"), F.count(F.lit(1)).alias("rows"))
     # rows that share an id connect their fingerprints
-    repeated = marked.where("_id is not null").groupBy("_id").agg(F.min("fp").alias("src"), F.max("fp").alias("top")).where("src <> top")
-    same = marked.join(repeated.select("_id", "src"), "_id").select("src", F.col("fp").alias("dst")).where("src <> dst").distinct()
+    repeated = marked.where("id is not null").groupBy("id").agg(F.min("fp").alias("src"), F.max("fp").alias("top")).where("src <> top")
+    same = marked.join(repeated.select("id", "src"), "id").select("src", F.col("fp").alias("dst")).where("src <> dst").distinct()
     links = fingerprint_links(classes.select("fp"), distance).unionByName(same)
-    least = connected_components(links, classes.select(F.col("fp").alias("node"), F.col("first").alias("label")))
-    component = F.when(F.col("label") == LAST_ID, F.lit(None).cast("long")).otherwise(F.col("label"))
+    least = connected_components(links, classes.select(F.col("fp").alias("node"), "label"))
     weighed = least.join(classes.select(F.col("fp").alias("node"), "rows"), "node").withColumnRenamed("node", "fp")
     return join_by_frequency(marked, weighed, ["fp"], "rows").select(
-        F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id")
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("label").alias("component_id")
     )
 
 
 def drop_near_duplicates(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """``frame`` with the documents of the least id of each group.
 
-    Rows of one id stay or go together; a row without an id stays if its group
+    Rows of one id stay or go together; rows without an id stay if their group
     has no row with one.
     """
-    found = near_duplicates(frame, id_col, text_col, distance, shingle)
-    kept = found.where(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select(F.col(f"`{id_col}`").alias("_kept"), F.col("fingerprint").alias("_print")).distinct()
-    with_id = frame.join(kept.select("_kept").where("_kept is not null").distinct(), F.col(f"`{id_col}`") == F.col("_kept"), "left_semi")
-    without = frame.where(F.col(f"`{id_col}`").isNull())
-    if not kept.where("_kept is null").limit(1).count():
+    source = frame.select(integer_ids(frame, id_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
+    found = near_duplicates(source, "id", "text", distance, shingle)
+    kept = fresh_name(frame, "kept")
+    least = found.where("id = component_id").select(F.col("id").alias(kept)).distinct()
+    with_id = frame.join(least, F.col(f"`{id_col}`") == F.col(kept), "left_semi")
+    alone = found.where("id is null and component_id is null").select("fingerprint").distinct()
+    if not alone.limit(1).count():
         return with_id
-    prints = fingerprints(without.withColumn("_row", F.col(f"`{text_col}`")).select(F.col("_row").alias("_id"), F.col("_row").alias("_text")), "_id", "_text", shingle)
-    keep = prints.select("_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("_print")).join(kept.where("_kept is null").select("_print"), "_print", "left_semi").select("_id").distinct()
-    return with_id.unionByName(without.join(keep, F.col(f"`{text_col}`").eqNullSafe(F.col("_id")), "left_semi"))
+    prints = fingerprints(source.where("id is null").select(F.col("text").alias("own"), "text").distinct(), "own", "text", shingle)
+    stay = prints.select(F.col("own").alias(kept), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")).join(alone, "fingerprint", "left_semi").select(kept)
+    without = frame.where(F.col(f"`{id_col}`").isNull())
+    return with_id.unionByName(without.join(stay, F.col(f"`{text_col}`").eqNullSafe(F.col(kept)), "left_semi"))

@@ -1,20 +1,34 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
-
-Texts with one set of shingles are one node.  Two sets of similarity ``least`` or
-more share a shingle among the first ``n - ceil(least * n) + 1`` of each, in the
-order of the shingles' hashes, so nodes meet by these and no pair is missed.
-Every candidate is checked on the whole sets before it is linked, unless parity
-bitmaps already differ in more bits than such sets in shingles.  Of shingles
-with many nodes first the neighbours by size are checked, then the pairs that
-these links leave in different components.
-
-Shingles and sets are named by 64-bit hashes.  Contract for odd input: as for
-``simhash``; texts without words have the empty set and are alike.
+"""SimHash near-duplicates of whole texts: five-word shingles, Jaccard similarity of 0.8 or more.
+
+1. Texts with one set of shingles are one node, with the set's size and SimHash
+   fingerprint.  A count sketch tells which shingles are frequent.
+2. Two sets of similarity ``least`` share one of the first
+   ``n - ceil(least * n) + 1`` shingles of each, in any one order of all shingles;
+   the order here is rare ones first.  Nodes meet in the cells of these shingles.
+   (Grid cells of the embedding alone cannot be used: such sets differ by some 10
+   of 64 bits, where equal counts choose next to nothing.)
+3. Inside a cell the segment-popcount embedding is range-joined under Manhattan
+   distance, a lower bound of the fingerprints' Hamming distance, which is checked
+   next.  Both allow ``SIFT_BITS`` bits, five standard deviations above the mean of
+   sets of similarity 0.8; sets of fewer than ``SIFT_SIZE`` shingles pass freely.
+   A cell passes on one link per node, never its pairs; cells of more than
+   ``CELL_NODES`` nodes are passed on as one group.
+4. The components of these links hold all similar sets.  The texts of a component
+   meet once and every pair in different groups that shares a shingle of step 2
+   is checked on the whole sets.  Components of more than ``GROUP_SHINGLES``
+   shingles are dealt into blocks, and pairs of blocks meet.
+
+Shingles and sets are named by 64-bit hashes.  Contract for odd input: ids are
+integers; null and empty texts have the empty set and are alike; rows of one id
+stay or go together; rows without an id are documents named by their set, sort
+after all others and stay only if their group has no id; an empty table gives an
+empty result; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,45 +36,116 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, checkpointed
+from .common import broadcast_if_small, checkpointed, fresh_name, integer_ids
 from .components import connected_components
-from .simhash import text_hashes
+from .simhash import fingerprint_many, reached_from, text_hashes, unary_codes
 
 SHINGLE_WORDS = 5
-#: Nodes of a shingle whose pairs are all checked at once.
-FEW = 16
-_BLOCK = 1024
-#: Bytes of a parity bitmap.
-_BITMAP = 256
+#: Counters of a row of the sketch, of which there are two, and of a piece of it.
+COUNTERS, PIECE = 1 << 17, 1 << 14
+SIFT_BITS, SIFT_SIZE = 24, 64
+CELL_NODES = 8192
+GROUP_SHINGLES = 4_000_000
 
 
-def _named(frame: DataFrame, text_col: str, shingle: int, with_set: bool) -> DataFrame:
-    """``frame`` with the text's ``_node`` and, if asked for, ``_set`` (sorted hashes) in its place."""
-    source = frame.withColumn(text_col, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
-    others = [c for c in frame.columns if c != text_col]
+def node_of(hashes: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(hashes.tobytes())
+
+
+def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(COUNTERS - 1)
+    return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
+
+
+def _scan(source: DataFrame, shingle: int) -> DataFrame:
+    """(id, node) of every row, and the tasks' shares of the sketch (piece, counts), in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(2 * COUNTERS, dtype=np.uint32)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                sets = [np.unique(text_hashes(t.as_py(), shingle)).tobytes() for t in part.column(text_col)]
-                columns = {c: part.column(c) for c in others} | {"_node": pa.array([xxhash.xxh3_64_intdigest(s) for s in sets], pa.uint64()).view(pa.int64())}
-                yield pa.RecordBatch.from_pydict(columns | ({"_set": pa.array(sets, pa.binary())} if with_set else {}))
+                sets = [np.unique(text_hashes(t.as_py(), shingle)) for t in part.column(1)]
+                one, two = _places(np.concatenate(sets))
+                sketch[:COUNTERS] += np.bincount(one, minlength=COUNTERS).astype(np.uint32)
+                sketch[COUNTERS:] += np.bincount(two, minlength=COUNTERS).astype(np.uint32)
+                none = pa.nulls(part.num_rows)
+                yield pa.RecordBatch.from_pydict({"id": part.column(0), "node": pa.array([node_of(s) for s in sets], pa.uint64()).view(pa.int64()), "piece": none.cast(pa.int32()), "counts": none.cast(pa.binary())})
+        pieces = [k for k in range(0, len(sketch), PIECE) if sketch[k : k + PIECE].any()]
+        none = pa.nulls(len(pieces), pa.int64())
+        yield pa.RecordBatch.from_pydict({"id": none, "node": none, "piece": pa.array(pieces, pa.int32()), "counts": pa.array([zlib.compress(sketch[k : k + PIECE].astype(np.uint64).tobytes(), 1) for k in pieces], pa.binary())})
 
-    kinds = "".join(f"`{c}` {frame.schema[c].dataType.simpleString()}, " for c in others)
-    return source.mapInArrow(run, f"{kinds}_node long" + (", _set binary" if with_set else ""))
+    return source.mapInArrow(run, "id long, node long, piece int, counts binary")
 
 
-def _close(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    return np.minimum(a, b) >= least * np.maximum(a, b) - 1e-9
-
-
-def _bitmap(hashes: np.ndarray) -> bytes:
-    """Parity of the hashes in each of the bitmap's places: two bitmaps differ in no more bits than the sets in hashes."""
-    return np.packbits(np.bincount((hashes % np.uint64(8 * _BITMAP)).astype(np.int64), minlength=8 * _BITMAP) & 1).tobytes()
+def _frequency_classes(shares: DataFrame) -> np.ndarray:
+    """For each counter 0, or how many times (as a power of two) it exceeds the noise of a chance counter."""
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for piece, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                counts = np.frombuffer(zlib.decompress(counts), dtype=np.uint64)
+                sums[piece] = sums[piece] + counts if piece in sums else counts
+        yield pa.RecordBatch.from_pydict({"piece": pa.array(list(sums), pa.int32()), "counts": pa.array([zlib.compress(s.tobytes(), 1) for s in sums.values()], pa.binary())})
+
+    kind = "piece int, counts binary"
+    salted = shares.withColumn("salt", F.spark_partition_id() % 16).repartition("piece", "salt").drop("salt").mapInArrow(merge, kind)
+    counts = np.zeros(2 * COUNTERS)
+    for row in salted.repartition("piece").mapInArrow(merge, kind).toLocalIterator():  # 2 * COUNTERS numbers
+        counts[row.piece : row.piece + PIECE] = np.frombuffer(zlib.decompress(row.counts), dtype=np.uint64)
+    mean = counts.mean()
+    excess = (counts - mean) / (4 * np.sqrt(mean) + 4)
+    return np.where(excess >= 1, np.floor(np.log2(np.maximum(excess, 1))) + 1, 0).astype(np.uint8)
+
+
+def prefix_of(hashes: np.ndarray, classes: np.ndarray, least: float) -> np.ndarray:
+    """The shingles of a set (sorted hashes) by which it meets others: rare ones first."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    size = n - int(np.ceil(least * n - 1e-9)) + 1
+    one, two = _places(hashes)
+    kind = np.minimum(classes[one], classes[COUNTERS + two])
+    return hashes[np.argsort(kind, kind="stable")[:size]]
+
+
+def _cells(source: DataFrame, shingle: int, least: float, classes: np.ndarray) -> DataFrame:
+    """(cell, node, n, fp): each node in the cells of its prefix.  Copies are left out as far as one task sees them."""
+    shared = source.sparkSession.sparkContext.broadcast(classes)
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, seen = shared.value, set()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                sets = {}
+                for text in batch.column(1)[k : k + 256]:
+                    hashes = np.unique(text_hashes(text.as_py(), shingle))
+                    sets[node_of(hashes)] = hashes
+                sets = {node: s for node, s in sets.items() if node not in seen and len(s)}
+                seen.update(sets)
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                if not sets:
+                    continue
+                own = list(sets.values())
+                sizes = np.array([len(s) for s in own])
+                fps = fingerprint_many(np.concatenate(own), sizes)
+                heads = [prefix_of(s, classes, least) for s in own]
+                times = [len(h) for h in heads]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "cell": pa.array(np.concatenate(heads).view(np.int64)),
+                        "node": pa.array(np.repeat(np.array(list(sets), dtype=np.uint64), times).view(np.int64)),
+                        "n": pa.array(np.repeat(sizes, times).astype(np.int32)),
+                        "fp": pa.array(np.repeat(fps, times).view(np.int64)),
+                    }
+                )
+
+    return source.mapInArrow(run, "cell long, node long, n int, fp long")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """Columns of runs of rows that hold the groups of the first column whole (rows are sorted by it)."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
@@ -77,134 +162,177 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
         yield tuple(np.concatenate(parts) for parts in zip(*held))
 
 
-def _pair_batch(src: list[np.ndarray], dst: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.stack((np.concatenate([np.zeros(0, np.int64), *src]), np.concatenate([np.zeros(0, np.int64), *dst])), axis=1)
-    pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-    return pa.RecordBatch.from_pydict({"src": pa.array(pairs[:, 0].copy()), "dst": pa.array(pairs[:, 1].copy())})
+def _near(n: np.ndarray, fp: np.ndarray, code: np.ndarray, a, b, least: float) -> np.ndarray:
+    """Whether sets a and b may be similar: sizes, Manhattan distance of the embeddings, Hamming distance."""
+    small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+    sifted = (np.bitwise_count(code[a] ^ code[b]) <= SIFT_BITS) & (np.bitwise_count(fp[a] ^ fp[b]) <= SIFT_BITS)
+    return (small >= least * large - 1e-9) & (sifted | (small < SIFT_SIZE))
 
 
-def similar_links(sets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
-    """(src, dst): links between nodes, enough to connect all of similarity ``least``.
+def cell_links(n: np.ndarray, fp: np.ndarray, code: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """(root, member) for every node that some chain of near nodes joins to a root."""
+    if len(n) > CELL_NODES:
+        return [(0, k) for k in range(1, len(n))]
+    return reached_from(len(n), lambda a, b: _near(n, fp, code, a, b, least))
 
-    ``sets``: rows (_node, _set) of all nodes; ``sets_of``: a row for each of a table of nodes (_node).
-    """
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, heads, sizes = batch.column("_node").to_numpy(), [], []
-            for s in batch.column("_set"):
-                hashes = np.frombuffer(s.as_py(), dtype=np.int64)
-                n = len(hashes)
-                heads.append(hashes[: n - int(np.ceil(least * n - 1e-9)) + 1] if n else hashes)
-                sizes.append(n)
-            counts = [len(h) for h in heads]
-            yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.concatenate([np.zeros(0, np.int64), *heads])), "node": pa.array(np.repeat(nodes, counts)), "n": pa.array(np.repeat(np.array(sizes, dtype=np.int32), counts))})
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, node, n in _whole_groups(batches):
-            twice = shingle[1:] == shingle[:-1]
-            keep = np.r_[False, twice] | np.r_[twice, False]
-            yield pa.RecordBatch.from_pydict({"shingle": pa.array(shingle[keep]), "node": pa.array(node[keep]), "n": pa.array(n[keep])})
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, node, n in _whole_groups(batches):
-            order = np.lexsort((node, n, shingle))
-            shingle, node, n = shingle[order], node[order], n[order]
-            first = np.r_[True, shingle[1:] != shingle[:-1]]
-            starts = np.flatnonzero(first)
-            few = np.repeat(np.diff(np.r_[starts, len(shingle)]) <= FEW, np.diff(np.r_[starts, len(shingle)]))
-            src, dst = [], []
-            for gap in range(1, FEW):
-                ok = (shingle[gap:] == shingle[:-gap]) & _close(n[gap:], n[:-gap], least)
-                if gap > 1:
-                    ok &= few[gap:]
-                src.append(node[:-gap][ok])
-                dst.append(node[gap:][ok])
-            yield _pair_batch(src, dst)
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, node, n, label in _whole_groups(batches):
-            edges = np.r_[np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]]), len(shingle)]
-            for a, b in zip(edges[:-1], edges[1:]):
-                if b - a <= FEW or (label[a:b] == label[a]).all():
-                    continue
-                for i in range(a, b, _BLOCK):
-                    for j in range(i, b, _BLOCK):
-                        x, y = slice(i, min(i + _BLOCK, b)), slice(j, min(j + _BLOCK, b))
-                        p, q = np.nonzero((label[x, None] != label[None, y]) & _close(n[x, None], n[None, y], least))
-                        if len(p):
-                            yield _pair_batch([node[x][p]], [node[y][q]])
-
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.frombuffer(s.as_py(), dtype=np.uint64) for s in batch.column("_set")]
-            yield pa.RecordBatch.from_pydict({"node": batch.column("_node"), "n": pa.array([len(s) for s in sets], pa.int32()), "map": pa.array([_bitmap(s) for s in sets], pa.binary())})
+def _link_cells(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, node, n, fp in whole_groups(batches):
+            order = np.lexsort((node, cell))
+            cell, node, n, fp = cell[order], node[order], n[order], fp[order].view(np.uint64)
+            fresh = np.r_[True, (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])]  # tasks may both have sent a copy
+            cell, node, n, fp = cell[fresh], node[fresh], n[fresh], fp[fresh]
+            edges = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+            sizes = np.diff(edges)
+            keep = np.repeat(sizes > 1, sizes)
+            node, n, fp = node[keep], n[keep], fp[keep]
+            code, sizes = unary_codes(fp), sizes[sizes > 1]
+            tops = np.cumsum(sizes) - sizes
+            two = tops[sizes == 2]
+            two = two[_near(n, fp, code, two, two + 1, least)]
+            src, dst = [two], [two + 1]
+            for a, size in zip(tops[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                own = slice(a, a + size)
+                found = np.array(cell_links(n[own], fp[own], code[own], least), dtype=np.int64).reshape(-1, 2) + a
+                src.append(found[:, 0])
+                dst.append(found[:, 1])
+            pairs = np.unique(np.sort(np.stack((node[np.concatenate(src)], node[np.concatenate(dst)]), axis=1), axis=1), axis=0)
+            yield pa.RecordBatch.from_pydict({"src": pa.array(pairs[:, 0].copy()), "dst": pa.array(pairs[:, 1].copy())})
+
+    return run
+
+
+def similar_pairs(sets: list[np.ndarray], least: float, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A forest of the pairs of similarity ``least`` or more; with ``side``, of those on different sides."""
+    sizes = np.array([len(s) for s in sets])
+    whole, local, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ends = np.cumsum(sizes)
+    own = [local[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+    heads = [x[np.argsort(counts[x], kind="stable")[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1]] for x in own]
+    holder = np.repeat(np.arange(len(sets)), [len(h) for h in heads])
+    flat = np.concatenate(heads)
+    order = np.argsort(flat, kind="stable")
+    holder, first = holder[order], np.searchsorted(flat[order], np.arange(len(whole) + 1))
+    label, out = np.arange(len(sets)), []
+    mark = np.zeros(len(whole), dtype=bool)
+    for x in range(len(sets)):
+        begin, count = first[heads[x]], first[heads[x] + 1] - first[heads[x]]
+        met = holder[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        met = np.unique(met[met > x])
+        met = met[(label[met] != label[x]) & (np.minimum(sizes[met], sizes[x]) >= least * np.maximum(sizes[met], sizes[x]) - 1e-9)]
+        if side is not None:
+            met = met[side[met] != side[x]]
+        if not len(met):
+            continue
+        mark[own[x]] = True
+        both = np.add.reduceat(mark[np.concatenate([own[y] for y in met])], np.cumsum(sizes[met]) - sizes[met], dtype=np.int64)
+        mark[own[x]] = False
+        for y in met[both >= least * (sizes[met] + sizes[x] - both) - 1e-9].tolist():
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                out.append((x, y))
+    return out
+
+
+def _verify(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(src, dst): verified links.  ``texts``: (label, one, two, side, node, text), a group for each (label, one, two)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[int, np.ndarray]] = {}
+        last = None
+
+        def flush() -> pa.RecordBatch:
+            nodes = list(held)
+            side = np.array([s for s, _ in held.values()])
+            pairs = similar_pairs([s for _, s in held.values()], least, side if side.any() else None) if len(held) > 1 else []
+            held.clear()
+            return pa.RecordBatch.from_pydict({"src": pa.array([nodes[a] for a, _ in pairs], pa.int64()), "dst": pa.array([nodes[b] for _, b in pairs], pa.int64())})
 
-    def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, _BITMAP // 8) for c in ("a", "b"))
-            both = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
-            near = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= (1 - least) / (1 + least) * both + 1e-6
-            yield batch.select(["src", "dst"]).filter(pa.array(near, pa.bool_()))
+            for label, one, two, side, node, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (label, one, two) != last:
+                    if held:
+                        yield flush()
+                    last = (label, one, two)
+                if node not in held:  # copies come along
+                    held[node] = (side, np.unique(text_hashes(text, shingle)))
+        if held:
+            yield flush()
+
+    keys = ["label", "one", "two"]
+    return texts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "src long, dst long")
+
+
+def _dealt(members: DataFrame, group_shingles: int) -> DataFrame:
+    """``members`` (node, label, n) with the groups that each one goes to: (one, two) blocks of its component, and its side."""
+    loads = members.groupBy("label").agg(F.ceil(F.sum("n") / group_shingles).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = members.join(loads, "label").withColumn("own", F.when(F.col("blocks") > 1, block).otherwise(0))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0)))))
+    return placed.select("label", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node")
+
+
+def similar_links(source: DataFrame, nodes: DataFrame, classes: np.ndarray, shingle: int, least: float, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """(src, dst): links between nodes, enough to connect all of similarity ``least``.
 
-    def jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``source``: (id, text) rows; ``nodes``: (node, label), a row per node with the least id of its rows.
+    """
+    cells = _cells(source, shingle, least, classes)
+    chains = checkpointed(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_link_cells(least), "src long, dst long").distinct())
+    met = chains.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    members = connected_components(chains, met.withColumn("label", F.col("node")))
+    # one document of each node brings its text
+    holders = checkpointed(members.join(nodes.withColumnRenamed("label", "id"), "node"))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a"), batch.column("b")):
-                x, y = np.frombuffer(a.as_py(), dtype=np.uint64), np.frombuffer(b.as_py(), dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = checkpointed(pairs.where("src <> dst").distinct())
-        maps = checkpointed(sets_of(pairs.select(F.explode(F.array("src", "dst")).alias("_node")).distinct()).mapInArrow(mapped, "node long, n int, map binary"))
-        with_maps = pairs.join(maps.select(F.col("node").alias("src"), F.col("n").alias("na"), F.col("map").alias("a")), "src").join(maps.select(F.col("node").alias("dst"), F.col("n").alias("nb"), F.col("map").alias("b")), "dst")
-        pairs = checkpointed(with_maps.select("src", "dst", "na", "nb", "a", "b").mapInArrow(sifted, "src long, dst long"))
-        wanted = checkpointed(sets_of(pairs.select(F.explode(F.array("src", "dst")).alias("_node")).distinct()))
-        both = pairs.join(wanted.select(F.col("_node").alias("src"), F.col("_set").alias("a")), "src").join(wanted.select(F.col("_node").alias("dst"), F.col("_set").alias("b")), "dst")
-        return checkpointed(both.select("src", "dst", "a", "b").mapInArrow(jaccard, "src long, dst long"))
-
-    kind = "shingle long, node long, n int"
-    met = checkpointed(sets.mapInArrow(prefixes, kind).repartition("shingle").sortWithinPartitions("shingle").mapInArrow(shared, kind))
-    # the checkpoint's partitions hold the shingles whole and sorted
-    links = verified(met.mapInArrow(near, "src long, dst long"))
-    many = met.groupBy("shingle").count().where(F.col("count") > FEW).select("shingle")
-    crowded = checkpointed(met.join(many, "shingle"))
-    if not crowded.limit(1).count():
-        return links
-    nodes = crowded.select("node").distinct().unionByName(links.select(F.col("src").alias("node"))).unionByName(links.select(F.col("dst").alias("node"))).distinct()
-    labels = connected_components(links, nodes.withColumn("label", F.col("node")))
-    labelled = crowded.join(labels, "node").select("shingle", "node", "n", "label")
-    return links.unionByName(verified(labelled.repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(rest, "src long, dst long")))
+            hashes = [np.unique(text_hashes(t.as_py(), shingle)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_pydict({"node": pa.array([node_of(h) for h in hashes], pa.uint64()).view(pa.int64()), "n": pa.array([len(h) for h in hashes], pa.int32()), "text": batch.column("text")})
+
+    with_id = source.join(broadcast_if_small(holders.where("id is not null").select("id").distinct()), "id", "left_semi")
+    wanted = with_id.select("text")
+    if holders.where("id is null").limit(1).count():
+        wanted = wanted.unionByName(source.where("id is null").select("text"))
+    texts = checkpointed(wanted.mapInArrow(named, "node long, n int, text binary").join(broadcast_if_small(holders.select("node", "label")), "node"))
+    dealt = _dealt(texts.select("node", "label", "n").distinct(), group_shingles)
+    return _verify(texts.drop("label").join(dealt, "node").select("label", "one", "two", "side", "node", "text"), shingle, least)
+
+
+def similar_groups(source: DataFrame, shingle: int = SHINGLE_WORDS, least: float = 0.8, group_shingles: int = GROUP_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """((id, node) of every row, (node, label) with the least id of each node's group, null if it has none)."""
+    scanned = checkpointed(_scan(source, shingle))
+    marks = scanned.where("piece is null").select("id", "node")
+    classes = _frequency_classes(scanned.where("piece is not null").select("piece", "counts"))
+    nodes = checkpointed(marks.groupBy("node").agg(F.min("id").alias("label")))
+    links = similar_links(source, nodes, classes, shingle, least, group_shingles)
+    # rows that share an id connect their nodes
+    repeated = marks.where("id is not null").groupBy("id").agg(F.min("node").alias("src"), F.max("node").alias("top")).where("src <> top")
+    same = marks.join(repeated.select("id", "src"), "id").select("src", F.col("node").alias("dst")).where("src <> dst").distinct()
+    return marks, checkpointed(connected_components(links.unionByName(same), nodes))
 
 
 def drop_similar(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """``frame`` with the documents of the least id of each group; rows without an id stay if their group has no row with one."""
-    source = frame.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    marked = checkpointed(_named(source, "_text", shingle, False))
-    classes = checkpointed(marked.groupBy("_node").agg(F.min(F.coalesce("_id", F.lit(LAST_ID))).alias("label")).withColumnRenamed("_node", "node"))
-
-    def texts_of(found: DataFrame) -> DataFrame:
-        """Sets of the first documents of the classes ``found``; other texts under their ids come along."""
-        documents = found.select(F.col("label").alias("_doc")).distinct()
-        return _named(source.withColumn("_doc", F.coalesce("_id", F.lit(LAST_ID))).join(documents, "_doc", "left_semi").select("_text"), "_text", shingle, True)
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        return texts_of(classes.join(nodes, F.col("node") == F.col("_node"))).join(nodes, "_node").dropDuplicates(["_node"])
-
-    repeated = marked.where("_id is not null").groupBy("_id").agg(F.min("_node").alias("src"), F.max("_node").alias("top")).where("src <> top")
-    same = marked.join(repeated.select("_id", "src"), "_id").select("src", F.col("_node").alias("dst")).where("src <> dst").distinct()
-    least_ids = checkpointed(connected_components(similar_links(texts_of(classes), sets_of, least).unionByName(same), classes))
-    kept = least_ids.where(F.col("label") < LAST_ID).select(F.col("label").alias("_kept")).distinct()
-    with_id = frame.join(kept, F.col(f"`{id_col}`") == F.col("_kept"), "left_semi")
-    alone = least_ids.where(F.col("label") == LAST_ID).select("node")
+    """``frame`` with the documents of the least id of each group."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
+    source = frame.select(integer_ids(frame, id_col).alias("id"), text.alias("text"))
+    marks, groups = similar_groups(source, shingle, least)
+    kept = fresh_name(frame, "kept")
+    least_ids = groups.where("label is not null").select(F.col("label").alias(kept)).distinct()
+    with_id = frame.join(least_ids, F.col(f"`{id_col}`") == F.col(kept), "left_semi")
+    alone = groups.where("label is null").select(F.col("node").alias(kept))
     if not alone.limit(1).count():
         return with_id
-    without = frame.where(F.col(f"`{id_col}`").isNull())
-    texts = without.select(F.col(f"`{text_col}`").alias("_key"), F.col(f"`{text_col}`").alias("_text")).distinct()
-    stay = _named(texts, "_text", shingle, False).join(alone, F.col("_node") == F.col("node"), "left_semi").select("_key")
-    return with_id.unionByName(without.join(stay, F.col(f"`{text_col}`").eqNullSafe(F.col("_key")), "left_semi"))
+    texts = source.where("id is null").select("text").distinct()
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [node_of(np.unique(text_hashes(t.as_py(), shingle))) for t in batch.column(0)]
+            yield pa.RecordBatch.from_pydict({kept: pa.array(nodes, pa.uint64()).view(pa.int64()), f"{kept}_text": batch.column(0)})
+
+    stay = texts.mapInArrow(named, f"`{kept}` long, `{kept}_text` binary").join(alone, kept, "left_semi").select(f"{kept}_text")
+    without = frame.where(F.col(f"`{id_col}`").isNull()).join(stay, text == F.col(f"{kept}_text"), "left_semi")
+    return with_id.unionByName(without)
 
 
-__all__ = ["drop_similar", "similar_links"]
+__all__ = ["drop_similar", "similar_groups", "similar_links", "similar_pairs"]
