@@ -169,11 +169,27 @@ def op8_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_dedup.deduplicate_sentences(table(spark, sf_dir, "documents"), with_text=False)
 
 
-OP8_SQL = rf"""
-WITH pieces AS (
-  SELECT doc_id, i, list[i] AS piece, translate(trim(list[i], E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT doc_id, list, unnest(range(1, len(list) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{sentence_dedup.PIECE}') AS list FROM documents))),
-s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos, len(regexp_extract_all(key, '[^\s\x0b]+')) AS words FROM pieces WHERE key <> ''),
+# Sentences are told apart by characters, and words of long sentences one by one, not by the operator's patterns.
+OP8_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(text, '[^.!?\n]*[.!?]+|[^.!?\n]+|\n') AS list FROM documents),
+sentences AS (
+  SELECT doc_id, s, sentence, list_filter(string_split_regex(rtrim(sentence, '.!?'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM (SELECT doc_id, unnest(range(1, len(list) + 1)) AS s, unnest(list) AS sentence FROM texts)),
+tokens AS (
+  SELECT doc_id, s, t, regexp_extract_all(sentence, '[\x20\x09-\x0D]*[^\x20\x09-\x0D.!?]+[\x20\x09-\x0D]*[.!?]*')[t] AS token,
+         translate(words[t], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word,
+         CASE WHEN t > 1 THEN translate(words[t - 1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS before
+  FROM (SELECT doc_id, s, sentence, words, unnest(range(1, len(words) + 1)) AS t FROM sentences WHERE len(words) > 25)),
+chosen AS (SELECT *, left(md5(before || ' ' || word), 1) IN ('0', '1', '2') AS ends FROM tokens),
+stretches AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id, s ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stretch FROM chosen),
+parts AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, s, stretch ORDER BY t) - 1) // 25 AS part FROM stretches),
+pieces AS (
+  SELECT doc_id, s, 0 AS stretch, 0 AS part, sentence AS piece, len(words) AS words FROM sentences WHERE len(words) <= 25
+  UNION ALL SELECT doc_id, s, stretch, part, string_agg(token, '' ORDER BY t), count(*) FROM parts GROUP BY doc_id, s, stretch, part),
+keyed AS (SELECT *, translate(trim(piece, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key,
+                 row_number() OVER (PARTITION BY doc_id ORDER BY s, stretch, part) AS i FROM pieces),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM keyed WHERE key <> ''),
 c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM s),
 d AS (SELECT doc_id, list(key ORDER BY pos) AS keys, list(upto ORDER BY pos) AS cum FROM c GROUP BY doc_id),
 e AS (SELECT c.doc_id, c.pos, keys, greatest(c.pos + 2, len(list_filter(cum, lambda x: x < upto - words + 20)) + 1) AS stop FROM c JOIN d USING (doc_id)),
@@ -181,7 +197,7 @@ runs AS (SELECT doc_id, pos, stop, array_to_string(list_slice(keys, pos, stop),
 ranked AS (SELECT doc_id, pos, stop, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS k FROM runs),
 gone AS (SELECT DISTINCT doc_id, unnest(range(pos, stop + 1)) AS pos FROM ranked WHERE k > 1),
 marked AS (SELECT p.doc_id, p.i, p.piece, s.pos, g.pos IS NOT NULL AS dropped
-           FROM pieces p LEFT JOIN s ON s.doc_id = p.doc_id AND s.i = p.i LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.pos = s.pos),
+           FROM keyed p LEFT JOIN s ON s.doc_id = p.doc_id AND s.i = p.i LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.pos = s.pos),
 m AS (SELECT doc_id, count(pos) AS n_sentences, count(*) FILTER (WHERE dropped) AS n_removed,
              sha256(coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
       FROM marked GROUP BY doc_id)
