@@ -13,17 +13,21 @@ anywhere else, in its own or another document.  Windows never cross documents.
    and the phrase string is suffix-sorted by grouping suffixes by Lyndon prefix
    in descending order with previous-smaller pointers, then emitting each group
    (``suffix_array``).  Windows are equal if they stand at one offset before
-   their phrase start, the bytes of that offset are equal, and the suffixes of
-   the phrase starts share the rest, which the common-prefix table tells.
+   their phrase start, the bytes of that offset are equal (neighbours in the order
+   of a hash of them, then compared), and the suffixes of the phrase starts share
+   the rest, which the common-prefix table tells.
 4. Marked windows return to all documents of their segment.
 
-A name with more than ``hot_segments`` distinct segments is cut into single
-windows that meet by a 128-bit hash with map-side combine, so no task holds it.
+A task holds the segments of a name, ``name_bytes`` bytes at most.  A name of more
+is split: its distinct segments are cut again by the least hash of substrings twice
+as long, as if they were documents with copies, and so on to 256 bytes; what is
+still too long then is cut into single windows, named by all their bytes, which
+fold by their copy counts alone.  Segments fold by 128-bit digests.
 
-Contract for odd input: null text is the empty text; texts are UTF-8 bytes and
-read whole; a text shorter than the window loses nothing; repeated rows are
-copies and lose their windows; a null id behaves like any other; an empty table
-gives an empty result; other columns are ignored.
+Contract for odd input: ids are integers; null text is the empty text; texts are
+UTF-8 bytes and read whole; a text shorter than the window loses nothing; repeated
+rows are copies and lose their windows; rows without an id are documents like any
+other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,17 +41,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, checkpointed, join_by_frequency
+from .common import checkpointed, document_key, join_by_frequency
 
 WINDOW = 400
-NAME_BYTES = 32
+#: Lengths of the substrings that name a window, for each split of a name.
+NAME_LENGTHS = (32, 64, 128, 256)
 #: Longest run of windows in a segment; bytes of text or of segments worked on at once.
 RUN = 512
 CHUNK = 1_000_000
 #: Phrase starts: one place in SPARSE by its 8-byte hash, and every place after GAP bytes without one.
 SPARSE = 16
 GAP = 96
-HOT_SEGMENTS = 32_768
+#: Bytes of distinct segments of one name that a task may hold.
+NAME_BYTES = 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -195,15 +201,14 @@ def repeated_windows(segments: list[bytes], copies: list[int], window: int = WIN
     tops = np.flatnonzero(places + window <= ends[segment])
     phrase = np.searchsorted(starts, tops + gap)
     offset = starts[phrase] - tops
-    weights = np.cumprod(np.full(2 * gap + 2, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64))
     found = np.zeros(n, dtype=bool)
     by_offset = np.argsort(offset, kind="stable")
     cuts = np.flatnonzero(np.r_[True, np.diff(offset[by_offset]) != 0, True])
+    base = 0x9E3779B97F4A7C15
     values = _mix(buffer.astype(np.uint64) + np.uint64(1))
     running = np.zeros(n + 1, dtype=np.uint64)  # of bytes weighted by place: equal strings differ by a factor only
-    factor = np.cumprod(np.full(n, weights[0], dtype=np.uint64))
-    running[1:] = np.cumsum(values[:n] * factor)
-    back = np.cumprod(np.full(n, np.uint64(pow(int(weights[0]), -1, 2**64)), dtype=np.uint64))
+    running[1:] = np.cumsum(values[:n] * np.cumprod(np.full(n, base, dtype=np.uint64)))
+    back = np.cumprod(np.full(n, pow(base, -1, 2**64), dtype=np.uint64))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         mine = by_offset[a:b]
         if len(mine) < 2:
@@ -213,9 +218,19 @@ def repeated_windows(segments: list[bytes], copies: list[int], window: int = WIN
         top = tops[mine]
         before = (running[top + d] - running[top]) * back[top]
         sort = np.lexsort((before, block))
-        same = (block[sort][1:] == block[sort][:-1]) & (before[sort][1:] == before[sort][:-1])
-        found[top[sort[1:][same]]] = True
-        found[top[sort[:-1][same]]] = True
+        block, top = block[sort], top[sort]
+        alike = np.flatnonzero((block[1:] == block[:-1]) & (before[sort][1:] == before[sort][:-1]))
+        left, right = top[alike], top[alike + 1]
+        equal = _common(buffer, left, right, np.full(len(left), d), d) >= d if d else np.ones(len(left), dtype=bool)
+        found[left[equal]] = True
+        found[right[equal]] = True
+        for of in np.unique(block[alike[~equal]]):  # strings of one hash that differ: tell them apart by their bytes
+            own = top[block == of]
+            seen: dict[bytes, int] = {}
+            for p in own.tolist():
+                first = seen.setdefault(raw[p : p + d], p)
+                if first != p:
+                    found[[first, p]] = True
     return [np.ones(c, dtype=bool) if m > 1 else found[p : p + c] for p, c, m in zip(begins.tolist(), counts.tolist(), copies)]
 
 
@@ -224,21 +239,25 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def name_segments(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """(text, first window, windows, name, weight) of every segment of the texts.
+def name_segments(texts: list[bytes], window: int = WINDOW, length: int = NAME_LENGTHS[0]) -> tuple[np.ndarray, ...]:
+    """(text, first window, windows, name, weight) of every segment of the texts; names are hashes of ``length`` bytes (32 times a power of two).
 
     The weight is 2 if the segment may hold equal windows itself, else 1.
     """
     texts_len = np.array([len(t) for t in texts], dtype=np.int64)
     begins = np.cumsum(texts_len) - texts_len
     n = int(texts_len.sum())
-    buffer = np.zeros(n + 8 + NAME_BYTES, dtype=np.uint8)
-    buffer[:n] = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    eight = _mix(_words8(buffer[: n + NAME_BYTES]))
-    span = window - NAME_BYTES + 1
     if n < window:
         return (np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+    buffer = np.zeros(n + 8, dtype=np.uint8)
+    buffer[:n] = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    eight = _mix(_words8(buffer))
     hashes = _mix(eight[: n - 31] + np.uint64(3) * eight[8 : n - 23] + np.uint64(5) * eight[16 : n - 15] + np.uint64(7) * eight[24 : n - 7])
+    reach = 32
+    while reach < length:
+        hashes = _mix(hashes[:-reach] + np.uint64(2 * reach + 1) * hashes[reach:])
+        reach *= 2
+    span = window - length + 1
     least, width = hashes, 1
     while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:])
@@ -273,22 +292,22 @@ def _chunks(texts: list[bytes], most: int = CHUNK) -> Iterator[tuple[int, list[b
         yield first, texts[first:]
 
 
-def _segments(docs: DataFrame, window: int) -> DataFrame:
+def _segments(docs: DataFrame, window: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column(0), batch.column(1)
+            ids, keys, copies = batch.column(0), batch.column(1), batch.column(3)
             for start in range(0, batch.num_rows, 1024):
                 texts = batch.column(2)[start : start + 1024].to_pylist()
                 for k, part in _chunks(texts):
-                    owner, first, count, name, weight = name_segments(part, window)
+                    owner, first, count, name, weight = name_segments(part, window, length)
                     digest = b"".join(xxhash.xxh3_128_digest(part[o][p : p + c + window - 1]) for o, p, c in zip(owner.tolist(), first.tolist(), count.tolist()))
                     both = np.frombuffer(digest, dtype=np.int64).reshape(-1, 2)
                     rows = pa.array(owner + k + start)
                     yield pa.RecordBatch.from_pydict(
-                        {"name": pa.array(name.view(np.int64)), "d1": pa.array(both[:, 0]), "d2": pa.array(both[:, 1]), "doc": ids.take(rows), "key": keys.take(rows), "first": pa.array(first.astype(np.int32)), "n": pa.array(count.astype(np.int32)), "weight": pa.array(weight.astype(np.int32))}
+                        {"name": pa.array(name.view(np.int64)), "d1": pa.array(both[:, 0]), "d2": pa.array(both[:, 1]), "doc": ids.take(rows), "key": keys.take(rows), "first": pa.array(first.astype(np.int32)), "n": pa.array(count.astype(np.int32)), "weight": pa.array(weight.astype(np.int32)), "copies": copies.take(rows)}
                     )
 
-    return docs.mapInArrow(run, "name long, d1 long, d2 long, doc long, key long, first int, n int, weight int")
+    return docs.mapInArrow(run, "name long, d1 long, d2 long, doc long, key long, first int, n int, weight int, copies long")
 
 
 def _sort_groups(rows: DataFrame, window: int) -> DataFrame:
@@ -357,20 +376,31 @@ def _single_windows(bodies: DataFrame, window: int) -> DataFrame:
     return marked.select("name", "d1", "d2", F.transform("at", lambda k: F.struct(k.alias("a"), (k + 1).alias("b"))).alias("marks"))
 
 
-def repeated_marks(docs: DataFrame, window: int, hot_segments: int) -> DataFrame:
-    """(doc, key, spans): for each document the runs of windows that repeat.  ``docs``: doc, key, text (binary)."""
-    segments = checkpointed(_segments(docs.select("doc", "key", "text"), window))
-    names = segments.groupBy("name").agg(F.sum("weight").alias("all")).where("all > 1").withColumn("met", F.lit(True))
+def repeated_marks(docs: DataFrame, window: int, name_bytes: int, level: int = 0) -> DataFrame:
+    """(doc, key, spans): for each document the runs of windows that repeat.  ``docs``: doc, key, text (binary) and copies."""
+    lengths = [n for n in NAME_LENGTHS if n <= window]
+    segments = checkpointed(_segments(docs.select("doc", "key", "text", "copies"), window, lengths[level]))
+    names = segments.groupBy("name").agg(F.sum(F.col("weight") * F.col("copies")).alias("all")).where("all > 1").withColumn("met", F.lit(True))
     shared = checkpointed(join_by_frequency(segments.drop("weight"), names, ["name"], "all").drop("met"))
-    distinct = shared.groupBy("name", "d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "key", "first", "n")).alias("one"))
-    kinds = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"))
-    sized = join_by_frequency(distinct, kinds.withColumn("weight", F.col("kinds")), ["name"], "weight").select("name", "d1", "d2", "copies", "kinds", "one.*")
+    distinct = shared.groupBy("name", "d1", "d2").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc", "key", "first", "n")).alias("one"))
+    kinds = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("one.n") + window - 1).alias("bytes"))
+    sized = checkpointed(join_by_frequency(distinct, kinds.withColumn("weight", F.col("kinds")), ["name"], "weight").select("name", "d1", "d2", "copies", "rows", "kinds", "bytes", "one.*"))
     whole = sized.where("kinds = 1 and copies > 1").select("name", "d1", "d2", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("marks"))
-    few = sized.where((F.col("kinds") > 1) & (F.col("kinds") <= hot_segments) | (F.col("kinds") == 1) & (F.col("copies") == 1))
-    marks = whole.unionByName(_sort_groups(_bodies(few, docs, window), window))
-    if kinds.where(F.col("kinds") > hot_segments).limit(1).count():
-        marks = marks.unionByName(_single_windows(_bodies(sized.where(F.col("kinds") > hot_segments), docs, window), window))
-    placed = shared.join(marks, ["name", "d1", "d2"])
+    open_ = sized.where("kinds > 1 or copies = 1")
+    marks = whole.unionByName(_sort_groups(_bodies(open_.where(F.col("bytes") <= name_bytes), docs, window), window))
+    large = open_.where(F.col("bytes") > name_bytes)
+    if large.limit(1).count():
+        bodies = _bodies(large, docs, window)
+        if level + 1 < len(lengths):
+            parents = checkpointed(bodies.dropDuplicates(["name", "d1", "d2"]))
+            inner = repeated_marks(parents.select(F.col("d1").alias("doc"), F.col("d2").alias("key"), F.col("body").alias("text"), "copies"), window, name_bytes, level + 1)
+            moved = F.flatten(F.transform("spans", lambda s: F.transform(s["marks"], lambda m: F.struct((s["first"] + m["a"]).alias("a"), (s["first"] + m["b"]).alias("b")))))
+            back = inner.select(F.col("doc").alias("d1"), F.col("key").alias("d2"), moved.alias("marks"))
+            marks = marks.unionByName(parents.select("name", "d1", "d2").join(back, ["d1", "d2"]).select("name", "d1", "d2", "marks"))
+        else:
+            marks = marks.unionByName(_single_windows(bodies, window))
+    marks = marks.join(sized.select("name", "d1", "d2", "rows"), ["name", "d1", "d2"])
+    placed = join_by_frequency(shared.select("name", "d1", "d2", "doc", "key", "first"), marks, ["name", "d1", "d2"], "rows", keep_keys=False)
     return placed.groupBy("doc", "key").agg(F.collect_list(F.struct("first", "marks")).alias("spans"))
 
 
@@ -393,21 +423,24 @@ def _cut(text: bytes, spans: list[dict] | None, window: int) -> tuple[bytes, int
     return b"".join(kept), sum(b - a for a, b in merged), len(merged)
 
 
-def deduplicate_substrings(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, hot_segments: int = HOT_SEGMENTS, with_kept: bool = True) -> DataFrame:
+def deduplicate_substrings(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, name_bytes: int = NAME_BYTES, with_kept: bool = True) -> DataFrame:
     """A row per input row: id, n_bytes, n_removed, n_spans, kept_sha256 and (if ``with_kept``) kept, the remaining bytes."""
+    if window < NAME_LENGTHS[0]:
+        raise ValueError(f"windows have at least {NAME_LENGTHS[0]} bytes")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    docs = frame.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
-    spans = repeated_marks(docs, window, hot_segments)
-    joined = docs.join(spans, ["doc", "key"], "left").select("doc", "text", "spans")
+    nameless, doc = document_key(frame, id_col, text)
+    docs = frame.select(F.col(f"`{id_col}`").alias("id"), doc, F.xxhash64(text, nameless).alias("key"), text.cast("binary").alias("text"), F.lit(1).cast("long").alias("copies"))
+    spans = repeated_marks(docs, window, name_bytes)
+    joined = docs.join(spans, ["doc", "key"], "left").select("id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = part.column("text").to_pylist()
-                rows = [_cut(t, s, window) for t, s in zip(texts, part.column("spans").to_pylist())]
+                texts = part.column(1).to_pylist()
+                rows = [_cut(t, s, window) for t, s in zip(texts, part.column(2).to_pylist())]
                 columns = {
-                    "doc": part.column("doc"),
+                    id_col: part.column(0),
                     "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
                     "n_removed": pa.array([r[1] for r in rows], pa.int64()),
                     "n_spans": pa.array([r[2] for r in rows], pa.int64()),
@@ -417,6 +450,5 @@ def deduplicate_substrings(frame: DataFrame, id_col: str = "doc_id", text_col: s
                     columns["kept"] = pa.array([r[0] for r in rows], pa.binary())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    out = joined.mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else ""))
-    restored = F.when(F.col("doc") == LAST_ID, F.lit(None).cast("long")).otherwise(F.col("doc"))
-    return out.select(restored.alias(id_col), *[c for c in out.columns if c != "doc"])
+    kind = docs.schema["id"].dataType.simpleString()
+    return joined.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else ""))
