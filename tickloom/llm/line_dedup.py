@@ -3,18 +3,20 @@
 A first pass over the texts fills two filters, "seen once" and "seen twice".
 Filters of different tasks merge without a shuffle of lines: a bit set on both
 sides has been seen twice.  A second pass sends only lines that the second
-filter suspects to an exact grouping by the key itself, which finds the keys of
-several documents and the least document id of each.
+filter suspects to a grouping by the key's 128-bit digest, which finds the keys of
+several documents and the least document of each.
 
 The filters have a fixed size, ``filter_bytes`` each (broadcast), whatever the
-input: on more lines they suspect more, so more lines shuffle, and the result
-stays exact.  Keys travel as 128-bit digests.
-
-Contract for odd input: a null or empty text is one empty line; keys shorter
-than ``min_chars`` code points are never dropped; rows with one id are one
-document; a null id is a document that sorts after all others; repeated rows
-each keep or lose their lines; an empty table gives an empty result; other
-columns are ignored (``deduplicate_lines``) or kept (``drop_repeated_lines``).
+input: on more lines they suspect more, so more digests shuffle, and the result
+is the same.  They sift while their bits are mostly free, up to some 8 keys a byte
+of the filter; far beyond that every line is suspect.
+
+Contract for odd input: ids are integers; a null or empty text is one empty line;
+keys shorter than ``min_chars`` code points are never dropped; rows with one id
+are one document; rows without an id are documents named by their text that sort
+after all others; repeated rows each keep or lose their lines; an empty table
+gives an empty result; other columns are ignored (``deduplicate_lines``) or kept,
+whatever their names (``drop_repeated_lines``).
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, checkpointed, join_by_frequency
+from .common import checkpointed, document_key, fresh_name, join_by_frequency
 
 BLANK = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 10
@@ -115,7 +117,7 @@ def build_filter(frame: DataFrame, text_col: str, min_chars: int, filter_bytes:
 
 
 def lost_keys(frame: DataFrame, id_col: str, text_col: str, min_chars: int, filter_bytes: int) -> DataFrame:
-    """(_doc, _drop): for each document the 128-bit digests of the keys that it loses."""
+    """(nameless, doc, lost): for each document the 128-bit digests of the keys that it loses."""
     spark = frame.sparkSession
     shared = spark.sparkContext.broadcast(build_filter(frame, text_col, min_chars, filter_bytes))
 
@@ -123,24 +125,30 @@ def lost_keys(frame: DataFrame, id_col: str, text_col: str, min_chars: int, filt
         twice = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).view(bool)
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
-                own = [set(text_keys(text, min_chars)) for text in batch.column(1)[k : k + 512].to_pylist()]
+                part = batch.slice(k, 512)
+                own = [set(text_keys(text, min_chars)) for text in part.column(2).to_pylist()]
                 digests = _digests([key for keys in own for key in keys])
-                docs = np.repeat(batch.column(0)[k : k + 512].to_numpy(), [len(keys) for keys in own])
+                row = np.repeat(np.arange(part.num_rows), [len(keys) for keys in own])
                 hit = twice[_bits(digests[:, 0], filter_bytes)].all(axis=1)
-                both = digests[hit].view(np.int64)
-                yield pa.RecordBatch.from_pydict({"h": pa.array(both[:, 0]), "l": pa.array(both[:, 1]), "doc": pa.array(docs[hit], pa.int64())})
+                both, row = digests[hit].view(np.int64), pa.array(row[hit])
+                yield pa.RecordBatch.from_pydict({"h": pa.array(both[:, 0]), "l": pa.array(both[:, 1]), "nameless": part.column(0).take(row), "doc": part.column(1).take(row)})
 
-    source = frame.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
-    found = checkpointed(source.mapInArrow(suspects, "h long, l long, doc long"))
-    held = found.groupBy("h", "l").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n"))
-    lost = join_by_frequency(found, held.where("first < last").drop("last"), ["h", "l"], "n").where("doc <> first")
-    return lost.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("h", "l")).alias("_drop"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    source = frame.select(*document_key(frame, id_col, text), text.cast("binary").alias("text"))
+    found = checkpointed(source.mapInArrow(suspects, "h long, l long, nameless int, doc long"))
+    holder = F.struct("nameless", "doc")
+    held = found.groupBy("h", "l").agg(F.min(holder).alias("first"), F.max(holder).alias("last"), F.count(F.lit(1)).alias("n"))
+    lost = join_by_frequency(found, held.where("first < last").drop("last"), ["h", "l"], "n").where(holder != F.col("first"))
+    return lost.groupBy("nameless", "doc").agg(F.collect_set(F.struct("h", "l")).alias("lost"))
 
 
-def _rewrite(frame: DataFrame, id_col: str, text_col: str, min_chars: int, filter_bytes: int) -> DataFrame:
-    """``frame`` with _drop: the digests of the keys that its document loses (null: none)."""
-    lost = lost_keys(frame, id_col, text_col, min_chars, filter_bytes)
-    return frame.withColumn("_doc", F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))).join(lost, "_doc", "left").drop("_doc")
+def _rewrite(frame: DataFrame, id_col: str, text_col: str, min_chars: int, filter_bytes: int) -> tuple[DataFrame, str]:
+    """(``frame`` with one more column, its name): the digests of the keys that the document loses (null: none)."""
+    own = fresh_name(frame, "line")
+    lost = lost_keys(frame, id_col, text_col, min_chars, filter_bytes).toDF(f"{own}_nameless", f"{own}_doc", own)
+    key = document_key(frame, id_col, F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    keyed = frame.select("*", key[0].alias(f"{own}_nameless"), key[1].alias(f"{own}_doc"))
+    return keyed.join(lost, [f"{own}_nameless", f"{own}_doc"], "left").drop(f"{own}_nameless", f"{own}_doc"), own
 
 
 def _kept(text: bytes, drop: list[dict] | None, min_chars: int) -> tuple[bytes, int, int]:
@@ -156,16 +164,16 @@ def _kept(text: bytes, drop: list[dict] | None, min_chars: int) -> tuple[bytes,
 
 def deduplicate_lines(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, filter_bytes: int = FILTER_BYTES, with_text: bool = True) -> DataFrame:
     """A row per input row: id, n_lines, n_dropped, kept_sha256 and (if ``with_text``) kept_text."""
-    narrow = frame.select(F.col(f"`{id_col}`").alias(id_col), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("_text"))
-    kind = narrow.schema[id_col].dataType.simpleString()
+    narrow = frame.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    kind = narrow.schema["id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                rows = [_kept(t, d, min_chars) for t, d in zip(part.column("_text").to_pylist(), part.column("_drop").to_pylist())]
+                rows = [_kept(t, d, min_chars) for t, d in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
                 columns = {
-                    id_col: part.column(id_col),
+                    id_col: part.column(0),
                     "n_lines": pa.array([r[1] for r in rows], pa.int64()),
                     "n_dropped": pa.array([r[2] for r in rows], pa.int64()),
                     "kept_sha256": pa.array([hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string()),
@@ -175,18 +183,18 @@ def deduplicate_lines(frame: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = f"`{id_col}` {kind}, n_lines long, n_dropped long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return _rewrite(narrow, id_col, "_text", min_chars, filter_bytes).select(id_col, "_text", "_drop").mapInArrow(cut, schema)
+    joined, own = _rewrite(narrow, "id", "text", min_chars, filter_bytes)
+    return joined.select("id", F.coalesce("text", F.lit("")).cast("binary"), own).mapInArrow(cut, schema)
 
 
 def drop_repeated_lines(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """``frame`` with the same columns and the repeated lines gone from the text (a null text stays null)."""
-    joined = _rewrite(frame, id_col, text_col, min_chars, filter_bytes)
+    joined, own = _rewrite(frame, id_col, text_col, min_chars, filter_bytes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            texts = [t if t is None else _kept(t.encode("utf-8"), d, min_chars)[0].decode("utf-8") for t, d in zip(batch.column(at).to_pylist(), batch.column("_drop").to_pylist())]
-            yield batch.set_column(at, text_col, pa.array(texts, pa.string())).drop_columns("_drop")
+            texts = [t if t is None else _kept(t.encode("utf-8"), d, min_chars)[0].decode("utf-8") for t, d in zip(batch.column(at).to_pylist(), batch.column(own).to_pylist())]
+            yield batch.set_column(at, text_col, pa.array(texts, pa.string())).drop_columns(own)
 
     return joined.mapInArrow(cut, frame.schema)
-
