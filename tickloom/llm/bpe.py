@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,8 @@ _LOADED: dict[tuple[str, str], "ByteBpe"] = {}
 class ByteBpe:
     """Ranks in tiktoken's file format; ids are ranks."""
 
-    def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    def __init__(self, ranks: bytes, pattern: str):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
@@ -56,9 +56,15 @@ class ByteBpe:
 
     @classmethod
     def load(cls, path: str, pattern: str) -> "ByteBpe":
-        if (path, pattern) not in _LOADED:
-            _LOADED[path, pattern] = cls(path, pattern)
-        return _LOADED[path, pattern]
+        return cls.of(Path(path).read_bytes(), pattern)
+
+    @classmethod
+    def of(cls, ranks: bytes, pattern: str) -> "ByteBpe":
+        """The model of a rank file's content, made once per process."""
+        key = hashlib.sha256(ranks).hexdigest(), pattern
+        if key not in _LOADED:
+            _LOADED[key] = cls(ranks, pattern)
+        return _LOADED[key]
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair; ids below zero stand for "no token"."""
@@ -191,13 +197,14 @@ class ByteBpe:
 def encode_texts(frame: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """A row per input row: id, ids (array, if ``with_ids``), n_tokens and the digests of ids and of the decoded bytes.
 
-    ``path``: the rank file, readable on every executor.
+    ``path``: the rank file; the driver reads it and broadcasts its content, whose size the vocabulary fixes.
     """
+    shared = frame.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
     source = frame.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     id_type = source.schema["_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = ByteBpe.load(path, pattern)
+        model = ByteBpe.of(shared.value, pattern)
         for batch in batches:
             encoded = list(model.encode(batch.column(1).to_pylist()))
             columns = {
@@ -219,9 +226,10 @@ def decode_ids(frame: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     """id and the decoded bytes of each row; null ids decode to nothing."""
     source = frame.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{ids_col}`"), F.array().cast("array<long>")).alias("_ids"))
     kind = source.schema["_id"].dataType.simpleString()
+    shared = frame.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = ByteBpe.load(path, pattern)
+        model = ByteBpe.of(shared.value, pattern)
         for batch in batches:
             out = [b"".join(map(model.bytes_of.__getitem__, ids)) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({id_col: batch.column(0), "decoded": pa.array(out, pa.binary())})

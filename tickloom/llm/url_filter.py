@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, fresh_name
 
 WORD_BITS = 64
 
@@ -176,12 +176,13 @@ def filter_urls(
 
     host, path = url_parts(F.col(f"`{url_col}`"))
     out = frame.drop(*({"host", "path", "rule", "verdict"} - {url_col})).withColumns({"host": host, "path": path})
-    out = out.withColumn("_match", first_match(F.concat(F.lit("."), "host", F.lit("#"), "path")))
+    match = fresh_name(frame, "match")
+    out = out.withColumn(match, first_match(F.concat(F.lit("."), "host", F.lit("#"), "path")))
     names = F.array(*[F.lit(r.name) for r in ranked]) if ranked else F.array().cast("array<string>")
     verdicts = F.array(*[F.lit(r.verdict) for r in [*ranked, *globs]]) if patterns else F.array().cast("array<string>")
     return out.withColumns(
         {
-            "rule": F.when(F.col("_match").between(0, len(ranked) - 1), F.get(names, F.col("_match"))),
-            "verdict": F.when(F.col("_match") >= 0, F.get(verdicts, F.col("_match"))).otherwise(F.lit(default)),
+            "rule": F.when(F.col(match).between(0, len(ranked) - 1), F.get(names, F.col(match))),
+            "verdict": F.when(F.col(match) >= 0, F.get(verdicts, F.col(match))).otherwise(F.lit(default)),
         }
-    ).drop("_match")
+    ).drop(match)
