@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS
+from .common import SPACE_CLASS, WORD_CLASS, fresh_name
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of the four languages.
@@ -72,54 +72,65 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Bits of a packed window that hold its place; texts of more words compare windows as structs.
+PLACE_BITS = 20
+
+
 def _repeated(words: Column) -> Column:
     """Words in 3-word windows that occur twice or more (windows compared by a 64-bit hash)."""
+    mask = (1 << PLACE_BITS) - 1
 
-    def covered(windows: Column) -> Column:
-        pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    def packed_starts(windows: Column) -> Column:
+        # longs sort fastest: the hash's upper bits and the place; neighbours of one prefix compare whole hashes
+        packed = F.sort_array(F.transform(windows, lambda h, i: h.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))))
 
-        def starts(p: Column) -> Column:
-            near = lambda e, j: (F.get(p, j - 1)["h"] == e["h"]) | (F.get(p, j + 1)["h"] == e["h"])
-            return F.sort_array(F.transform(F.filter(p, lambda e, j: F.coalesce(near(e, j), F.get(p, j - 1)["h"] == e["h"], F.get(p, j + 1)["h"] == e["h"], F.lit(False))), lambda e: e["i"]))
+        def same(p: Column, e: Column, j: Column) -> Column:
+            other = F.get(p, j)
+            full = lambda x: F.get(windows, x.bitwiseAND(F.lit(mask)).cast("int"))
+            return F.coalesce(F.shiftright(e.bitwiseXOR(other), PLACE_BITS) == 0, F.lit(False)) & (full(e) == full(other))
+
+        return _bind(packed, lambda p: F.sort_array(F.transform(F.filter(p, lambda e, j: same(p, e, j + 1) | same(p, e, j - 1)), lambda e: e.bitwiseAND(F.lit(mask)).cast("int"))))
+
+    def struct_starts(windows: Column) -> Column:
+        pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        same = lambda p, e, j: F.coalesce(F.get(p, j)["h"] == e["h"], F.lit(False))
+        return _bind(pairs, lambda p: F.sort_array(F.transform(F.filter(p, lambda e, j: same(p, e, j + 1) | same(p, e, j - 1)), lambda e: e["i"])))
 
+    def covered(windows: Column) -> Column:
         step = lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last"))
-        count = F.aggregate(_bind(pairs, starts), F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), step, lambda a: a["n"])
+        starts = F.when(F.size(windows) <= mask, packed_starts(windows)).otherwise(struct_starts(windows))
+        count = F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), step, lambda a: a["n"])
         return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(count)
 
     windows = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(_bind(windows, covered)).cast("long")
 
 
-def _measures(text: Column) -> Column:
-    """One struct of all counts of a non-null text."""
-    blank = "\x20\t\n\x0b\x0c\r"
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
+
 
-    def of_words(words: Column) -> list[Column]:
-        share = lambda test: F.size(F.filter(words, test)).cast("long")
-        stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
-        return [
-            F.size(words).cast("long").alias("n_words"),
-            _repeated(words).alias("n_repeat_words"),
-            share(lambda w: F.array_contains(stop, F.lower(F.rtrim(w, F.lit(".,;:!?"))))).alias("n_stop_words"),
-            share(lambda w: w.rlike(r"\p{L}")).alias("n_alpha_words"),
-            share(lambda w: F.endswith(w, F.lit("!!"))).alias("n_shouts"),
-        ]
-
-    def of_lines(lines: Column) -> list[Column]:
-        return [
-            F.size(lines).cast("long").alias("n_lines"),
-            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-            F.size(F.filter(lines, lambda x: F.ltrim(x).rlike(r"^[-*•]"))).cast("long").alias("n_bullet_lines"),
-            F.size(F.filter(lines, lambda x: F.endswith(F.rtrim(x), F.lit("...")))).cast("long").alias("n_ellipsis_lines"),
-        ]
+#: Where a word begins and where it ends, and a line (of those that only U+000A ends).
+_BEGIN, _END, _LINE = rf"(?<!{WORD_CLASS})", rf"(?!{WORD_CLASS})", "(?dm)"
+_STOPPED = rf"{_BEGIN}(?:{'|'.join(dict.fromkeys(STOP_WORDS))})[.,;:!?]*+{_END}"
+_LETTERED = rf"{_BEGIN}[^\x20\x09-\x0D\p{{L}}]*+\p{{L}}"
 
+
+def _measures(text: Column) -> Column:
+    """One struct of all counts of a non-null text.  What needs no array of words is one pass of a pattern over the text."""
+    blank = "\x20\t\n\x0b\x0c\r"
     words = F.array_remove(F.split(text, SPACE_CLASS + "+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, blank, "") != "")
     return F.struct(
         F.length(F.translate(text, blank, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        _bind(words, lambda w: F.struct(*of_words(w))).alias("w"),
-        _bind(lines, lambda x: F.struct(*of_lines(x))).alias("l"),
+        _count(F.lower(text), _STOPPED).alias("n_stop_words"),
+        _count(text, _LETTERED).alias("n_alpha_words"),
+        _count(text, f"!!{_END}").alias("n_shouts"),
+        _count(text, f"{_LINE}^ *+[-*•]").alias("n_bullet_lines"),
+        _count(text, rf"{_LINE}\.\.\. *+$").alias("n_ellipsis_lines"),
+        _bind(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).alias("n_repeat_words"))).alias("w"),
+        _bind(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
     )
 
 
@@ -129,10 +140,10 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def judge_quality(frame: DataFrame, text_col: str = "text", base: Sequence[Threshold] = BASE_RULES, rules: Sequence[Threshold] = RULES) -> DataFrame:
     """Adds the measures, base_failed, failed_rules (names, in table order) and kept."""
     added = {*MEASURES, "base_failed", "failed_rules", "kept"}
-    measured = frame.drop(*(added - {text_col})).withColumn("_m", _measures(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
-    top = {"word_chars", "n_symbols"}
-    lines = {"n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines"}
-    out = measured.withColumns({m: F.col(f"_m.{m}" if m in top else f"_m.l.{m}" if m in lines else f"_m.w.{m}") for m in MEASURES}).drop("_m")
+    own = fresh_name(frame, "measures")
+    measured = frame.drop(*(added - {text_col})).withColumn(own, _measures(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    inside = {"n_words": "w.", "n_repeat_words": "w.", "n_lines": "l.", "n_dup_lines": "l."}
+    out = measured.withColumns({m: F.col(f"{own}.{inside.get(m, '')}{m}") for m in MEASURES}).drop(own)
     failed = lambda table: F.filter(F.array(*[F.when(t.fails(), F.lit(t.name)) for t in table]), lambda x: x.isNotNull())
     out = out.withColumns({"base_failed": F.size(failed(base)) > 0, "failed_rules": failed([*base, *rules])})
     return out.withColumn("kept", F.size("failed_rules") == 0)
