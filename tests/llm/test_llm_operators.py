@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tickloom.llm import bpe, chat, decontaminate, line_dedup, quality, sentence_dedup, similar, simhash, suffix_dedup, toxicity, url_filter
+from tickloom.llm import bpe, chat, common, decontaminate, line_dedup, quality, sentence_dedup, similar, simhash, suffix_dedup, toxicity, url_filter
 from tickloom.llm.components import connected_components
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -70,6 +70,99 @@ def test_odd_rows_and_empty_tables(spark, odd, name):
     assert empty.count() == 0 and empty.columns == out.columns
 
 
+#: As above, with lines shared between documents with and without ids, and columns named like the operators' own.
+CROWDED = [*((i, t) for i, t, *_ in ODD), (9, "a line of its own\nnaïve Ünïcode 日本語 🙂 text"), (None, "naïve Ünïcode 日本語 🙂 text\nmine alone, mine"), (None, "naïve Ünïcode 日本語 🙂 text\nmine alone, mine"), (2**63 - 1, PROSE * 3 + "x"), (-5, "word")]
+NAMES = ["kept", "n_words", "_kept", "__kept", "_line", "_line_doc", "_doc", "_drop", "_m", "_measures", "_match", "_text", "id", "doc", "nameless", "fp", "node", "label", "found", "verdict_"]
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    rows = [(i, t, *([f"c{k}"] * len(NAMES))) for k, (i, t) in enumerate(CROWDED)]
+    return spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in NAMES))
+
+
+def linked_reference(near):
+    """Least id of each crowded row's group: rows are linked by ``near`` or by a common id."""
+    group = list(range(len(CROWDED)))
+    for _ in CROWDED:
+        for a, (i, x) in enumerate(CROWDED):
+            for b, (j, y) in enumerate(CROWDED):
+                if i is not None and i == j or near(x or "", y or ""):
+                    group[a] = group[b] = min(group[a], group[b])
+    least = {g: min((i for k, (i, _) in enumerate(CROWDED) if group[k] == g and i is not None), default=None) for g in group}
+    return [least[g] for g in group]
+
+
+def jaccard(x, y):
+    a, b = ({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in (x, y))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_crowded_rows_near_duplicates(crowded):
+    alike = lambda x, y: (fingerprint_reference(x) ^ fingerprint_reference(y)).bit_count() <= 2
+    least = linked_reference(alike)
+    got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(crowded).collect())
+    assert got == Counter((i, f"{fingerprint_reference(t):016x}", g) for (i, t), g in zip(CROWDED, least))
+    for drop, groups in ((simhash.drop_near_duplicates, least), (similar.drop_similar, linked_reference(lambda x, y: jaccard(x, y) >= 0.8))):
+        kept = drop(crowded)
+        assert kept.columns == crowded.columns
+        assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(row for row, g in zip(CROWDED, groups) if row[0] == g)
+        assert drop(crowded.limit(0)).count() == 0
+
+
+def test_crowded_rows_lines(crowded):
+    gone = {(9, CROWDED[10][1]): "a line of its own", (None, CROWDED[11][1]): "mine alone, mine"}
+    kept = line_dedup.drop_repeated_lines(crowded)
+    assert kept.columns == crowded.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((i, gone.get((i, t), t)) for i, t in CROWDED)
+    got = Counter((r.doc_id, r.n_dropped, r.kept_text) for r in line_dedup.deduplicate_lines(crowded).collect())
+    assert got == Counter((i, int((i, t) in gone), gone.get((i, t), t or "")) for i, t in CROWDED)
+
+
+def test_crowded_rows_substrings_and_sentences(crowded):
+    want = substring_reference([(t or "").encode() for _, t in CROWDED], 400)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.deduplicate_substrings(crowded).collect())
+    assert got == Counter((i, *w) for (i, _), w in zip(CROWDED, want)) and sum(w[1] for w in want) > 5_000
+    rows = sentence_dedup.deduplicate_sentences(crowded).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in CROWDED)
+    lost = {(r.doc_id, r.n_removed > 0) for r in rows}
+    assert {(2, False), (3, False), (4, False), (5, False), (6, False), (2**63 - 1, True)} <= lost and all(r.kept_text is None for r in rows if r.doc_id == 2)
+
+
+def test_crowded_rows_rules_leaks_and_scores(spark, crowded):
+    judged = quality.judge_quality(crowded)
+    assert judged.count() == len(CROWDED) and set(NAMES) - {"kept", "n_words"} <= set(judged.columns)
+    assert {r.n_words for r in judged.collect() if r.doc_id == 1} == {len(PROSE.split()) * 3}
+    bench = spark.createDataFrame([(1, PROSE), (2, None), (3, ""), (4, "mine alone")], "item_id long, text string")
+    holds = lambda t: [k for k, x in ((1, PROSE), (4, "mine alone")) if t and x.strip() in t]
+    got = Counter((r.doc_id, tuple(r.item_ids)) for r in decontaminate.decontaminate(crowded, bench).collect())
+    assert got == Counter((i, tuple(holds(t))) for i, t in CROWDED)
+    clean = decontaminate.drop_contaminated(crowded, bench)
+    assert clean.columns == crowded.columns and Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(row for row in CROWDED if not holds(row[1]))
+    labels = spark.createDataFrame([(i, k % 2) for k, (i, _) in enumerate(CROWDED)] + [(1, None), (77, 1)], "doc_id long, toxic int")
+    scored = toxicity.score_toxicity(crowded, labels).collect()
+    assert Counter(r.doc_id for r in scored) == Counter(i for i, _ in CROWDED) and len({r.score for r in scored if r.doc_id in (2, 3)}) == 1
+
+
+@pytest.mark.parametrize("f", [simhash.near_duplicates, simhash.drop_near_duplicates, similar.drop_similar, line_dedup.deduplicate_lines, sentence_dedup.deduplicate_sentences, suffix_dedup.deduplicate_substrings])
+def test_ids_that_are_no_integers_are_refused(spark, f):
+    with pytest.raises(TypeError):
+        f(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
+
+
+def test_clusters_need_a_shared_checkpoint_folder(monkeypatch):
+    class Elsewhere:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError):
+        common.checkpointed(type("Frame", (), {"sparkSession": Elsewhere})())
+
+
 # ---- 1
 
 
@@ -183,6 +276,24 @@ def test_components_of_a_path_and_a_star(spark):
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 160)} == {100} and got[500] == 500
 
 
+def test_components_scatter_the_links_of_hubs(spark):
+    links = [(0, i) for i in range(1, 3_000)] + [(10_000, 10_000 + i) for i in range(1, 30)] + [(i, 20_000 + i) for i in range(0, 3_000, 7)]
+    nodes = sorted({n for link in links for n in link})
+    frame, labelled = spark.createDataFrame(links, "src long, dst long"), spark.createDataFrame([(n, n) for n in nodes], "node long, label long")
+    got = [{r.node: r.label for r in connected_components(frame, labelled, hub_links=limit).collect()} for limit in (50, 1_000_000)]
+    assert got[0] == got[1] == {n: 10_000 if 10_000 <= n < 20_000 else 0 for n in nodes}
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame([(i, i + 1) for i in range(100)], "src long, dst long"), labelled, max_rounds=1)
+
+
+def test_crowded_cells_of_a_fine_grid_are_bounded():
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 2**63, 1).astype(np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (20_000, 4)).astype(np.uint64)).sum(axis=1, dtype=np.uint64)
+    fps = np.unique(fps)
+    sizes = [np.unique(cell, return_counts=True)[1].max() for cell in simhash._cells(simhash.segment_counts(fps, 1), simhash.FINE_SPARE, 2 + simhash.FINE_SPARE, 2)]
+    assert max(sizes) <= 256 and len(sizes) == 120
+
+
 def test_one_document_of_each_group_stays(documents, texts):
     want = components_reference({i: fingerprint_reference(t) for i, t in texts.items()})
     kept = simhash.drop_near_duplicates(documents)
@@ -209,6 +320,11 @@ def test_pipeline_near_duplicates_against_all_pairs(spark):
     rows = [*docs.items(), (None, docs[1]), (None, "only here without an id"), (7, docs[7])]
     got = Counter(r.doc_id for r in similar.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert len(links) > 100
+    source = spark.createDataFrame(rows, "id long, text string").withColumn("text", F.coalesce("text", F.lit("")).cast("binary"))
+    for load in (similar.GROUP_SHINGLES, 500):  # whole components, and components in blocks
+        marks, groups = similar.similar_groups(source, group_shingles=load)
+        labels = {r.id: r.label for r in marks.join(groups, "node").where("id is not null").collect()}
+        assert labels == label
     assert got == Counter([i for i in ids if label[i] == i] + [None] + [7] * (label[7] == 7))
 
 
@@ -310,18 +426,35 @@ def test_leaks_of_large_benchmarks_against_checks_of_every_window(spark, n_items
         rows.append((1_000 + k, " ".join(host[:at] + leak + host[at:])))
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
-    detector = decontaminate.fit(frame, bench)
-    of = defaultdict(list)
-    for p in detector.pieces:
-        of[p.item].append(p)
+    detectors = [decontaminate.fit(frame, pieces) for pieces in decontaminate.item_blocks(bench)]
+    assert len(detectors) == 1 + (n_items > 1_000) and sum(len({p.item for p in d.pieces}) for d in detectors) == n_items
+    of, home = defaultdict(list), {}
+    for detector in detectors:
+        for p in detector.pieces:
+            of[p.item].append(p)
+            home[p.item] = detector
     missed = {0: 0, 1: 0}
     for d, text in rows[100:]:
         words = decontaminate.words_of(text)
-        if any(detector._verify(p, words[a : a + 93]) for p in of[planted[d]] for a in range(0, len(words), 13)):
-            missed[d % 2] += planted[d] not in dict(detector.find(text))
+        if any(home[p.item]._verify(p, words[a : a + 93]) for p in of[planted[d]] for a in range(0, len(words), 13)):
+            missed[d % 2] += planted[d] not in dict(home[planted[d]].find(text))
     assert missed[1] == 0 and missed[0] <= 2
 
 
+def test_blocks_of_items_and_short_items(spark):
+    rng = random.Random(23)
+    prose = lambda n: [f"w{rng.randrange(3_000)}" for _ in range(n)]
+    items = [(k, " ".join(prose(n))) for k, n in enumerate([30, 45, 3, 2, 35, 90, 1, 40])] + [(50, None), (51, " ... ")]
+    rows = [(100 + k, " ".join(prose(60) + (text or "").split() + prose(60))) for k, text in items] + [(0, " ".join(prose(200))), (1, None), (2, "")]
+    frame, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    words = {d: f" {text or ''} " for d, text in rows}
+    for size in (decontaminate.PASS_PIECES, 3):
+        got = {r.doc_id: r for r in decontaminate.decontaminate(frame, bench, pass_pieces=size).collect()}
+        assert {d: r.item_ids for d, r in got.items()} == {d: [k for k, item in items if item and item != " ... " and f" {item} " in text] for d, text in words.items()}
+        kept = decontaminate.drop_contaminated(frame, bench, pass_pieces=size)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, r in got.items() if not r.contaminated)
+
+
 def test_benchmarks_of_many_terms_keep_them_all(spark):
     items = [(k, " ".join(f"t{k * 40 + j}" for j in range(40))) for k in range(1_800)]  # 72,000 words
     frame = spark.createDataFrame([(k, f"some words before {text} and after") for k, text in items[::50]] + [(-1, "nothing of them")], "doc_id long, text string")
@@ -349,6 +482,7 @@ def test_common_subsequence_against_dynamic_programming():
 def test_bpe_against_the_library(spark, texts, odd):
     tiktoken = pytest.importorskip("tiktoken")
     model = bpe.ByteBpe.load(RANKS, tokenizers.PATTERN)
+    assert bpe.ByteBpe.load(RANKS, tokenizers.PATTERN) is model
     library = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=model.ranks, special_tokens={})
     rng = random.Random(8)
     alphabet = "aábcé \t\n\r\x0b\x1c\x85\u00a0\u2003\u3000'stredllm1٣½,.!日本🙂\u0301<|endoftext|>"
@@ -401,27 +535,73 @@ def test_chat_round_trip(spark):
 # ---- 8
 
 
+def sentences_reference(text):
+    """Keys of the sentences, told apart character by character."""
+    sentences, now, ended = [], "", False
+    for c in text:
+        if ended and c not in ".!?" or c == "\n":
+            sentences.append(now)
+            now, ended = "", False
+        if c != "\n":
+            now, ended = now + c, c in ".!?"
+    sentences.append(now)
+    keys = []
+    for sentence in sentences:
+        words = re.findall(r"[^ .!?]+", sentence)
+        if len(words) <= 25:
+            keys.append(sentence)
+            continue
+        last, tail = 0, sentence[len(sentence.rstrip(".!?")) :]
+        for k, w in enumerate(words):
+            digest = hashlib.md5(f"{words[k - 1].lower() if k else ''} {w.lower()}".encode()).hexdigest()
+            if digest[0] in "012" or k + 1 - last == 25 or k + 1 == len(words):
+                keys.append(" ".join(words[last : k + 1]) + tail * (k + 1 == len(words)))
+                last = k + 1
+    return [k.strip(" ").lower() for k in keys if k.strip(" ")]
+
+
 def test_sentence_spans_against_loops(spark):
     rng = random.Random(11)
     vocabulary = [f"w{k}" for k in range(300)]
     sentence = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 12))) + rng.choice([".", "!", "?", "..."])
     shared = [" ".join(sentence() for _ in range(8)) for _ in range(5)]
     docs = [(i, rng.choice([" ", "\n"]).join(rng.choice([sentence(), sentence(), rng.choice(shared), rng.choice(shared).upper()]) for _ in range(12))) for i in range(60)]
+    flat = [" ".join(rng.choice(vocabulary) for _ in range(150)) for _ in range(3)]  # without signs
+    docs += [(60 + i, " ".join(rng.choice([sentence().rstrip(".!?"), rng.choice(flat)]) for _ in range(5))) for i in range(20)]
     seen, gone = {}, defaultdict(set)
     for i, text in docs:
-        keys = sentence_dedup.split_sentences(text)[2]
+        keys = sentences_reference(text)
         for a in range(len(keys)):
             for b in range(a + 3, len(keys) + 1):
-                if sum(len(k.split()) for k in keys[a:b]) >= 20:
+                if sum(len(re.findall(r"[^ .!?]+", k)) for k in keys[a:b]) >= 20:
                     if seen.setdefault(tuple(keys[a:b]), (i, a)) != (i, a):
                         gone[i].update(range(a, b))
                     break
     for r in sentence_dedup.deduplicate_sentences(spark.createDataFrame(docs, "doc_id long, text string")).collect():
-        pieces, places, keys = sentence_dedup.split_sentences(docs[r.doc_id][1])
+        pieces, places, keys, _ = sentence_dedup.split_sentences(docs[r.doc_id][1].encode())
         out = {places[k] for k in gone[r.doc_id]}
-        assert "".join(pieces) == docs[r.doc_id][1]
+        assert b"".join(pieces).decode() == docs[r.doc_id][1] and [k.decode() for k in keys] == sentences_reference(docs[r.doc_id][1])
         assert (r.n_sentences, r.n_removed) == (len(keys), len(gone[r.doc_id]))
-        assert r.kept_text == "".join(p for k, p in enumerate(pieces) if k not in out)
+        assert r.kept_text.encode() == b"".join(p for k, p in enumerate(pieces) if k not in out)
+
+
+def test_passages_are_found_at_any_word_offset(spark):
+    rng = random.Random(22)
+    prose = lambda n: [f"w{rng.randrange(9_000)}" for _ in range(n)]
+    for length, least in ((120, 0.6), (500, 0.85)):
+        rows, passages = [], [prose(length) for _ in range(30)]
+        for k, p in enumerate(passages):  # no sign ends a sentence, and each copy begins at another word of its line
+            rows += [(2 * k, " ".join(prose(rng.randrange(60)) + p + prose(40))), (2 * k + 1, " ".join(prose(rng.randrange(60)) + p + prose(40)))]
+        got = {r.doc_id: r for r in sentence_dedup.deduplicate_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        lost = [len(rows[2 * k + 1][1].split()) - len(got[2 * k + 1].kept_text.split()) for k in range(30)]
+        assert all(got[2 * k].n_removed == 0 for k in range(30))
+        assert all(lost) and sum(lost) >= least * 30 * length and max(lost) <= length
+
+
+@pytest.mark.parametrize("text", ["", "\n", " . ! ?", "a" * 5_000, "ab " * 3_000, "naïve Ünï\u00a0code 日本語。" * 40, "one two\x0bthree... four?!\n\n five " * 30])
+def test_sentences_give_the_text_again(text):
+    pieces, _, _, words = sentence_dedup.split_sentences(text.encode())
+    assert b"".join(pieces) == text.encode() and max(words, default=0) <= 25
 
 
 # ---- 9
@@ -448,8 +628,8 @@ def substring_reference(docs, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [32_768, 1])
-def test_substrings_against_brute_force(spark, hot):
+@pytest.mark.parametrize("name_bytes", [1_000_000, 2_000, 1])
+def test_substrings_against_brute_force(spark, name_bytes):
     rng = random.Random(13)
     base = ["".join(rng.choice("abcdé ") for _ in range(400)) for _ in range(6)] + ["ab" * 200, "the " * 90, "z" * 300]
     texts = []
@@ -458,7 +638,7 @@ def test_substrings_against_brute_force(spark, hot):
     texts += [texts[0], texts[1], "", "short"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = substring_reference([t.encode() for t in texts], 64)
-    for r in suffix_dedup.deduplicate_substrings(frame, window=64, hot_segments=hot).collect():
+    for r in suffix_dedup.deduplicate_substrings(frame, window=64, name_bytes=name_bytes).collect():
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id]
         assert r.kept_sha256 == hashlib.sha256(want[r.doc_id][3]).hexdigest()
 

@@ -11,8 +11,6 @@ from pyspark.sql.types import IntegralType
 #: ASCII white space as the operators define it: space and U+0009..U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
-#: Rows without an id form one document that sorts after all others.
-LAST_ID = 2**63 - 1
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows of a table that is broadcast; more go through a shuffle.
 BROADCAST_ROWS = 1_000_000
