@@ -197,3 +197,66 @@ def test_normal_cdf(spark):
 def test_estimator(panel):
     model = hrp_estimator().fit(panel)
     assert model.transform(panel).count() == 300 and math.isfinite(model.score(panel))
+
+
+def test_kendall_against_all_pairs():
+    rng = np.random.default_rng(11)
+    for n, top in ((2, 3), (7, 3), (200, 5), (1_000, 10_000)):
+        x, y = rng.integers(0, top, (2, n)).astype(float)
+        a, b = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+        span = math.sqrt(np.abs(a).sum() * np.abs(b).sum())
+        assert abs(scenarios.kendall_tau(x, y) - ((a * b).sum() / span if span else 0.0)) < 1e-12
+        assert scenarios.inversions(x) == int((np.triu(a, 1) > 0).sum())
+
+
+def test_draws_do_not_depend_on_batches(spark):
+    copula = scenarios.Copula("student-t", np.array([[1.0, 0.5], [0.5, 1.0]]), dof=4.0)
+    draws = copula.sample(spark, 500, seed=3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        again = copula.sample(spark, 500, seed=3).orderBy("id").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert draws.orderBy("id").collect() == again
+
+
+def test_widest_gap_of_merges():
+    assert allocation.natural_clusters([1.0, 1.1, 5.0]) == 2
+    assert allocation.natural_clusters([1.0, 4.0, 4.1]) == 3
+    assert allocation.natural_clusters([1.0, 2.0, 3.0]) == 3  # equal gaps: the lowest
+    assert allocation.natural_clusters([1.0]) == 2
+
+
+def test_cost_models_move_no_weight(spark):
+    alphas, cov = {"A": 0.05, "B": 0.08, "C": 0.02}, np.diag([0.04, 0.09, 0.16])
+    held = {"A": 1.0}
+    plain = allocation.alpha_risk_cost_optimize(spark, alphas, cov, current_weights=held, cost_per_turnover=0.0).collect()
+    model = allocation.alpha_risk_cost_optimize(spark, alphas, cov, current_weights=held, cost_model=portfolio.CostModel()).collect()
+    dear = allocation.alpha_risk_cost_optimize(spark, alphas, cov, current_weights=held, cost_per_turnover=1.0).collect()
+    assert [r.weight for r in plain] == [r.weight for r in model]
+    moved = sum(abs(r.weight - held.get(r.asset, 0.0)) for r in model)
+    assert abs(model[0].expected_cost_pct - 0.1 * moved) < 1e-9
+    assert dear[0].weight > 0.999 and abs(dear[0].expected_cost_pct) < 1e-3
+
+
+def test_overfitting_by_matrix_equals_joins(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(t, k, float(rng.normal(0.01 * (k == 2), 0.05))) for t in range(97) for k in range(6)]
+    trials = spark.createDataFrame(rows, "t int, trial int, ret double")
+    first = certification.backtest_overfitting(trials, n_splits=8).first()
+    monkeypatch.setattr(certification, "MAX_BLOCK_SUMS", 0)
+    second = certification.backtest_overfitting(trials, n_splits=8).first()
+    assert first.asDict().keys() == second.asDict().keys()
+    for name, value in first.asDict().items():
+        assert abs(value - second[name]) < 1e-9, name
+
+
+def test_attribution_of_each_period(spark):
+    rows = [(t, a, w, r) for t in (1, 2) for a, w, r in (("A", 0.5, 0.1 * t), ("B", 0.3, -0.02), ("C", 0.2, 0.05))]
+    held = spark.createDataFrame(rows, "t int, asset string, weight double, ret double")
+    bench = held.withColumn("weight", F.lit(1 / 3))
+    sectors = spark.createDataFrame([("A", "x"), ("B", "x"), ("C", "y")], "asset string, sector string")
+    every = {(r.t, r.sector): r.total for r in portfolio.brinson_fachler(held, bench, sectors, ["t"]).collect()}
+    for t in (1, 2):
+        one = {r.sector: r.total for r in portfolio.brinson_fachler(held.where(F.col("t") == t), bench.where(F.col("t") == t), sectors).collect()}
+        assert one.keys() == {"x", "y", None} and all(abs(every[t, k] - v) < 1e-12 for k, v in one.items())

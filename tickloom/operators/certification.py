@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,29 +137,73 @@ def regime_summary(regimes: DataFrame, keys: Sequence[str] = ("strategy",)) -> D
 # ---- overfitting ----------------------------------------------------------
 
 
+#: Block sums (blocks times trials) that are sent to the tasks as one matrix; more are joined with the splits.
+MAX_BLOCK_SUMS = 1_000_000
+
+
+def _ranked_by_matrix(stats: DataFrame, chosen: list[tuple[int, ...]], splits: int) -> DataFrame:
+    """(fit, test, place, trials) of each split's best trial: products of split masks with the block sums, batch by batch."""
+    spark = stats.sparkSession
+    table = stats.toPandas().sort_values(["trial", "block"])
+    trials = table["trial"].unique()
+    wide = {c: table.pivot(index="block", columns="trial", values=c).reindex(index=range(splits), columns=trials).fillna(0.0).to_numpy(dtype=float) for c in ("n", "s", "q")}
+    centre = table.groupby("trial", sort=False)["c"].first().reindex(trials).to_numpy(dtype=float)
+    shared = spark.sparkContext.broadcast((wide, centre))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wide, centre = shared.value
+
+        def rates(masks: np.ndarray) -> np.ndarray:
+            n, s, q = (masks @ wide[c] for c in ("n", "s", "q"))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                spread = np.sqrt(np.maximum((q - s * s / n) / (n - 1), 0.0))
+                return np.where(spread > EPSILON, (s / n + centre) / np.maximum(spread, EPSILON), 0.0)
+
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                masks = np.zeros((len(batch[k : k + 256]), splits))
+                for row, blocks in enumerate(batch["blocks"].iloc[k : k + 256]):
+                    masks[row, blocks] = 1
+                fit, test = rates(masks), rates(1 - masks)
+                best = fit.argmax(axis=1)
+                own = test[np.arange(len(best)), best]
+                place = 1 + (test < own[:, None]).sum(axis=1) + ((test == own[:, None]) & (np.arange(len(centre)) < best[:, None])).sum(axis=1)
+                yield pd.DataFrame({"fit": fit[np.arange(len(best)), best], "test": own, "place": place, "trials": len(centre)})
+
+    frame = spark.createDataFrame([(list(c),) for c in chosen], "blocks array<int>").repartition(max(1, min(64, len(chosen) // 2_000)))
+    return frame.mapInPandas(run, "fit double, test double, place long, trials long")
+
+
+def _ranked_by_join(stats: DataFrame, chosen: list[tuple[int, ...]], splits: int) -> DataFrame:
+    """The same as relational algebra: the splits are a table that joins the block sums."""
+    sides = stats.sparkSession.createDataFrame([(k, b, int(b in own)) for k, own in enumerate(chosen) for b in range(splits)], "combo int, block int, inside int")
+    sums = stats.join(F.broadcast(sides), "block").groupBy("combo", "trial", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.first("c").alias("c"))
+    var = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
+    sharpe = F.when(F.sqrt(F.greatest(var, F.lit(0.0))) > EPSILON, (F.col("s") / F.col("n") + F.col("c")) / F.sqrt(F.greatest(var, F.lit(EPSILON * EPSILON)))).otherwise(F.lit(0.0))
+    rated = sums.groupBy("combo", "trial").agg(F.max(F.when(F.col("inside") == 1, sharpe)).alias("fit"), F.max(F.when(F.col("inside") == 0, sharpe)).alias("test"))
+    one = Window.partitionBy("combo")
+    return rated.withColumns({"best": F.row_number().over(one.orderBy(F.desc("fit"), "trial")), "place": F.row_number().over(one.orderBy("test", "trial")), "trials": F.count(F.lit(1)).over(one)}).where("best = 1")
+
+
 def backtest_overfitting(trials: DataFrame, *, n_splits: int = 16, t: str = "t", trial: str = "trial", ret: str = "ret") -> DataFrame:
-    """Probability of backtest overfitting by combinatorial cross-validation, as relational algebra.
+    """Probability of backtest overfitting by combinatorial cross-validation.
 
-    One scan keeps (n, sum, sum of squares) per block and trial; the C(S, S/2)
-    splits are a small table, joined with them.  Returns pbo, n_trials, n_splits,
+    One scan keeps (n, sum, sum of squares) per block and trial, and the C(S, S/2)
+    splits work on these sums, dealt out over the tasks.  Returns pbo, n_trials, n_splits,
     n_combinations, mean_logit and performance_degradation (slope of out-of-sample
     on in-sample Sharpe of the chosen trial).
     """
-    spark = trials.sparkSession
     splits = max(2, n_splits + n_splits % 2)
     base = trials.select(F.col(t).alias("t"), F.col(trial).alias("trial"), F.col(ret).alias("r"))
     times = base.select("t").distinct().withColumn("block", F.ntile(splits).over(Window.orderBy("t")) - 1)  # one row per date, not per return
     centre = base.groupBy("trial").agg(F.avg("r").alias("c"))
     stats = base.join(times, "t").join(centre, "trial").withColumn("x", F.col("r") - F.col("c"))
     stats = stats.groupBy("block", "trial").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.first("c").alias("c"))
-    combos = [(k, b, int(b in chosen)) for k, chosen in enumerate(combinations(range(splits), splits // 2)) for b in range(splits)]
-    sides = spark.createDataFrame(combos, "combo int, block int, inside int")
-    sums = stats.join(F.broadcast(sides), "block").groupBy("combo", "trial", "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.first("c").alias("c"))
-    var = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
-    sharpe = F.when(F.sqrt(F.greatest(var, F.lit(0.0))) > EPSILON, (F.col("s") / F.col("n") + F.col("c")) / F.sqrt(F.greatest(var, F.lit(EPSILON * EPSILON)))).otherwise(F.lit(0.0))
-    rated = sums.groupBy("combo", "trial").agg(F.max(F.when(F.col("inside") == 1, sharpe)).alias("fit"), F.max(F.when(F.col("inside") == 0, sharpe)).alias("test"))
-    one = Window.partitionBy("combo")
-    ranked = rated.withColumns({"best": F.row_number().over(one.orderBy(F.desc("fit"), "trial")), "place": F.row_number().over(one.orderBy("test", "trial")), "trials": F.count(F.lit(1)).over(one)}).where("best = 1")
+    chosen = list(combinations(range(splits), splits // 2))
+    if stats.count() <= MAX_BLOCK_SUMS:
+        ranked = _ranked_by_matrix(stats, chosen, splits)
+    else:
+        ranked = _ranked_by_join(stats, chosen, splits)
     omega = F.col("place") / (F.col("trials") + 1)
     logits = ranked.withColumn("logit", F.ln(omega / (1 - omega)))
     return logits.agg(

@@ -21,8 +21,8 @@ def _named(frame: DataFrame, value) -> DataFrame:
     return frame.select(F.col("a").cast("string").alias("i"), F.col("b").cast("string").alias("j"), value.alias("value"))
 
 
-def sample_cov(returns: DataFrame, *, annualize: bool = True, trading_days: int = TRADING_DAYS) -> DataFrame:
-    return _named(pair_moments(tail_aligned(returns)), F.col("cov") * _scale(annualize, trading_days))
+def sample_cov(returns: DataFrame, *, annualize: bool = True, trading_days: int = TRADING_DAYS, ddof: int = 1) -> DataFrame:
+    return _named(pair_moments(tail_aligned(returns)), F.col("cov") * (F.col("n") - 1) / (F.col("n") - ddof) * _scale(annualize, trading_days))
 
 
 def ledoit_wolf(returns: DataFrame, *, annualize: bool = True, trading_days: int = TRADING_DAYS, target: str = "constant_correlation") -> DataFrame:

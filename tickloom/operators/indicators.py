@@ -14,7 +14,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.exprs import EPSILON, Series
@@ -93,19 +93,36 @@ def latest(values: DataFrame, *outputs: str, keys: Sequence[str] = ("symbol",),
     return values.groupBy(*keys).agg(*[F.max_by(F.col(o), F.when(F.col(o).isNotNull(), F.col(order))).alias(o) for o in outputs])
 
 
+def rescaled_range_exponent(steps: np.ndarray, max_lag: int, min_lag: int) -> float:
+    """Slope of ln(mean R/S) on ln(lag) over the whole blocks of each lag; 0.5 where it cannot be told."""
+    known = int(np.isfinite(steps).sum())
+    points = []
+    for lag in range(min_lag, min(max_lag, known // 2) + 1):
+        blocks = steps[: known // lag * lag].reshape(-1, lag)
+        counts = np.isfinite(blocks).sum(axis=1)
+        blocks = blocks[counts > 1]
+        if not len(blocks):
+            continue
+        off = blocks - np.nanmean(blocks, axis=1, keepdims=True)
+        walk = np.nancumsum(off, axis=1)
+        spread = np.sqrt(np.nansum(off**2, axis=1) / (counts[counts > 1] - 1))
+        live = spread > EPSILON
+        if live.any():
+            points.append((np.log(lag), np.log(((walk.max(axis=1) - walk.min(axis=1))[live] / spread[live]).mean())))
+    if len(points) < 2:
+        return 0.5
+    x, y = np.array(points).T
+    return float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum())
+
+
 def hurst(bars: DataFrame, max_lag: int = 100, *, min_lag: int = 2, source: str = "close", keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",), columns: dict[str, str] | None = None) -> DataFrame:
-    """Rescaled-range exponent per key: slope of ln(mean R/S) on ln(lag); 0.5 where it cannot be told."""
+    """Rescaled-range exponent per key: one exchange, one kernel per series."""
     s = Series(bars, keys, order, columns)
-    change = s.diff(s.let(F.ln(F.greatest(s.source(source), F.lit(EPSILON)))))
-    row = s.row()
-    steps = s.df.select(*keys, (row - 1).alias("_i"), change.alias("_r")).where("_i >= 0")
-    lengths = steps.groupBy(*keys).agg(F.count("_r").alias("_n"))
-    lags = steps.join(lengths, list(keys)).withColumn("_lag", F.explode(F.when(F.least(F.lit(max_lag), F.floor(F.col("_n") / 2)) >= min_lag, F.sequence(F.lit(min_lag), F.least(F.lit(max_lag), F.floor(F.col("_n") / 2)).cast("int")))))
-    blocks = lags.withColumn("_block", F.floor(F.col("_i") / F.col("_lag"))).where("(_block + 1) * _lag <= _n")
-    of = [*keys, "_lag", "_block"]
-    centred = blocks.withColumn("_d", F.col("_r") - F.avg("_r").over(Window.partitionBy(*of)))
-    walk = centred.withColumn("_y", F.sum("_d").over(Window.partitionBy(*of).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)))
-    each = walk.groupBy(*of).agg((F.max("_y") - F.min("_y")).alias("_range"), F.stddev_samp("_r").alias("_sd")).where(F.col("_sd") > EPSILON)
-    means = each.groupBy(*keys, "_lag").agg(F.ln(F.avg(F.col("_range") / F.col("_sd"))).alias("_rs"))
-    slope = means.groupBy(*keys).agg(F.when(F.count("_rs") >= 2, F.regr_slope(F.col("_rs"), F.ln("_lag"))).alias("_h"))
-    return lengths.join(slope, list(keys), "left").select(*keys, F.coalesce("_h", F.lit(0.5)).alias("hurst"))
+    narrow = s.df.select(*keys, *order, F.ln(F.greatest(s.source(source), F.lit(EPSILON))).alias("_log"))
+    kinds, ordering = dict(narrow.dtypes), list(order)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        steps = np.diff(rows.sort_values(ordering, kind="stable")["_log"].to_numpy(dtype=np.float64))
+        return pd.DataFrame({k: [rows[k].iloc[0]] for k in keys} | {"hurst": [rescaled_range_exponent(steps, max_lag, min_lag)]})
+
+    return narrow.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "hurst double"]))

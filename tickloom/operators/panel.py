@@ -55,10 +55,9 @@ def moments(returns: DataFrame, align: bool = True) -> Moments:
     ids = [r.asset for r in means]
     if not means or means[0].n < 2 or not all(np.isfinite(r.m) for r in means):
         raise ValueError("at least two finite observations are needed")
-    at = {a: k for k, a in enumerate(ids)}
-    cov = np.zeros((len(ids), len(ids)))
-    for r in pair_moments(aligned).select("a", "b", "cov").toLocalIterator():
-        cov[at[r.a], at[r.b]] = r["cov"]
+    rows = pair_moments(aligned).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("b", "cov"))).alias("row"))
+    packed = rows.select("a", F.transform("row", lambda x: x["cov"]).alias("row")).orderBy("a").toArrow()  # a row of n numbers for each asset
+    cov = packed.column("row").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), len(ids))
     return Moments(ids, means[0].n, np.array([r.m for r in means]), (cov + cov.T) / 2)
 
 

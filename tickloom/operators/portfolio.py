@@ -117,22 +117,30 @@ def alpha_decay_capacity(holdings: DataFrame, gross_alpha_bps: float, annual_tur
 # ---- attribution ----------------------------------------------------------
 
 
-def brinson_fachler(portfolio: DataFrame, benchmark: DataFrame, sectors: DataFrame) -> DataFrame:
-    """(sector, allocation, selection, interaction, total) in percent; sector NULL is the grand total.
+def brinson_fachler(portfolio: DataFrame, benchmark: DataFrame, sectors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, sector, allocation, selection, interaction, total) in percent; sector NULL is the total of a period.
 
-    portfolio, benchmark: (asset, weight, ret); sectors: (asset, sector); assets without a sector are left out.
+    portfolio, benchmark: (keys, asset, weight, ret), a period for each value of the
+    keys; sectors: (asset, sector); assets without a sector are left out.
     """
+    of = [*keys, "sector"]
 
     def side(frame: DataFrame, name: str) -> DataFrame:
-        joined = frame.join(sectors.where("sector is not null"), "asset").groupBy("sector").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("wr"))
-        return joined.select("sector", F.col("w").alias(f"w{name}"), F.when(F.col("w") > EPSILON, F.col("wr") / F.col("w")).otherwise(0.0).alias(f"r{name}"))
-
-    both = sectors.where("sector is not null").select("sector").distinct().join(side(portfolio, "p"), "sector", "left").join(side(benchmark, "b"), "sector", "left").fillna(0.0, ["wp", "rp", "wb", "rb"])
-    whole = both.agg(F.sum(F.col("wb") * F.col("rb")).alias("total_b"))
+        joined = frame.join(sectors.where("sector is not null"), "asset").groupBy(*of).agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("wr"))
+        return joined.select(*of, F.col("w").alias(f"w{name}"), F.when(F.col("w") > EPSILON, F.col("wr") / F.col("w")).otherwise(0.0).alias(f"r{name}"))
+
+    names = sectors.where("sector is not null").select("sector").distinct()
+    periods = portfolio.select(*keys).unionByName(benchmark.select(*keys)).distinct() if keys else None
+    rows = names if periods is None else periods.join(names)  # periods times sectors, the rows of the result
+    both = rows.join(side(portfolio, "p"), of, "left").join(side(benchmark, "b"), of, "left").fillna(0.0, ["wp", "rp", "wb", "rb"])
+    whole = F.sum(F.col("wb") * F.col("rb")).over(Window.partitionBy(*keys))  # of a period's sectors
     dw, dr = F.col("wp") - F.col("wb"), F.col("rp") - F.col("rb")
-    parts = both.join(F.broadcast(whole)).select("sector", (dw * (F.col("rb") - F.col("total_b")) * 100).alias("allocation"), (F.col("wb") * dr * 100).alias("selection"), (dw * dr * 100).alias("interaction"))
+    parts = both.withColumn("total_b", whole).select(*of, (dw * (F.col("rb") - F.col("total_b")) * 100).alias("allocation"), (F.col("wb") * dr * 100).alias("selection"), (dw * dr * 100).alias("interaction"))
+    effects = ["allocation", "selection", "interaction", "total"]
     parts = parts.withColumn("total", F.col("allocation") + F.col("selection") + F.col("interaction"))
-    return parts.rollup("sector").agg(*[F.sum(c).alias(c) for c in ("allocation", "selection", "interaction", "total")])
+    kind = dict(parts.dtypes)["sector"]
+    total = parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in effects]).select(*keys, F.lit(None).cast(kind).alias("sector"), *effects)
+    return parts.unionByName(total)
 
 
 def alpha_beta(pairs: DataFrame, keys: Sequence[str] = (), y: str = "ret", x: str = "bench", *, annualize: bool = True, trading_days: int = TRADING_DAYS) -> DataFrame:
@@ -224,7 +232,7 @@ def statistical_factors(returns: DataFrame, *, n_factors: int = 5) -> tuple[Data
 def factor_returns(returns: DataFrame, loadings: DataFrame) -> DataFrame:
     """(obs_id, factor, value): demeaned returns projected on loadings."""
     centred = returns.withColumn("x", F.col("ret") - F.avg("ret").over(Window.partitionBy("asset"))).withColumn("asset", F.col("asset").cast("string"))
-    return centred.join(F.broadcast(loadings.select("asset", "factor", "loading")), "asset").groupBy("obs_id", "factor").agg(F.sum(F.col("x") * F.col("loading")).alias("value"))
+    return centred.join(loadings.select("asset", "factor", "loading"), "asset").groupBy("obs_id", "factor").agg(F.sum(F.col("x") * F.col("loading")).alias("value"))
 
 
 def fundamental_factors(returns: DataFrame, attributes: DataFrame, *, momentum_window: int = 252, trading_days: int = TRADING_DAYS) -> DataFrame:
@@ -249,8 +257,8 @@ def fundamental_factors(returns: DataFrame, attributes: DataFrame, *, momentum_w
     b = np.column_stack([np.asarray(v, dtype=float) for v in columns.values()])
     inverse = np.linalg.pinv(b)
     weights = spark.createDataFrame([(a, f, float(inverse[k, i]), float(b[i, k])) for i, a in enumerate(table["asset"]) for k, f in enumerate(columns)], "asset string, factor string, p double, loading double")
-    premia = aligned.join(F.broadcast(weights), "asset").groupBy("obs_id", "factor").agg(F.sum(F.col("ret") * F.col("p")).alias("f"))
-    fitted = aligned.join(F.broadcast(weights.select("asset", "factor", "loading")), "asset").join(premia, ["obs_id", "factor"]).groupBy("obs_id", "asset").agg(F.first("ret").alias("ret"), F.sum(F.col("f") * F.col("loading")).alias("fit"))
+    premia = aligned.join(weights, "asset").groupBy("obs_id", "factor").agg(F.sum(F.col("ret") * F.col("p")).alias("f"))
+    fitted = aligned.join(weights.select("asset", "factor", "loading"), "asset").join(premia, ["obs_id", "factor"]).groupBy("obs_id", "asset").agg(F.first("ret").alias("ret"), F.sum(F.col("f") * F.col("loading")).alias("fit"))
     fit = fitted.agg((1 - F.sum((F.col("ret") - F.col("fit")) ** 2) / F.greatest(F.var_pop("ret") * F.count("ret"), F.lit(EPSILON))).alias("r_squared"))
     stats = premia.groupBy("factor").agg((F.avg("f") * trading_days).alias("premium"), (F.avg("f") / F.greatest(F.stddev_samp("f"), F.lit(EPSILON)) * F.sqrt(F.count("f"))).alias("t_stat"))
     return stats.join(F.broadcast(fit))

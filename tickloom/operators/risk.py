@@ -52,77 +52,57 @@ def entropic_at_risk(losses: np.ndarray, beta: float) -> float:
     return min(fc, fd)
 
 
-def all_risk_measures(returns: DataFrame, keys: Sequence[str] = ("strategy",), order: str = "obs_id", ret: str = "ret", *, beta: float = 0.95, theta: float = 1.0, compounded: bool = True) -> DataFrame:
-    """A row per key with every measure: windows and aggregates, and a one-dimensional search per key for the two entropic ones."""
+def all_risk_measures(returns: DataFrame, keys: Sequence[str] = ("strategy",), order: str = "obs_id", ret: str = "ret", *, beta: float = 0.95, theta: float = 1.0, compounded: bool = True, measures: Sequence[str] = RISK_MEASURES) -> DataFrame:
+    """A row per key with every measure (or those asked for): one exchange, and one kernel over each key's returns in order."""
     keys = list(keys)
-    clean = returns.where(F.col(ret).isNotNull() & ~F.isnan(ret)).select(*keys, order, F.col(ret).cast("double").alias("r"))
-    own, tail = Window.partitionBy(*keys), max(1 - beta, EPSILON)
-    depth = drawdowns(clean, keys, order, "r", compounded)
-    full = depth.withColumns(
-        {
-            "m": F.avg("r").over(own),
-            "rank": F.row_number().over(own.orderBy("r")),
-            "n": F.count("r").over(own),
-            "q": F.percentile("r", tail).over(own),
-            "dq": F.percentile("depth", beta).over(own),
-            "low": F.max(-theta * F.col("r")).over(own),
-        }
-    )
-    off = F.col("r") - F.col("m")
-    fall = F.least(off, F.lit(0.0))
-    plain = full.groupBy(*keys).agg(
-        F.coalesce(F.var_samp("r"), F.lit(0.0)).alias("variance"),
-        F.coalesce(F.stddev_samp("r"), F.lit(0.0)).alias("std"),
-        F.avg(fall * fall).alias("semi_variance"),
-        F.avg(F.abs(off)).alias("mad"),
-        F.avg(F.greatest(-F.col("r"), F.lit(0.0))).alias("flpm"),
-        (F.sum((2 * F.col("rank") - F.col("n") - 1) * F.col("r")) * 2 / F.first("n") / F.first("n")).alias("gini_md"),
-        (-F.first("q")).alias("var"),
-        (-F.avg(F.when(F.col("r") <= F.col("q"), F.col("r")))).alias("cvar"),
-        (-F.min("r")).alias("worst"),
-        ((F.first("low") + F.ln(F.avg(F.exp(-theta * F.col("r") - F.col("low"))))) / theta).alias("entropic"),
-        F.max("depth").alias("mdd"),
-        F.avg("depth").alias("avg_drawdown"),
-        F.first("dq").alias("dar"),
-        F.avg(F.when(F.col("depth") >= F.col("dq"), F.col("depth"))).alias("cdar"),
-        F.sqrt(F.avg(F.col("depth") * F.col("depth"))).alias("ulcer"),
-    )
-    kinds = {f.name: f.dataType.simpleString() for f in depth.schema.fields}
-
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        head = {k: [rows[k].iloc[0]] for k in keys}
-        return pd.DataFrame(head | {"evar": [entropic_at_risk(-rows["r"].to_numpy(), beta)], "edar": [entropic_at_risk(rows["depth"].to_numpy(), beta)]})
-
-    searched = depth.select(*keys, "r", "depth").groupBy(*keys).applyInPandas(search, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", evar double, edar double")
-    return plain.join(searched, keys).select(*keys, *RISK_MEASURES)
+    clean = returns.where(F.col(ret).isNotNull() & ~F.isnan(ret)).select(*keys, F.col(order).alias("_at"), F.col(ret).cast("double").alias("_r"))
+    kinds = dict(clean.dtypes)
+
+    def measure(rows: pd.DataFrame) -> pd.DataFrame:
+        r = rows.sort_values("_at", kind="stable")["_r"].to_numpy()
+        fall = depths(r, compounded)
+        found = {k: risk_of(r, k, beta, theta, fall) for k in measures}
+        return pd.DataFrame({k: [rows[k].iloc[0]] for k in keys} | {k: [None if np.isnan(v) else v] for k, v in found.items()})
+
+    return clean.groupBy(*keys).applyInPandas(measure, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{k} double" for k in measures)]))
 
 
 def compute_risk(returns: DataFrame, measure: str = "variance", **options) -> DataFrame:
     if measure not in RISK_MEASURES:
         raise ValueError(f"unknown risk measure {measure!r}")
-    keys = list(options.get("keys", ("strategy",)))
-    return all_risk_measures(returns, **options).select(*keys, F.col(measure).alias("risk"))
+    return all_risk_measures(returns, **options, measures=[measure]).withColumnRenamed(measure, "risk")
+
+
+def depths(r: np.ndarray, compounded: bool = True) -> np.ndarray:
+    """Fall from the highest wealth so far at each step; the first wealth is the first peak."""
+    wealth = np.cumprod(1 + r) if compounded else 1 + np.cumsum(r)
+    return 1 - wealth / np.maximum.accumulate(wealth)
 
 
-def risk_of(r: np.ndarray, measure: str, beta: float = 0.95, theta: float = 1.0) -> float:
-    """One measure of an array, for programs on the driver."""
+def risk_of(r: np.ndarray, measure: str, beta: float = 0.95, theta: float = 1.0, fall: np.ndarray | None = None) -> float:
+    """One measure of returns in order; ``fall``: their depths, if known."""
     if measure in PATH or measure == "edar":
-        wealth = np.cumprod(1 + r)
-        d = 1 - wealth / np.maximum.accumulate(wealth)
+        d = depths(r) if fall is None else fall
         if measure == "edar":
             return entropic_at_risk(d, beta)
         at = np.quantile(d, beta)
         return float({"mdd": d.max(), "avg_drawdown": d.mean(), "dar": at, "cdar": d[d >= at].mean(), "ulcer": math.sqrt((d * d).mean())}[measure])
-    off, at = r - r.mean(), np.quantile(r, max(1 - beta, EPSILON))
     if measure == "evar":
         return entropic_at_risk(-r, beta)
+    if measure in ("variance", "std"):
+        spread = r.var(ddof=1) if len(r) > 1 else 0.0
+        return float(spread if measure == "variance" else math.sqrt(spread))
+    if measure in ("var", "cvar"):
+        at = np.quantile(r, max(1 - beta, EPSILON))
+        return float(-at if measure == "var" else -r[r <= at].mean())
     if measure == "gini_md":
         n = len(r)
         return float(2 / n / n * ((2 * np.arange(1, n + 1) - n - 1) @ np.sort(r)))
     if measure == "entropic":
         low = (-theta * r).max()
         return float((low + math.log(np.exp(-theta * r - low).mean())) / theta)
-    return float({"variance": r.var(ddof=1), "std": r.std(ddof=1), "semi_variance": (np.minimum(off, 0) ** 2).mean(), "mad": np.abs(off).mean(), "flpm": np.maximum(-r, 0).mean(), "var": -at, "cvar": -r[r <= at].mean(), "worst": -r.min()}[measure])
+    off = r - r.mean()
+    return float({"semi_variance": (np.minimum(off, 0) ** 2).mean(), "mad": np.abs(off).mean(), "flpm": np.maximum(-r, 0).mean(), "worst": -r.min()}[measure])
 
 
 def mean_risk_optimize(returns: DataFrame, *, risk_measure: str = "cvar", objective: str = "min_risk", beta: float = 0.95, risk_aversion: float = 1.0, min_weight: float = 0.0, max_weight: float = 1.0, budget: float = 1.0, rf: float = 0.0) -> DataFrame:

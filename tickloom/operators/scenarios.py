@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -20,13 +21,34 @@ def pseudo_observations(returns: DataFrame) -> DataFrame:
     return returns.select("obs_id", "asset", ((F.rank().over(w.orderBy("ret")) + (F.count(F.lit(1)).over(Window.partitionBy("asset", "ret")) - 1) / 2) / (F.count(F.lit(1)).over(w) + 1)).alias("u"))
 
 
+def inversions(ranks: np.ndarray, block: int = 64) -> int:
+    """Pairs of places in which the earlier number is the greater, by merging sorted blocks of twice the size each time."""
+    ranks = np.asarray(ranks, dtype=np.int64)
+    pad = -len(ranks) % block
+    parts = np.concatenate((ranks, np.full(pad, np.iinfo(np.int64).max))).reshape(-1, block)
+    later = np.triu(np.ones((block, block), dtype=bool), 1)
+    total = sum(int(((p[:, :, None] > p[:, None, :]) & later).sum()) for p in np.array_split(parts, max(1, len(parts) // 256)))
+    blocks = list(np.sort(parts, axis=1))
+    while len(blocks) > 1:
+        merged = []
+        for left, right in itertools.zip_longest(blocks[::2], blocks[1::2]):
+            if right is not None:
+                total += int((len(left) - np.searchsorted(left, right, side="right")).sum())
+            merged.append(left if right is None else np.sort(np.concatenate((left, right)), kind="stable"))
+        blocks = merged
+    return total
+
+
 def kendall_tau(x: np.ndarray, y: np.ndarray) -> float:
-    """Tau-b, in blocks of rows."""
-    net, tx, ty = 0.0, 0.0, 0.0
-    for k in range(0, len(x), 512):
-        a, b = np.sign(x[k : k + 512, None] - x[None, :]), np.sign(y[k : k + 512, None] - y[None, :])
-        net, tx, ty = net + (a * b).sum(), tx + np.abs(a).sum(), ty + np.abs(b).sum()
-    return float(net / math.sqrt(tx * ty)) if tx and ty else 0.0
+    """Tau-b from tied pairs and the inversions of y in the order of x, in n log n."""
+    pairs = lambda counts: float((counts * (counts - 1) // 2).sum())
+    x, y = (np.unique(v, return_inverse=True)[1].astype(np.int64) for v in (x, y))
+    whole = pairs(np.array([len(x)]))
+    in_x, in_y = (pairs(np.bincount(v)) for v in (x, y))
+    in_both = pairs(np.unique(x * (len(x) + 1) + y, return_counts=True)[1])
+    net = whole - in_x - in_y + in_both - 2 * inversions(y[np.lexsort((y, x))])
+    span = (whole - in_x) * (whole - in_y)
+    return net / math.sqrt(span) if span else 0.0
 
 
 def _rank_correlation(x: np.ndarray) -> np.ndarray:
@@ -111,9 +133,11 @@ class Copula:
             return draws.select("id", u[0].alias("u_1"), u[1].alias("u_2"))
         d = len(self.correlation)
         root = np.linalg.cholesky(self.correlation)
-        draws = base.select("id", *[F.randn(seed + k).alias(f"z{k}") for k in range(d)], *([F.rand(seed + d).alias("w")] if self.dof else []))
-        mixed = draws.select("id", *[sum((F.col(f"z{j}") * float(root[i, j]) for j in range(i + 1)), F.lit(0.0)).alias(f"x_{i + 1}") for i in range(d)], *(["w"] if self.dof else []))
-        dof = self.dof
+        dof = int(self.dof)
+        squares = [F.randn(seed + d + k).alias(f"s{k}") for k in range(dof)]  # their sum is chi-square, row by row
+        draws = base.select("id", *[F.randn(seed + k).alias(f"z{k}") for k in range(d)], *squares)
+        scale = F.sqrt(sum((F.col(f"s{k}") ** 2 for k in range(dof)), F.lit(0.0)) / dof) if dof else F.lit(1.0)
+        mixed = draws.select("id", *[(sum((F.col(f"z{j}") * float(root[i, j]) for j in range(i + 1)), F.lit(0.0)) / scale).alias(f"x_{i + 1}") for i in range(d)])
 
         def to_uniform(batches):
             from statistics import NormalDist as Normal
@@ -126,8 +150,6 @@ class Copula:
             for batch in batches:
                 x = batch[[f"x_{i + 1}" for i in range(d)]].to_numpy()
                 if dof:
-                    rng = np.random.default_rng((batch["w"].to_numpy() * 2**53).astype(np.int64).tolist() or 0)
-                    x = x / np.sqrt(rng.chisquare(dof, len(x)) / dof)[:, None]
                     u = np.interp(x, grid, levels)
                 else:
                     u = np.vectorize(Normal().cdf, otypes=[float])(x) if len(x) else x
