@@ -35,8 +35,8 @@ SPECIAL = {
 }
 
 
-#: Growth indices are compared as logarithms; the McGinley recursion diverges on prices that jump, and is compared below 1e9.
-MASKED = {"nvi": F.ln, "pvi": F.ln, "mcginley": lambda x: F.when(F.abs(x) < 1e9, x)}
+#: What grows without bound is compared as logarithms: growth indices, and the McGinley recursion, which diverges on prices that jump.
+SCALED = {"nvi": F.ln, "pvi": F.ln, "mcginley": lambda x: F.signum(x) * F.ln(1 + F.abs(x))}
 
 
 def _query(name: str, options: dict | None = None) -> Callable[[SparkSession, str], DataFrame]:
@@ -46,9 +46,9 @@ def _query(name: str, options: dict | None = None) -> Callable[[SparkSession, st
             return rounded(indicators.hurst(frame))
         if name in SPECIAL:
             frame = with_returns(frame)
-        if name in MASKED:
+        if name in SCALED:
             values = indicators.compute(frame, name)
-            return rounded(values.withColumn(name, MASKED[name](F.col(name))))
+            return rounded(values.withColumn(name, SCALED[name](F.col(name))))
         return rounded(indicators.compute(frame, (name, SPECIAL.get(name, {}) | (options or {}))), DIGITS.get(name, 6))
 
     return run
@@ -108,7 +108,7 @@ def _sql() -> dict[str, str]:
         .fold("SELECT symbol, i, c FROM @ WHERE i = 9", y="t.r * t.c + (1 - t.r) * r.y"),
         vidya="y",
     )
-    put("mcginley", q().fold("SELECT symbol, i, c FROM @ WHERE i = 0", y="CASE WHEN pow(t.c / r.y, 4) <> 0 THEN r.y + (t.c - r.y) / (6.0 * pow(t.c / r.y, 4)) END"), mcginley="CASE WHEN abs(y) < 1e9 THEN y END")
+    put("mcginley", q().fold("SELECT symbol, i, c FROM @ WHERE i = 0", y="CASE WHEN pow(t.c / r.y, 4) <> 0 THEN r.y + (t.c - r.y) / (6.0 * pow(t.c / r.y, 4)) END"), mcginley="sign(y) * ln(1 + abs(y))")
     # parabolic stop: state (out, stop for the next bar, extreme, speed, side); pl, ph: bounds of this bar and the last (the second bar alone)
     put(
         "psar",
