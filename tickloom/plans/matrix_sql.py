@@ -139,3 +139,29 @@ def single_linkage(distance: str, given: str = "moments", name: str = "leaves")
   SELECT d, list_concat(list_transform(list_filter(range(1, len(groups) + 1), lambda k: k <> best.x AND k <> best.y), lambda k: groups[k]), [list_concat(groups[best.x], groups[best.y])])
   FROM (SELECT *, list_min({pairs}) AS best FROM {name}_steps WHERE len(groups) > 1)),
 {name} AS MATERIALIZED (SELECT groups[1] AS leaf_order FROM {name}_steps WHERE len(groups) = 1)"""
+
+
+def ward_linkage(distance: str, given: str = "moments", name: str = "ward") -> str:
+    """``name``: (clusters) in leaf order, as many as the widest gap of merge heights suggests, two at least."""
+    others = "list_filter(range(1, len(groups) + 1), lambda k: k <> best.x AND k <> best.y)"
+    size = "len(groups[{}])"
+    to_new = f"sqrt((({size.format('best.x')} + {size.format('k')}) * pow(d[best.x][k], 2) + ({size.format('best.y')} + {size.format('k')}) * pow(d[best.y][k], 2) - {size.format('k')} * pow(best.d, 2)) / ({size.format('best.x')} + {size.format('best.y')} + {size.format('k')}))"
+    pairs = "flatten(list_transform(range(1, len(groups)), lambda x: list_transform(range(x + 1, len(groups) + 1), lambda y: {'d': d[x][y], 'x': x, 'y': y})))"
+    return f"""{name}_steps AS (
+  SELECT {distance} AS d, list_transform({EACH}, lambda i: [i]) AS groups, []::DOUBLE[] AS heights FROM {given}
+  UNION ALL
+  SELECT list_append(list_transform(others, lambda i: list_append(list_transform(others, lambda j: d[i][j]), fresh[list_position(others, i)])), list_append(fresh, 0.0)),
+         list_append(list_transform(others, lambda k: groups[k]), list_concat(groups[best.x], groups[best.y])), list_append(heights, best.d)
+  FROM (SELECT *, list_transform(others, lambda k: {to_new}) AS fresh FROM (SELECT *, {others} AS others FROM (SELECT *, list_min({pairs}) AS best FROM {name}_steps WHERE len(groups) > 1)))),
+{name}_whole AS (SELECT groups[1] AS leaf_order, greatest(2, {N} - list_position(gaps, list_max(gaps))) AS wanted FROM (SELECT *, list_transform(range(1, {N - 1}), lambda k: heights[k + 1] - heights[k]) AS gaps FROM {name}_steps WHERE len(groups) = 1)),
+{name} AS MATERIALIZED (SELECT list_transform(list_sort(list_transform(groups, lambda g: [list_min(list_transform(g, lambda i: list_position(leaf_order, i))), list_position(groups, g)])), lambda p: list_sort(groups[p[2]])) AS clusters
+  FROM {name}_steps, {name}_whole WHERE len(groups) = wanted)"""
+
+
+def sub(a: str, rows: str, columns: str | None = None) -> str:
+    return f"list_transform({rows}, lambda i: list_transform({columns or rows}, lambda j: {a}[i][j]))"
+
+
+def inverse_variance(a: str, own: str) -> str:
+    """Variance of the inverse-variance portfolio of the places ``own``."""
+    return f"abs(list_sum(flatten(list_transform({own}, lambda i: list_transform({own}, lambda j: {a}[i][j] / {a}[i][i] / {a}[j][j])))) / pow(list_sum(list_transform({own}, lambda i: 1 / {a}[i][i])), 2))"

@@ -186,7 +186,61 @@ def _hierarchical(digits: int = 4) -> str:
 result AS (SELECT c, mu, list_transform({mx.EACH}, lambda x: s[list_position(leaf_order, x)]) AS w FROM shared) {mx.spread_weights('result', 'hierarchical_risk_parity', digits)}"""
 
 
+#: Places from and to of the two sides of each split of eight leaves.
+_SPLITS = [(1, 4, 5, 8), (1, 2, 3, 4), (5, 6, 7, 8), (1, 1, 2, 2), (3, 3, 4, 4), (5, 5, 6, 6), (7, 7, 8, 8)]
+_SPLIT_ROWS = ", ".join(f"({k}, {s}, {a[0]}, {a[1]}, {b[0]}, {b[1]})" for k, (w, x, y, z) in enumerate(_SPLITS) for s, a, b in ((0, (w, x), (y, z)), (1, (y, z), (w, x))))
+_SCHUR = f"""WITH RECURSIVE {mx.MOMENTS}, {mx.single_linkage(_DISTANCE)}, sides AS (SELECT 2 * k + s AS id, k, s, list_slice(leaf_order, a, b) AS own, list_slice(leaf_order, x, y) AS other, c FROM (VALUES {_SPLIT_ROWS}) AS v(k, s, a, b, x, y), leaves, moments),
+given AS MATERIALIZED (SELECT *, {mx.sub('c', 'other')} AS m FROM sides), {mx.inverse('given', 'm', n='range(1, len(m) + 1)')},
+cut AS (SELECT id, k, s, own, list_transform(own, lambda i: list_transform(own, lambda j: c[i][j] - 0.5 * list_sum(list_transform(range(1, len(other) + 1), lambda p: c[i][other[p]] * list_dot_product(x[p], list_transform(other, lambda o: c[o][j])))))) AS block FROM given JOIN inverted USING (id)),
+risks AS (SELECT k, s, own, sqrt({mx.inverse_variance('block', 'range(1, len(own) + 1)')}) AS risk FROM cut),
+shares AS (SELECT a.own, b.risk / (a.risk + b.risk) AS share FROM risks a JOIN risks b ON a.k = b.k AND a.s <> b.s),
+result AS (SELECT (SELECT list(w ORDER BY i) FROM (SELECT i, product(share) AS w FROM shares, range(1, 9) AS r(i) WHERE list_contains(own, i) GROUP BY i)) AS w, c, mu FROM moments)
+{mx.spread_weights('result', 'schur_complementary_allocation')}"""
+
+
+def _clustered(method: str, inner: str, outer: str, digits: int = 4) -> str:
+    """Weights inside Ward clusters times those of the clusters.  ``inner``: tables up to parts (id, own, v); ``outer``: tables up to heads (id, share) from the reduced covariances."""
+    distance = _DISTANCE
+    return f"""WITH RECURSIVE {mx.MOMENTS}, {mx.ward_linkage(distance)}, clusters AS MATERIALIZED (SELECT unnest(range(1, len(clusters) + 1)) AS id, unnest(clusters) AS own, len(clusters) AS n FROM ward),
+{inner},
+full_parts AS (SELECT id, n, list_transform({mx.EACH}, lambda i: coalesce(v[list_position(own, i)], 0)) AS v FROM parts),
+reduced AS MATERIALIZED (SELECT 0 AS id, list(row ORDER BY i) AS m FROM (SELECT a.id AS i, list(list_dot_product(a.v, {mx.on('c', 'b.v')}) ORDER BY b.id) AS row FROM full_parts a, full_parts b, moments GROUP BY a.id)),
+{outer},
+result AS (SELECT c, mu, n, list_transform(w, lambda x: x / list_sum(w)) AS w FROM (SELECT any_value(n) AS n, (SELECT list(w ORDER BY i) FROM (SELECT i, sum(v[i] * share) AS w FROM full_parts JOIN heads USING (id), range(1, 9) AS r(i) GROUP BY i)) AS w FROM full_parts), moments)
+{mx.spread_weights('result', method, digits, more=', n::DOUBLE AS clusters')}"""
+
+
+def _herc(digits: int = 4) -> str:
+    inner = "parts AS (SELECT id, n, own, list_transform(own, lambda i: (1 / c[i][i]) / list_sum(list_transform(own, lambda j: 1 / c[j][j]))) AS v FROM clusters, moments)"
+    left, right = (mx.inverse_variance("m", f"range({a}, {b})") for a, b in (("lo", "lo + (hi - lo + 1) // 2"), ("lo + (hi - lo + 1) // 2", "hi + 1")))
+    outer = f"""halves AS (
+  SELECT 1::BIGINT AS lo, len(m) AS hi, 1.0::DOUBLE AS share, m FROM reduced
+  UNION ALL SELECT CASE WHEN side = 0 THEN lo ELSE lo + (hi - lo + 1) // 2 END, CASE WHEN side = 0 THEN lo + (hi - lo + 1) // 2 - 1 ELSE hi END, share * CASE WHEN side = 0 THEN r / (l + r) ELSE l / (l + r) END, m
+  FROM (SELECT *, {left} AS l, {right} AS r, unnest([0, 1]) AS side FROM halves WHERE hi > lo)),
+heads AS (SELECT lo AS id, share FROM halves WHERE lo = hi)"""
+    return _clustered("hierarchical_equal_risk_contribution", inner, outer, digits)
+
+
+def _nested(digits: int = 4) -> str:
+    inner = f"""blocks AS MATERIALIZED (SELECT id, n, own, {mx.sub('c', 'own')} AS m FROM clusters, moments), {mx.inverse('blocks', 'm', name='within', n='range(1, len(m) + 1)')},
+parts AS (SELECT id, n, own, list_transform(x, lambda row: list_sum(row) / list_sum(flatten(x))) AS v FROM blocks JOIN within USING (id))"""
+    outer = f"{mx.inverse('reduced', 'm', name='across', n='range(1, len(m) + 1)')}, heads AS (SELECT unnest(range(1, len(x) + 1)) AS id, unnest(list_transform(x, lambda row: list_sum(row) / list_sum(flatten(x)))) AS share FROM across)"
+    return _clustered("nested_clustered_optimization", inner, outer, digits)
+
+
+_COUPLING = "list_avg(flatten(list_transform(list_slice(own, 1, k), lambda i: list_transform(list_slice(own, k + 1, len(own)), lambda j: abs(r[i][j])))))"
+_QUANTUM = f"""WITH RECURSIVE {mx.MOMENTS}, cuts AS (
+  SELECT list_reverse({mx.EACH}) AS own, 1.0::DOUBLE AS share, c, r FROM moments
+  UNION ALL SELECT CASE WHEN side = 0 THEN a ELSE b END, share * CASE WHEN side = 0 THEN rb / (ra + rb) ELSE ra / (ra + rb) END, c, r
+  FROM (SELECT *, sqrt({mx.inverse_variance('c', 'a')}) AS ra, sqrt({mx.inverse_variance('c', 'b')}) AS rb, unnest([0, 1]) AS side
+    FROM (SELECT *, list_slice(own, 1, best.k) AS a, list_slice(own, best.k + 1, len(own)) AS b FROM (SELECT *, list_min(list_transform(range(1, len(own)), lambda k: {{'v': {_COUPLING}, 'k': k}})) AS best FROM cuts WHERE len(own) > 1)))),
+result AS (SELECT (SELECT list(share ORDER BY own[1]) FROM cuts WHERE len(own) = 1) AS w, c, mu FROM moments)
+{mx.spread_weights('result', 'quantum_inspired_hrp')}"""
 _ALLOC_SQL = {
+    "schur_complementary_allocation": _SCHUR,
+    "hierarchical_equal_risk_contribution": _herc(),
+    "nested_clustered_optimization": _nested(),
+    "quantum_inspired_hrp": _QUANTUM,
     "mean_variance": mx.program("mean_variance"),
     "min_variance": mx.program("min_variance"),
     "max_sharpe": mx.best_ratio("max_sharpe", "mu"),
@@ -257,7 +311,20 @@ def alpha_risk_cost(spark: SparkSession, sf: str) -> DataFrame:
     return _six(allocation.alpha_risk_cost_optimize(spark, alphas, cov, current_weights=_HELD, risk_aversion=2.0), 4)
 
 
-query("alloc_frontier")(_panel(allocation.efficient_frontier, 4))
+_ON = "list_dot_product({a}, list_transform(x, lambda row: list_dot_product(row, {b})))"
+query(  # every support in closed form; the feasible one of least variance is the optimum
+    "alloc_frontier",
+    f"""WITH RECURSIVE {mx.MOMENTS}, given AS MATERIALIZED (SELECT k AS id, own, {mx.sub('c', 'own')} AS m, list_transform(own, lambda i: mu[i]) AS g, list_transform(own, lambda i: 1.0::DOUBLE) AS one
+  FROM (SELECT k, list_filter({mx.EACH}, lambda i: (k >> (i - 1) & 1) = 1) AS own FROM range(1, 256) AS masks(k)), moments),
+{mx.inverse('given', 'm', n='range(1, len(m) + 1)')},
+s AS MATERIALIZED (SELECT id, x, g, one, {_ON.format(a='one', b='one')} AS a, {_ON.format(a='one', b='g')} AS b, {_ON.format(a='g', b='g')} AS d FROM given JOIN inverted USING (id)),
+least AS (SELECT b / a AS low FROM s WHERE list_min(list_transform(x, lambda row: list_sum(row) / a)) > -1e-12 ORDER BY 1 / a LIMIT 1),
+targets AS (SELECT k, low + k / 24.0 * 1.6 * (list_max(mu) - low) AS target FROM least, moments, range(25) AS points(k)),
+tried AS (SELECT k, target, (a * target * target - 2 * b * target + d) / (a * d - b * b) AS variance,
+    list_min(list_transform(x, lambda row: list_sum(row) * (d - b * target) / (a * d - b * b) + list_dot_product(row, g) * (a * target - b) / (a * d - b * b))) AS lowest FROM s, targets WHERE len(x) > 1),
+best AS (SELECT k, target, min(variance) AS variance FROM tried WHERE lowest > -1e-12 GROUP BY ALL)
+SELECT k::INT AS point, round(100 * target, 4) AS return_pct, round(100 * sqrt(variance), 4) AS volatility_pct, round(target / sqrt(variance), 4) AS sharpe FROM best""",
+)(_panel(allocation.efficient_frontier, 4))
 _BITS = f"list_sum(flatten(list_transform({mx.EACH}, lambda i: list_transform({mx.EACH}, lambda j: (k >> (i - 1) & 1) * (k >> (j - 1) & 1) * CASE WHEN i = j THEN -c[i][i] ELSE c[i][j] END))))"
 
 
@@ -522,29 +589,16 @@ SELECT round(avg((logit <= 0)::INT), 6) AS pbo, 8::BIGINT AS n_trials, 10 AS n_s
 _Z = NormalDist().inv_cdf
 # the series x + x^3/3 + x^5/15 + ... times the density, its terms through logarithms of double factorials
 _PHI = "0.5 + sign({z}) * exp(-pow({z}, 2) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 121), lambda k: CASE WHEN {z} = 0 THEN 0 ELSE exp((2 * k + 1) * ln(abs({z})) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)) END))"
-query(
-    "cert_sharpe_significance",
-    f"""WITH x AS ({TRIALS_SQL}), c AS (SELECT *, ret - avg(ret) OVER (PARTITION BY trial) AS e FROM x),
+def _significance(rows: str) -> str:
+    """(trial, sr, probabilistic_sharpe, deflated_sharpe) of eight trials, from a table (trial, ret)."""
+    return f"""WITH x AS ({rows}), c AS (SELECT *, ret - avg(ret) OVER (PARTITION BY trial) AS e FROM x),
 s AS (SELECT trial, count(*) AS n, avg(ret) / stddev_samp(ret) AS sr, avg(pow(e, 3)) / pow(stddev_samp(ret), 3) AS sk, avg(pow(e, 4)) / pow(stddev_samp(ret), 4) AS ku FROM c GROUP BY trial),
 t AS (SELECT stddev_samp(sr) * {(1 - 0.5772156649015329) * _Z(1 - 1 / 8) + 0.5772156649015329 * _Z(1 - 1 / (8 * math.e))!r} AS top FROM s),
 z AS (SELECT trial, sr, least(7, greatest(-7, sr * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr * sr))) AS z0, least(7, greatest(-7, (sr - top) * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr * sr))) AS z1 FROM s, t)
-SELECT trial, round(sr, 6) AS sr, round({_PHI.format(z='z0')}, 6) AS probabilistic_sharpe, round({_PHI.format(z='z1')}, 6) AS deflated_sharpe FROM z""",
-)(lambda s, d: _six(certification.sharpe_significance(bars.trials_weekly(s, d))))
-
-
-@query("cert_grade")
-def grade(spark: SparkSession, sf: str) -> DataFrame:
-    """Grades of the monthly strategies by their analytics and significance."""
-    a = certification.risk_analytics(_equity(spark, sf), benchmark="bench")
-    sig = certification.sharpe_significance(bars.panel_monthly(spark, sf).withColumnRenamed("asset", "strategy"), ["strategy"])
-    rows = a.join(sig, "strategy").select(
-        "strategy", F.lit(True).alias("backtest_verified"), F.col("sharpe").alias("sharpe_ratio"), (F.col("max_drawdown") * 100).alias("max_drawdown"), "beta", "sortino", "calmar", "tail_ratio", "excess_kurtosis", "deflated_sharpe", "probabilistic_sharpe", F.lit(7.0).alias("num_trials")
-    )
-    graded = certification.certify(rows)
-    return graded.select("strategy", *[c for c in graded.columns if c.startswith(("score_", "gate"))], "composite", "grade", "provisional", "certified")
+SELECT trial, round(sr, 6) AS sr, round({_PHI.format(z='z0')}, 6) AS probabilistic_sharpe, round({_PHI.format(z='z1')}, 6) AS deflated_sharpe FROM z"""
 
 
-_GRADE_IN = "SELECT o_orderkey AS id, (o_orderkey % 7) / 4.0 AS sharpe_ratio, -(o_orderkey % 60)::DOUBLE AS max_drawdown, (o_orderkey % 30) / 10.0 AS profit_factor, (o_orderkey % 5 - 2) / 10.0 AS alpha, (o_orderkey % 11) / 10.0 AS beta, (o_orderkey % 12 - 1) / 10.0 AS deflated_sharpe, (o_orderkey % 13) / 12.0 AS probabilistic_sharpe, (o_orderkey % 3)::DOUBLE AS num_trials, (o_orderkey % 9 - 1) / 5.0 AS oos_sharpe, (o_orderkey % 17)::DOUBLE AS turnover, pow(10, o_orderkey % 9) AS capacity, (o_orderkey % 10) / 5.0 AS live_sharpe, (o_orderkey % 50)::DOUBLE AS live_trades, (o_orderkey % 80)::DOUBLE AS live_days FROM orders"
+query("cert_sharpe_significance", _significance(TRIALS_SQL))(lambda s, d: _six(certification.sharpe_significance(bars.trials_weekly(s, d))))
 
 
 #: The bands once more as (least value, points), so that a wrong one in the operator shows.
@@ -566,6 +620,32 @@ def _band_sql(value: str, name: str) -> str:
     return "CASE " + " ".join(f"ELSE {points}" if least == "else" else f"WHEN {value} >= {least} THEN {points}" for least, points in cases) + " END"
 
 
+@query(
+    "cert_grade",
+    f"""WITH a AS ({SQL['cert_analytics']}), sig AS ({_significance(f'SELECT asset AS trial, ret FROM ({PANEL_SQL})').replace(', 6)', ', 14)')}),
+g AS (SELECT a.*, deflated_sharpe AS dsr, probabilistic_sharpe AS psr, {_band_sql('100 - abs(100 * max_drawdown)', 'loss_control')} AS loss FROM a JOIN sig ON sig.trial = a.strategy),
+s AS (SELECT *, CASE WHEN dsr > 0 THEN greatest(0, least(100, {_band_sql('dsr', 'deflated_sharpe')} - {_band_sql('psr', 'probabilistic_sharpe_cost')})) ELSE 0 END AS s1,
+  greatest(0, least(100, loss + CASE WHEN sortino >= 2 THEN 5 WHEN sortino < 0.5 THEN -15 ELSE 0 END + CASE WHEN calmar >= 1 THEN 5 WHEN calmar < 0.3 THEN -10 ELSE 0 END - CASE WHEN tail_ratio < 0.8 THEN 10 ELSE 0 END - CASE WHEN excess_kurtosis > 5 THEN 5 ELSE 0 END)) AS s3,
+  {_band_sql('1 - abs(beta)', 'independence')} AS s4 FROM g),
+c AS (SELECT *, round((s1 * 0.25 + s3 * 0.15 + s4 * 0.15 + 40 * 0.1) / 0.85, 1) AS k FROM s)
+SELECT strategy, s1::DOUBLE AS score_robustness, 0.0::DOUBLE AS score_out_of_sample, s3::DOUBLE AS score_risk, s4::DOUBLE AS score_factor_independence, 40.0::DOUBLE AS score_capacity_cost, NULL::DOUBLE AS score_live_track_record,
+  true AS gate_backtest_verified, true AS gate_no_high_severity_lookahead, dsr > 0 AS gate_deflated_sharpe_positive, true AS gate_core_metrics_present, dsr > 0 AS gates_passed,
+  CASE WHEN dsr > 0 THEN k END AS composite, CASE WHEN dsr > 0 THEN {_band_sql('k', 'grade')} ELSE 'Not Certified' END AS grade, true AS provisional, dsr > 0 AND {_band_sql('k', 'grade')} <> 'Not Certified' AS certified FROM c""",
+)
+def grade(spark: SparkSession, sf: str) -> DataFrame:
+    """Grades of the monthly strategies by their analytics and significance."""
+    a = certification.risk_analytics(_equity(spark, sf), benchmark="bench")
+    sig = certification.sharpe_significance(bars.panel_monthly(spark, sf).withColumnRenamed("asset", "strategy"), ["strategy"])
+    rows = a.join(sig, "strategy").select(
+        "strategy", F.lit(True).alias("backtest_verified"), F.col("sharpe").alias("sharpe_ratio"), (F.col("max_drawdown") * 100).alias("max_drawdown"), "beta", "sortino", "calmar", "tail_ratio", "excess_kurtosis", "deflated_sharpe", "probabilistic_sharpe", F.lit(7.0).alias("num_trials")
+    )
+    graded = certification.certify(rows)
+    return graded.select("strategy", *[c for c in graded.columns if c.startswith(("score_", "gate"))], "composite", "grade", "provisional", "certified")
+
+
+_GRADE_IN = "SELECT o_orderkey AS id, (o_orderkey % 7) / 4.0 AS sharpe_ratio, -(o_orderkey % 60)::DOUBLE AS max_drawdown, (o_orderkey % 30) / 10.0 AS profit_factor, (o_orderkey % 5 - 2) / 10.0 AS alpha, (o_orderkey % 11) / 10.0 AS beta, (o_orderkey % 12 - 1) / 10.0 AS deflated_sharpe, (o_orderkey % 13) / 12.0 AS probabilistic_sharpe, (o_orderkey % 3)::DOUBLE AS num_trials, (o_orderkey % 9 - 1) / 5.0 AS oos_sharpe, (o_orderkey % 17)::DOUBLE AS turnover, pow(10, o_orderkey % 9) AS capacity, (o_orderkey % 10) / 5.0 AS live_sharpe, (o_orderkey % 50)::DOUBLE AS live_trades, (o_orderkey % 80)::DOUBLE AS live_days FROM orders"
+
+
 @query(
     "cert_grade_grid",
     f"""WITH g AS ({_GRADE_IN}),
@@ -598,6 +678,23 @@ query(
     "copula_pseudo_observations",
     f"SELECT obs_id, asset, round((rank() OVER (PARTITION BY asset ORDER BY ret) + (count(*) OVER (PARTITION BY asset, ret) - 1) / 2.0) / (count(*) OVER (PARTITION BY asset) + 1.0), 6) AS u FROM ({PANEL_SQL})",
 )(_panel(scenarios.pseudo_observations))
+
+
+@query(
+    "copula_fit",
+    f"""WITH p AS MATERIALIZED ({PANEL_SQL}), xy AS (SELECT a.obs_id, a.ret AS x, b.ret AS y FROM p a JOIN p b USING (obs_id) WHERE a.asset = 0 AND b.asset = 1),
+k AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum(abs(sign(a.x - b.x))) * sum(abs(sign(a.y - b.y)))) AS tau FROM xy a, xy b),
+t AS (SELECT least(greatest(tau, 1e-6), 1 - 1e-6) AS tau FROM k)
+SELECT 'clayton' AS family, round(2 * tau / (1 - tau), 6) AS theta, round(pow(2, -(1 - tau) / (2 * tau)), 6) AS lower_tail, 0.0::DOUBLE AS upper_tail FROM t
+UNION ALL SELECT 'gumbel', round(1 / (1 - tau), 6), 0.0, round(2 - pow(2, 1 - tau), 6) FROM t""",
+)
+def copula_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """The two families of one parameter, fitted to the first two assets."""
+    returns = bars.panel_monthly(spark, sf).where("asset < 2")
+    fits = [scenarios.fit_copula(returns, family) for family in ("clayton", "gumbel")]
+    return _six(spark.createDataFrame([(f.family, float(f.theta), *map(float, f.tail_dependence)) for f in fits], "family string, theta double, lower_tail double, upper_tail double"))
+
+
 query("copula_synthetic_returns")(_panel(lambda p: scenarios.synthetic_returns(p, family="gaussian")))
 query("copula_student_t")(_panel(lambda p: scenarios.synthetic_returns(p)))
 query("copula_clayton")(_panel(lambda p: scenarios.synthetic_returns(p.where("asset < 2"), family="clayton")))
@@ -690,8 +787,8 @@ def _fitted(make: Callable) -> Query:
 
 query("est_hrp", f"WITH w AS ({_hierarchical(12)}) SELECT obs_id, round(sum(ret * weight), 4) AS ret FROM ({PANEL_SQL}) x JOIN w ON w.asset = x.asset::VARCHAR GROUP BY obs_id")(_fitted(estimators.hrp_estimator))
 query("est_mean_risk", f"WITH w AS ({mx.program('min_variance', digits=12)}) SELECT obs_id, round(sum(ret * weight), 4) AS ret FROM ({PANEL_SQL}) x JOIN w ON w.asset = x.asset::VARCHAR GROUP BY obs_id")(_fitted(lambda: estimators.mean_risk_estimator(risk_measure="variance")))
-query("est_herc")(_fitted(estimators.herc_estimator))
-query("est_nco")(_fitted(estimators.nco_estimator))
+query("est_herc", f"WITH w AS ({_herc(12)}) SELECT obs_id, round(sum(ret * weight), 4) AS ret FROM ({PANEL_SQL}) x JOIN w ON w.asset = x.asset::VARCHAR GROUP BY obs_id")(_fitted(estimators.herc_estimator))
+query("est_nco", f"WITH w AS ({_nested(12)}) SELECT obs_id, round(sum(ret * weight), 4) AS ret FROM ({PANEL_SQL}) x JOIN w ON w.asset = x.asset::VARCHAR GROUP BY obs_id")(_fitted(estimators.nco_estimator))
 
 
 @query("stream_hourly", f"WITH b AS ({bars.HOURLY_SQL}), late AS (SELECT max(ts) AS last FROM events) SELECT symbol, strftime(b.ts, '%Y-%m-%d %H') AS hour, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM b, late WHERE b.ts + INTERVAL 2 HOUR <= last")
