@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +54,9 @@ CHUNK = 1_000_000
 SPARSE = 16
 GAP = 96
 #: Bytes of distinct segments of one name that a task may hold.
-NAME_BYTES = 1_000_000
+NAME_BYTES = 3_000_000
+#: Rows of one segment that a join may bring to one task; more are scattered.
+COPY_ROWS = 50_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -373,7 +376,26 @@ def _single_windows(bodies: DataFrame, window: int) -> DataFrame:
     windows = bodies.dropDuplicates(["name", "d1", "d2"]).mapInArrow(run, "w1 long, w2 long, name long, d1 long, d2 long, at int, copies long")
     twice = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("all")).where("all > 1").select("w1", "w2")
     marked = windows.join(twice, ["w1", "w2"]).groupBy("name", "d1", "d2").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    return marked.select("name", "d1", "d2", F.transform("at", lambda k: F.struct(k.alias("a"), (k + 1).alias("b"))).alias("marks"))
+    return _merged(marked.select("name", "d1", "d2", F.transform("at", lambda k: F.struct(k.alias("a"), (k + 1).alias("b"))).alias("marks")))
+
+
+def _merged(marked: DataFrame) -> DataFrame:
+    """``marked`` (name, d1, d2, marks) with overlapping and touching marks in one."""
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = batch.column(3)
+            flat = marks.flatten()
+            a, b = flat.field("a").to_numpy(), flat.field("b").to_numpy()
+            ends = np.cumsum(pc.list_value_length(marks).to_numpy())
+            merged = [merge_ranges(a[p:q], b[p:q]) for p, q in zip([0, *ends[:-1].tolist()], ends.tolist())]
+            counts = np.cumsum([0, *(len(x) for x, _ in merged)])
+            both = [np.concatenate([np.zeros(0, np.int32), *side]).astype(np.int32) for side in zip(*merged)] if merged else [np.zeros(0, np.int32)] * 2
+            rows = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays([pa.array(v) for v in both], ["a", "b"]))
+            yield pa.RecordBatch.from_pydict({"name": batch.column(0), "d1": batch.column(1), "d2": batch.column(2), "marks": rows.cast(kind)})
+
+    return marked.mapInArrow(run, "name long, d1 long, d2 long, marks array<struct<a:int,b:int>>")
 
 
 def repeated_marks(docs: DataFrame, window: int, name_bytes: int, level: int = 0) -> DataFrame:
@@ -396,31 +418,47 @@ def repeated_marks(docs: DataFrame, window: int, name_bytes: int, level: int = 0
             inner = repeated_marks(parents.select(F.col("d1").alias("doc"), F.col("d2").alias("key"), F.col("body").alias("text"), "copies"), window, name_bytes, level + 1)
             moved = F.flatten(F.transform("spans", lambda s: F.transform(s["marks"], lambda m: F.struct((s["first"] + m["a"]).alias("a"), (s["first"] + m["b"]).alias("b")))))
             back = inner.select(F.col("doc").alias("d1"), F.col("key").alias("d2"), moved.alias("marks"))
-            marks = marks.unionByName(parents.select("name", "d1", "d2").join(back, ["d1", "d2"]).select("name", "d1", "d2", "marks"))
+            marks = marks.unionByName(_merged(parents.select("name", "d1", "d2").join(back, ["d1", "d2"]).select("name", "d1", "d2", "marks")))
         else:
             marks = marks.unionByName(_single_windows(bodies, window))
-    marks = marks.join(sized.select("name", "d1", "d2", "rows"), ["name", "d1", "d2"])
-    placed = join_by_frequency(shared.select("name", "d1", "d2", "doc", "key", "first"), marks, ["name", "d1", "d2"], "rows", keep_keys=False)
+    keys, places = ["name", "d1", "d2"], shared.select("name", "d1", "d2", "doc", "key", "first")
+    if (sized.agg(F.max("rows").alias("most")).first().most or 0) > COPY_ROWS:
+        placed = join_by_frequency(places, marks.join(sized.select(*keys, "rows"), keys), keys, "rows", keep_keys=False)
+    else:
+        placed = places.join(marks, keys)
     return placed.groupBy("doc", "key").agg(F.collect_list(F.struct("first", "marks")).alias("spans"))
 
 
-def _cut(text: bytes, spans: list[dict] | None, window: int) -> tuple[bytes, int, int]:
+def merge_ranges(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges in order, with overlapping and touching ones in one."""
+    order = np.argsort(begins, kind="stable")
+    begins, reach = begins[order], np.maximum.accumulate(ends[order]) if len(ends) else ends
+    fresh = np.flatnonzero(np.r_[True, begins[1:] > reach[:-1]]) if len(begins) else np.zeros(0, dtype=np.int64)
+    return begins[fresh], reach[np.r_[fresh[1:] - 1, len(reach) - 1]] if len(fresh) else reach
+
+
+def _cut(text: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[bytes, int, int]:
     """(bytes kept, bytes removed, maximal removed runs)."""
-    if not spans:
+    if not len(begins):
         return text, 0, 0
-    ranges = sorted((s["first"] + m["a"], s["first"] + m["b"] + window - 1) for s in spans for m in s["marks"])
-    merged: list[list[int]] = []
-    for a, b in ranges:
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
+    begins, ends = merge_ranges(begins, ends)
     kept, at = [], 0
-    for a, b in merged:
+    for a, b in zip(begins.tolist(), ends.tolist()):
         kept.append(text[at:a])
         at = b
     kept.append(text[at:])
-    return b"".join(kept), sum(b - a for a, b in merged), len(merged)
+    return b"".join(kept), int((ends - begins).sum()), len(begins)
+
+
+def _ranges(spans: pa.ListArray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ranges of all rows one after another, and where each row's end."""
+    inner = spans.flatten()
+    marks = inner.field("marks")
+    counts = pc.list_value_length(marks).to_numpy(zero_copy_only=False)
+    flat, first = marks.flatten(), np.repeat(inner.field("first").to_numpy(), counts)
+    per_span = np.r_[0, np.cumsum(counts)]
+    per_row = np.cumsum(pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+    return first + flat.field("a").to_numpy(), first + flat.field("b").to_numpy() + window - 1, per_span[per_row]
 
 
 def deduplicate_substrings(frame: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, name_bytes: int = NAME_BYTES, with_kept: bool = True) -> DataFrame:
@@ -438,7 +476,8 @@ def deduplicate_substrings(frame: DataFrame, id_col: str = "doc_id", text_col: s
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 texts = part.column(1).to_pylist()
-                rows = [_cut(t, s, window) for t, s in zip(texts, part.column(2).to_pylist())]
+                begins, ends, stops = _ranges(part.column(2), window)
+                rows = [_cut(t, begins[p:q], ends[p:q]) for t, p, q in zip(texts, [0, *stops[:-1].tolist()], stops.tolist())]
                 columns = {
                     id_col: part.column(0),
                     "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
