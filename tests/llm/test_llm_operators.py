@@ -355,6 +355,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def test_toxicity_on_held_out_documents(spark, small):
+    folder = small.replace("sf0.001", "sf0.01")
+    docs, marks = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    scored = toxicity.score_toxicity(docs, marks).where("held_out").join(marks.where("toxic is not null"), "doc_id").select("score", "predicted", "toxic").collect()
+    toxic, clean = ([r.score for r in scored if r.toxic == k] for k in (1, 0))
+    assert len(toxic) > 5 and len(clean) > 50
+    above = sum((a > b) + (a == b) / 2 for a in toxic for b in clean) / len(toxic) / len(clean)
+    assert above > 0.95 and sum(r.predicted == r.toxic for r in scored) > 0.9 * len(scored)
+
+
 def test_label_model_separates_classes_and_finds_copies():
     rng = np.random.default_rng(5)
     y = rng.random(4000) < 0.2
@@ -629,7 +639,8 @@ def substring_reference(docs, window):
 
 
 @pytest.mark.parametrize("name_bytes", [1_000_000, 2_000, 1])
-def test_substrings_against_brute_force(spark, name_bytes):
+def test_substrings_against_brute_force(spark, name_bytes, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "COPY_ROWS", 50_000 if name_bytes > 2_000 else 1)
     rng = random.Random(13)
     base = ["".join(rng.choice("abcdé ") for _ in range(400)) for _ in range(6)] + ["ab" * 200, "the " * 90, "z" * 300]
     texts = []
