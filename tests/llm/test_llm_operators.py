@@ -356,7 +356,7 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_toxicity_on_held_out_documents(spark, small):
-    folder = small.replace("sf0.001", "sf0.01")
+    folder = small.replace("sf0.001", "sf0.1")
     docs, marks = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
     scored = toxicity.score_toxicity(docs, marks).where("held_out").join(marks.where("toxic is not null"), "doc_id").select("score", "predicted", "toxic").collect()
     toxic, clean = ([r.score for r in scored if r.toxic == k] for k in (1, 0))
