@@ -328,6 +328,40 @@ def test_pipeline_near_duplicates_against_all_pairs(spark):
     assert got == Counter([i for i in ids if label[i] == i] + [None] + [7] * (label[7] == 7))
 
 
+def _sent_to_verification(monkeypatch, source, **options):
+    sent, plain = [], similar._verify
+    monkeypatch.setattr(similar, "_verify", lambda texts, *rest: sent.append(texts.count()) or plain(texts, *rest))
+    marks, groups = similar.similar_groups(source, **options)
+    return sum(sent), {r.id: r.label for r in marks.join(groups, "node").collect()}
+
+
+def test_texts_that_share_a_phrase_do_not_chain_up(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for k in range(1_200):
+        words = [f"w{rng.randrange(100_000)}" for _ in range(120 if k % 2 else 40)]
+        for p in range(3):
+            words[10 * p : 10 * p + 8] = [f"g{k // 8}p{p}x{j}" for j in range(8)]
+        rows.append((k, " ".join(words).encode()))
+    sent, labels = _sent_to_verification(monkeypatch, spark.createDataFrame(rows, "id long, text binary"))
+    assert labels == {k: k for k, _ in rows}
+    assert sent <= 40  # chance links brought hundreds of them
+
+
+def test_a_large_group_of_near_texts_is_copied_a_few_times(spark, monkeypatch):
+    rng = random.Random(6)
+    hub = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(400):
+        words = list(hub)
+        for _ in range(3):
+            words[rng.randrange(300)] = f"own{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words).encode()))
+    sent, labels = _sent_to_verification(monkeypatch, spark.createDataFrame(rows, "id long, text binary"), group_shingles=6_000)
+    assert set(labels.values()) == {0}
+    assert sent <= 4 * len(rows)  # all pairs of its twenty blocks would take each text twenty times
+
+
 # ---- 3
 
 

@@ -132,6 +132,7 @@ def reached_from(size: int, near: Callable) -> list[tuple[int, int]]:
     ``near(a, b)`` tells it for broadcast arrays of members; each member is compared with the free ones once.
     """
     free, out = np.ones(size, dtype=bool), []
+    step = max(1, min(256, (1 << 21) // max(1, size)))
     for root in range(size):
         if not free[root]:
             continue
@@ -139,9 +140,9 @@ def reached_from(size: int, near: Callable) -> list[tuple[int, int]]:
         front = np.array([root])
         while len(front) and free.any():
             reached = np.zeros(size, dtype=bool)
-            for k in range(0, len(front), 256):
+            for k in range(0, len(front), step):
                 rest = np.flatnonzero(free & ~reached)
-                reached[rest[near(front[k : k + 256, None], rest[None, :]).any(axis=0)]] = True
+                reached[rest[near(front[k : k + step, None], rest[None, :]).any(axis=0)]] = True
             free &= ~reached
             front = np.flatnonzero(reached)
             out += [(root, k) for k in front.tolist()]

@@ -1,7 +1,8 @@
 """SimHash near-duplicates of whole texts: five-word shingles, Jaccard similarity of 0.8 or more.
 
-1. Texts with one set of shingles are one node, with the set's size and SimHash
-   fingerprint.  A count sketch tells which shingles are frequent.
+1. Texts with one set of shingles are one node, with the set's size and a SimHash
+   fingerprint of ``WORDS`` times 64 bits.  A count sketch tells which shingles are
+   frequent.
 2. Two sets of similarity ``least`` share one of the first
    ``n - ceil(least * n) + 1`` shingles of each, in any one order of all shingles;
    the order here is rare ones first.  Nodes meet in the cells of these shingles.
@@ -9,14 +10,16 @@
    of 64 bits, where equal counts choose next to nothing.)
 3. Inside a cell the segment-popcount embedding is range-joined under Manhattan
    distance, a lower bound of the fingerprints' Hamming distance, which is checked
-   next.  Both allow ``SIFT_BITS`` bits, five standard deviations above the mean of
-   sets of similarity 0.8; sets of fewer than ``SIFT_SIZE`` shingles pass freely.
-   A cell passes on one link per node, never its pairs; cells of more than
-   ``CELL_NODES`` nodes are passed on as one group.
+   next.  Both allow ``sift_limits`` bits, five standard deviations above the mean
+   of sets of similarity ``least``; unrelated sets lie as far beyond, so they do
+   not chain up as cells grow with the input.  A cell passes on one link per node,
+   never its pairs.
 4. The components of these links hold all similar sets.  The texts of a component
    meet once and every pair in different groups that shares a shingle of step 2
    is checked on the whole sets.  Components of more than ``GROUP_SHINGLES``
-   shingles are dealt into blocks, and pairs of blocks meet.
+   shingles are dealt at random into blocks, ``DEALS`` times, and the texts of a
+   block meet: that joins the bulk of a group of near texts.  Then pairs of blocks
+   meet, but no two of one such cluster, so what is copied are the few texts left.
 
 Shingles and sets are named by 64-bit hashes.  Contract for odd input: ids are
 integers; null and empty texts have the empty set and are alike; rows of one id
@@ -29,23 +32,26 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from math import acos, ceil, comb, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, checkpointed, fresh_name, integer_ids
 from .components import connected_components
-from .simhash import fingerprint_many, reached_from, text_hashes, unary_codes
+from .simhash import _mix, fingerprint_many, reached_from, text_hashes, unary_codes
 
 SHINGLE_WORDS = 5
 #: Counters of a row of the sketch, of which there are two, and of a piece of it.
 COUNTERS, PIECE = 1 << 17, 1 << 14
-SIFT_BITS, SIFT_SIZE = 24, 64
-CELL_NODES = 8192
+#: 64-bit words of a fingerprint; sets of SIFT_SIZE shingles or more share one limit.
+WORDS, SIFT_SIZE = 3, 64
 GROUP_SHINGLES = 4_000_000
+DEALS = 2
 
 
 def node_of(hashes: np.ndarray) -> int:
@@ -110,8 +116,39 @@ def prefix_of(hashes: np.ndarray, classes: np.ndarray, least: float) -> np.ndarr
     return hashes[np.argsort(kind, kind="stable")[:size]]
 
 
+def wide_fingerprints(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Fingerprints of ``WORDS`` words, a column per word: the SimHash of the hashes, and of the hashes mixed anew."""
+    return np.stack([fingerprint_many(_mix(hashes + np.uint64(k)) if k else hashes, sizes) for k in range(WORDS)], axis=1)
+
+
+def _bit_difference(a: int, b: int, both: int) -> float:
+    """Chance that a bit of the fingerprints of sets of ``a`` and ``b`` shingles, ``both`` of them shared, differs."""
+    tail = lambda n, least: sum(comb(n, k) for k in range(max(least, 0), n + 1)) / 2**n
+    total = 0.0
+    for ones in range(both + 1):
+        u, v = tail(a - both, a // 2 + 1 - ones), tail(b - both, b // 2 + 1 - ones)
+        total += comb(both, ones) / 2**both * (u * (1 - v) + v * (1 - u))
+    return total
+
+
+@cache
+def sift_limits(least: float) -> np.ndarray:
+    """Bits that two sets of similarity ``least`` may differ in, by the smaller one's size (``SIFT_SIZE`` stands for all from there on)."""
+    out = []
+    for a in range(SIFT_SIZE + 1):
+        rates = [_bit_difference(a, b, both) for b in range(a, int(a / least + 1e-9) + 1) if (both := ceil(least / (1 + least) * (a + b) - 1e-9)) <= a]
+        rate = max(rates, default=0.0)
+        if a == SIFT_SIZE:
+            rate = max(rate, acos(2 * least / (1 + least)) / pi)  # what large sets tend to
+        out.append(int(64 * WORDS * rate + 5 * sqrt(64 * WORDS * rate * (1 - rate))) + 1)
+    return np.array(out)
+
+
+FP_COLUMNS = [f"fp{k}" for k in range(WORDS)]
+
+
 def _cells(source: DataFrame, shingle: int, least: float, classes: np.ndarray) -> DataFrame:
-    """(cell, node, n, fp): each node in the cells of its prefix.  Copies are left out as far as one task sees them."""
+    """(cell, node, n, fp0, ...): each node in the cells of its prefix.  Copies are left out as far as one task sees them."""
     shared = source.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +167,7 @@ def _cells(source: DataFrame, shingle: int, least: float, classes: np.ndarray) -
                     continue
                 own = list(sets.values())
                 sizes = np.array([len(s) for s in own])
-                fps = fingerprint_many(np.concatenate(own), sizes)
+                fps = wide_fingerprints(np.concatenate(own), sizes)
                 heads = [prefix_of(s, classes, least) for s in own]
                 times = [len(h) for h in heads]
                 yield pa.RecordBatch.from_pydict(
@@ -138,11 +175,11 @@ def _cells(source: DataFrame, shingle: int, least: float, classes: np.ndarray) -
                         "cell": pa.array(np.concatenate(heads).view(np.int64)),
                         "node": pa.array(np.repeat(np.array(list(sets), dtype=np.uint64), times).view(np.int64)),
                         "n": pa.array(np.repeat(sizes, times).astype(np.int32)),
-                        "fp": pa.array(np.repeat(fps, times).view(np.int64)),
                     }
+                    | {name: pa.array(np.repeat(fps[:, k], times).view(np.int64)) for k, name in enumerate(FP_COLUMNS)}
                 )
 
-    return source.mapInArrow(run, "cell long, node long, n int, fp long")
+    return source.mapInArrow(run, "cell long, node long, n int, " + ", ".join(f"{name} long" for name in FP_COLUMNS))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -165,29 +202,28 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
 def _near(n: np.ndarray, fp: np.ndarray, code: np.ndarray, a, b, least: float) -> np.ndarray:
     """Whether sets a and b may be similar: sizes, Manhattan distance of the embeddings, Hamming distance."""
     small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-    sifted = (np.bitwise_count(code[a] ^ code[b]) <= SIFT_BITS) & (np.bitwise_count(fp[a] ^ fp[b]) <= SIFT_BITS)
-    return (small >= least * large - 1e-9) & (sifted | (small < SIFT_SIZE))
+    limit = sift_limits(least)[np.minimum(small, SIFT_SIZE)]
+    bits = lambda x: sum(np.bitwise_count(x[a, k] ^ x[b, k]).astype(np.int16) for k in range(WORDS))
+    return (small >= least * large - 1e-9) & (bits(code) <= limit) & (bits(fp) <= limit)
 
 
 def cell_links(n: np.ndarray, fp: np.ndarray, code: np.ndarray, least: float) -> list[tuple[int, int]]:
     """(root, member) for every node that some chain of near nodes joins to a root."""
-    if len(n) > CELL_NODES:
-        return [(0, k) for k in range(1, len(n))]
     return reached_from(len(n), lambda a, b: _near(n, fp, code, a, b, least))
 
 
 def _link_cells(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, node, n, fp in whole_groups(batches):
+        for cell, node, n, *fp in whole_groups(batches):
             order = np.lexsort((node, cell))
-            cell, node, n, fp = cell[order], node[order], n[order], fp[order].view(np.uint64)
+            cell, node, n, fp = cell[order], node[order], n[order], np.stack(fp, axis=1)[order].view(np.uint64)
             fresh = np.r_[True, (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])]  # tasks may both have sent a copy
             cell, node, n, fp = cell[fresh], node[fresh], n[fresh], fp[fresh]
             edges = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
             sizes = np.diff(edges)
             keep = np.repeat(sizes > 1, sizes)
             node, n, fp = node[keep], n[keep], fp[keep]
-            code, sizes = unary_codes(fp), sizes[sizes > 1]
+            code, sizes = unary_codes(fp.ravel()).reshape(-1, WORDS), sizes[sizes > 1]
             tops = np.cumsum(sizes) - sizes
             two = tops[sizes == 2]
             two = two[_near(n, fp, code, two, two + 1, least)]
@@ -264,13 +300,50 @@ def _verify(texts: DataFrame, shingle: int, least: float) -> DataFrame:
     return texts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "src long, dst long")
 
 
-def _dealt(members: DataFrame, group_shingles: int) -> DataFrame:
-    """``members`` (node, label, n) with the groups that each one goes to: (one, two) blocks of its component, and its side."""
-    loads = members.groupBy("label").agg(F.ceil(F.sum("n") / group_shingles).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = members.join(loads, "label").withColumn("own", F.when(F.col("blocks") > 1, block).otherwise(0))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0)))))
-    return placed.select("label", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node")
+def _met_at_random(members: DataFrame, group_shingles: int) -> DataFrame:
+    """(label, one, two, side, node): ``members`` (node, label, n) dealt at random into blocks of their components, ``DEALS`` times."""
+    loads = checkpointed(members.groupBy("label").agg(F.ceil(F.sum("n") / group_shingles).cast("int").alias("blocks")))
+    placed = members.join(broadcast_if_small(loads), "label").withColumn("deal", F.explode(F.lit(list(range(DEALS)))))
+    return placed.select("label", F.pmod(F.xxhash64("node", "deal"), "blocks").cast("int").alias("one"), (-1 - F.col("deal")).alias("two"), F.lit(0).alias("side"), "node")
+
+
+def _met_by_blocks(members: DataFrame, group_shingles: int) -> DataFrame:
+    """(label, one, two, side, node): pairs of blocks of ``members`` (node, label, n, cluster), but none within a cluster.
+
+    A cluster of more than ``group_shingles`` has blocks of its own; the others share blocks.
+    """
+    loads = checkpointed(members.groupBy("label", "cluster").agg(F.sum("n").alias("load")))
+    heavy = F.col("load") > group_shingles
+    mixed = loads.groupBy("label").agg(F.count(F.lit(1)).alias("clusters"), F.coalesce(F.sum(F.when(~heavy, F.col("load"))), F.lit(0)).alias("rest")).where("clusters > 1")
+    shared = F.ceil(F.col("rest") / group_shingles).cast("int")
+    owned = loads.join(mixed, "label").withColumns({"owner": F.when(heavy, F.col("cluster")), "parts": F.when(heavy, F.ceil(F.col("load") / group_shingles).cast("int")).otherwise(shared)})
+    parts = owned.select("label", "owner", "parts").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = checkpointed(parts.withColumn("block", F.row_number().over(Window.partitionBy("label").orderBy("owner", "part"))).select("label", "owner", "part", "block"))
+    other = blocks.select("label", F.col("owner").alias("owner_2"), F.col("block").alias("other"))
+    pairs = blocks.join(other, "label").where("owner is null or owner_2 is null or owner <> owner_2")
+    # a row for each block and each block that it meets
+    meets = checkpointed(pairs.select("label", "owner", "part", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), (F.col("block") > F.col("other")).cast("int").alias("side")))
+    own = members.join(broadcast_if_small(checkpointed(owned.select("label", "cluster", "owner", "parts"))), ["label", "cluster"])
+    own = own.withColumn("part", F.pmod(F.xxhash64(F.when(F.col("owner").isNull(), F.col("cluster")).otherwise(F.col("node"))), "parts").cast("int"))
+    found = own.alias("own").join(broadcast_if_small(meets).alias("meets"), (F.col("own.label") == F.col("meets.label")) & F.col("own.owner").eqNullSafe(F.col("meets.owner")) & (F.col("own.part") == F.col("meets.part")))
+    return found.select("own.label", "one", "two", "side", "node")
+
+
+def _verified(texts: DataFrame, shingle: int, least: float, group_shingles: int) -> DataFrame:
+    """(src, dst): verified links of ``texts`` (node, n, text, label), enough to connect the similar ones of a label."""
+
+    def verify(dealt: DataFrame) -> DataFrame:
+        return _verify(texts.drop("label").join(dealt, "node").select("label", "one", "two", "side", "node", "text"), shingle, least)
+
+    members = checkpointed(texts.select("node", "label", "n").distinct())
+    large = checkpointed(members.groupBy("label").agg(F.sum("n").alias("load")).where(F.col("load") > group_shingles).select("label"))
+    whole = members.join(broadcast_if_small(large), "label", "left_anti").select("label", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(0).alias("side"), "node")
+    if not large.limit(1).count():
+        return verify(whole)
+    crowded = checkpointed(members.join(broadcast_if_small(large), "label", "left_semi"))
+    links = checkpointed(verify(whole.unionByName(_met_at_random(crowded, group_shingles))))
+    clusters = connected_components(links, crowded.select("node", F.col("node").alias("label"))).withColumnRenamed("label", "cluster")
+    return links.unionByName(verify(_met_by_blocks(checkpointed(crowded.join(clusters, "node")), group_shingles)))
 
 
 def similar_links(source: DataFrame, nodes: DataFrame, classes: np.ndarray, shingle: int, least: float, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
@@ -295,8 +368,7 @@ def similar_links(source: DataFrame, nodes: DataFrame, classes: np.ndarray, shin
     if holders.where("id is null").limit(1).count():
         wanted = wanted.unionByName(source.where("id is null").select("text"))
     texts = checkpointed(wanted.mapInArrow(named, "node long, n int, text binary").join(broadcast_if_small(holders.select("node", "label")), "node"))
-    dealt = _dealt(texts.select("node", "label", "n").distinct(), group_shingles)
-    return _verify(texts.drop("label").join(dealt, "node").select("label", "one", "two", "side", "node", "text"), shingle, least)
+    return _verified(texts, shingle, least, group_shingles)
 
 
 def similar_groups(source: DataFrame, shingle: int = SHINGLE_WORDS, least: float = 0.8, group_shingles: int = GROUP_SHINGLES) -> tuple[DataFrame, DataFrame]:
