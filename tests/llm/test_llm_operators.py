@@ -456,6 +456,32 @@ def test_leaks_are_found_and_clean_documents_left(spark, small):
     assert sum(got[h.doc_id].contaminated for h in clean) <= 0.02 * len(clean)
 
 
+def test_latent_space_is_fitted_on_every_passage(spark):
+    rng = random.Random(12)
+    items = [[f"t{rng.randrange(200)}" for _ in range(40)] for _ in range(30)]
+    docs = [[rng.choice((f"t{rng.randrange(200)}", f"x{rng.randrange(50)}")) for _ in range(rng.randrange(90))] for _ in range(1_300)]
+    frame = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    pieces = [decontaminate.Piece(i, words) for i, words in enumerate(items)]
+    terms = {w: k for k, w in enumerate(sorted({w for x in items for w in x}))}
+    idf = np.log((len(docs) + 2) / (np.array([sum(w in d for d in map(set, docs)) for w in terms]) + 1))
+
+    def unit(passages):
+        a = np.array([[p.count(w) for w in terms] for p in passages]) * idf
+        return (a := a[a.any(axis=1)]) / np.linalg.norm(a, axis=1, keepdims=True)
+
+    corpus, own = unit([d[k : k + 40] for d in docs for k in range(0, len(d), 40)]), unit(items)
+    gram = own.T @ own + decontaminate.CORPUS_SHARE * len(items) / len(corpus) * corpus.T @ corpus
+    basis = np.linalg.qr(own.T @ own @ np.random.default_rng(7).standard_normal((len(terms), 10 + decontaminate.OVERSAMPLE)))[0]
+    for _ in range(decontaminate.POWER_ROUNDS):
+        basis = np.linalg.qr(gram @ basis)[0]
+    values, turn = np.linalg.eigh(basis.T @ gram @ basis)
+    basis = basis @ turn[:, np.argsort(-values)[:10]]
+    vectors = own @ basis
+    want = basis * idf[:, None] @ (vectors / (vectors**2).sum(axis=1, keepdims=True)).T
+    (space,) = decontaminate.fit(frame, pieces, rank=10).spaces
+    assert np.allclose(space.folded, want, atol=1e-4)
+
+
 @pytest.mark.parametrize("n_items", [200, 2_000])
 def test_leaks_of_large_benchmarks_against_checks_of_every_window(spark, n_items):
     rng = np.random.default_rng(n_items)

@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of the benchmark's terms are counted over all documents.
-2. A randomised SVD of TF-IDF passages (all benchmark pieces and a sample of
-   corpus passages) gives the latent space.  Its products run on the executors:
-   each task adds up its share of A^T(A X), and blocks of terms meet by name.
+2. A randomised SVD of TF-IDF passages (all benchmark pieces and all passages of
+   the corpus) gives the latent space.  The passages enter by their Gram matrix
+   A^T A, which the executors add up in one pass; blocks of it meet by name.
    Groups of at most ``GROUP_PIECES`` pieces have a space each, so its rank
    follows the benchmark and every piece keeps (nearly) its whole norm.
 3. Every window of every document is a candidate for the benchmark pieces whose
@@ -13,8 +13,7 @@
    ``min_lcs`` of its words, or covers ``min_paraphrase`` of them while nearly all
    of the piece's answer terms (its rarest ones) stand in the window.
 
-The SVD is fitted on at most ``fit_documents`` documents (those with the least
-hash of their id); counts, windows and checks cover everything.  Windows are cut
+Counts, Gram matrix, windows and checks cover all documents.  Windows are cut
 by word offset, so a hot source or group of copies loads no single task.  What is
 broadcast belongs to at most ``PASS_PIECES`` pieces (their terms and latent spaces,
 some 40 MB); a larger benchmark is taken in blocks of items, one pass over the
@@ -31,7 +30,6 @@ nothing and an empty table gives an empty result; other columns are ignored
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
@@ -50,8 +48,11 @@ GROUP_PIECES = 96
 #: Pieces that one pass over the documents looks for.
 PASS_PIECES = 2_048
 RANK, OVERSAMPLE, POWER_ROUNDS = 128, 16, 2
-FIT_DOCUMENTS = 1_000
-#: Weight of the corpus sample in the SVD, against the benchmark's pieces.
+#: Terms of one Gram matrix (of more, groups of pieces take turns), documents of a task that adds one up, and such tasks at most.
+GRAM_TERMS, GRAM_DOCUMENTS, GRAM_TASKS = 4_096, 20_000, 64
+#: Words that are packed at a time.
+PACK_WORDS = 1_000_000
+#: Weight of the corpus in the SVD, against the benchmark's pieces.
 CORPUS_SHARE = 0.25
 #: Words of a benchmark piece; windows of a document are twice as long at most.
 PIECE_WORDS = 40
@@ -245,89 +246,128 @@ class Detector:
         return run(F.coalesce(text, F.lit("")))
 
 
-def _document_counts(texts: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
-    """(documents, documents with each term), over all documents."""
+def _scan(texts: DataFrame, terms: dict[str, int]) -> DataFrame:
+    """Documents with each term (term, n; term -1: all documents, -2: passages with a term), and packed passages, of every text.
+
+    A packed row holds passages one after another: how many terms each has, its terms in order, and how often each stands in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, rows = Counter(), 0
+        none = len(terms)
+        counts, rows, passages = np.zeros(none + 1, dtype=np.int64), 0, 0
+        get = terms.get
+        held: list[np.ndarray] = []
+
+        def pack() -> tuple[int, pa.RecordBatch]:
+            lengths = np.array([-(-len(x) // PIECE_WORDS) for x in held])
+            begins = np.cumsum(lengths) - lengths
+            cells = np.concatenate([(begin + np.arange(len(x)) // PIECE_WORDS) * none + x for begin, x in zip(begins.tolist(), held)])
+            cell, tf = np.unique(cells[np.concatenate(held) < none], return_counts=True)
+            sizes = np.bincount(cell // none)
+            sizes = sizes[sizes > 0]
+            held.clear()
+            packed = [[sizes.astype(np.uint8).tobytes()], [(cell % none).astype(np.uint32).tobytes()], [tf.astype(np.uint8).tobytes()]]
+            return len(sizes), pa.RecordBatch.from_pydict({"term": pa.nulls(1, pa.int32()), "n": pa.nulls(1, pa.int64())} | {k: pa.array(x, pa.binary()) for k, x in zip(("sizes", "terms", "tf"), packed)})
+
+        words_held = 0
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column(0):
-                counts.update(terms.keys() & set(words_of(text.as_py())))
-        ids = [-1, *(terms[t] for t in counts)]
-        yield pa.RecordBatch.from_pydict({"term": pa.array(ids, pa.int32()), "n": pa.array([rows, *counts.values()], pa.int64())})
-
-    found = texts.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(terms) + 1, dtype=np.int64)
-    for row in found.collect():  # a row for each benchmark term
+                ids = np.array(list(map(get, words_of(text.as_py()), repeat(none))), dtype=np.int64)
+                counts[np.unique(ids)] += 1
+                held.append(ids)
+                words_held += len(ids)
+                if words_held > PACK_WORDS:
+                    found, packed = pack()
+                    passages, words_held = passages + found, 0
+                    yield packed
+        if held:
+            found, packed = pack()
+            passages += found
+            yield packed
+        own = np.flatnonzero(counts[:-1])
+        empty = pa.nulls(len(own) + 2, pa.binary())
+        yield pa.RecordBatch.from_pydict({"term": pa.array([-1, -2, *own.tolist()], pa.int32()), "n": pa.array([rows, passages, *counts[own].tolist()], pa.int64()), "sizes": empty, "terms": empty, "tf": empty})
+
+    return texts.mapInArrow(run, "term int, n long, sizes binary, terms binary, tf binary")
+
+
+def _document_counts(scanned: DataFrame, n_terms: int) -> tuple[int, int, np.ndarray]:
+    """(documents, passages with a term, documents with each term), over all documents."""
+    out = np.zeros(n_terms + 2, dtype=np.int64)
+    for row in scanned.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each benchmark term
         out[row.term] = row.n
-    return int(out[-1]), out[:-1]
+    return int(out[-1]), int(out[-2]), out[:-2]
 
 
-def _passage_rows(texts: DataFrame, terms: dict[str, int]) -> DataFrame:
-    """Known term ids of each passage of the sample."""
+def _gram(packed: DataFrame, idf: np.ndarray, own: np.ndarray, tasks: int) -> np.ndarray:
+    """A^T A over the terms ``own`` of the unit TF-IDF rows of all passages, added up on the executors."""
+    shared = packed.sparkSession.sparkContext.broadcast((idf, own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, own = shared.value
+        size = len(own)
+        local = np.full(len(idf), -1)
+        local[own] = np.arange(size)
+        total = np.zeros(size * size)
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                out += [[terms[w] for w in words[k : k + PIECE_WORDS] if w in terms] for k in range(0, len(words), PIECE_WORDS)]
-            out = [ids for ids in out if ids]
-            yield pa.RecordBatch.from_pydict({"ids": pa.array(out, pa.list_(pa.int32()))})
-
-    return texts.mapInArrow(run, "ids array<int>")
-
-
-def _gram_products(rows: DataFrame, idf: np.ndarray, chosen: list[np.ndarray], xs: list[np.ndarray]) -> list[np.ndarray]:
-    """A^T (A x) for unit TF-IDF rows of ``rows`` in each group's terms, summed on the executors by blocks of terms."""
-    shared = rows.sparkSession.sparkContext.broadcast((idf, chosen, [x.astype(np.float32) for x in xs]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, chosen, xs = shared.value
-        n_terms, held, done = len(idf), [], 0
-        for batch in batches:  # passages of the sample, which is bounded
-            ids = batch.column(0)
-            row = np.repeat(np.arange(len(ids)), np.diff(ids.offsets.to_numpy()))
-            cell, tf = np.unique(row * n_terms + ids.flatten().to_numpy(), return_counts=True)
-            held.append((cell // n_terms + done, cell % n_terms, tf))
-            done += len(ids)
-        row, term, tf = (np.concatenate(parts) for parts in zip(*held)) if held else (np.zeros(0, dtype=np.int64),) * 3
-        value = tf * idf[term]
-        if len(row):
-            value = value / np.sqrt(np.bincount(row, value**2))[row]
-        for g, (own, x) in enumerate(zip(chosen, xs)):
-            local = np.full(n_terms, -1)
-            local[own] = np.arange(len(own))
-            here = np.flatnonzero(local[term] >= 0)
-            total = np.zeros(x.shape)
-            if len(here):
-                r, t, v = row[here], local[term[here]], value[here]
-                head = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                of = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(r)]))
-                y = np.add.reduceat(v[:, None] * x[t], head, axis=0)
-                order = np.argsort(t, kind="stable")
-                first = np.flatnonzero(np.r_[True, np.diff(t[order]) != 0])
-                total[t[order][first]] = np.add.reduceat(v[order, None] * y[of[order]], first, axis=0)
-            places = list(range(0, len(x), TERM_BLOCK))
-            yield pa.RecordBatch.from_pydict({"part_of": pa.array([g] * len(places), pa.int32()), "block": pa.array(places, pa.int32()), "part": pa.array([total[k : k + TERM_BLOCK].tobytes() for k in places], pa.binary())})
+            for sizes, terms, tf in zip(*(c.to_pylist() for c in batch.columns)):
+                sizes, terms = np.frombuffer(sizes, dtype=np.uint8), np.frombuffer(terms, dtype=np.uint32)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                value = np.frombuffer(tf, dtype=np.uint8) * idf[terms]
+                value = value / np.sqrt(np.maximum(np.bincount(row, value**2), 1e-24))[row]
+                place = local[terms]
+                here = np.flatnonzero(place >= 0)
+                row, place, value = row[here], place[here], value[here]
+                counts = np.bincount(row)
+                begins = np.cumsum(counts) - counts
+                for length in np.unique(counts[counts > 0]).tolist():  # passages of as many terms at a time, every two terms of each
+                    one, two = np.triu_indices(length)
+                    tops = begins[counts == length]
+                    for k in range(0, len(tops), 2_048):
+                        at = tops[k : k + 2_048, None] + np.arange(length)
+                        ids, own_values = place[at], value[at]
+                        np.add.at(total, (ids[:, one] * size + ids[:, two]).ravel(), (own_values[:, one] * own_values[:, two]).ravel())
+        total = total.reshape(size, size)
+        for k in range(0, size, TERM_BLOCK):
+            if (part := total[k : k + TERM_BLOCK, k:]).any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "part": pa.array([part.tobytes()], pa.binary())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for group, block, part in zip(*(c.to_pylist() for c in batch.columns)):
-                part = np.frombuffer(part)
-                sums[group, block] = sums[group, block] + part if (group, block) in sums else part
-        yield pa.RecordBatch.from_pydict({"part_of": pa.array([g for g, _ in sums], pa.int32()), "block": pa.array([b for _, b in sums], pa.int32()), "part": pa.array([s.tobytes() for s in sums.values()], pa.binary())})
-
-    out = [np.zeros(x.shape) for x in xs]
-    kind = "part_of int, block int, part binary"
-    for row in rows.mapInArrow(run, kind).repartition("part_of", "block").mapInArrow(merge, kind).toLocalIterator():
-        part = np.frombuffer(row.part).reshape(-1, xs[row.part_of].shape[1])
-        out[row.part_of][row.block : row.block + len(part)] = part
+            for block, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(part.as_py())
+                sums[block] = sums[block] + part if block in sums else part
+        for block, part in sums.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "part": pa.array([part.tobytes()], pa.binary())})
+
+    kind = "block int, part binary"
+    out = np.zeros((len(own), len(own)))
+    for row in packed.coalesce(tasks).mapInArrow(run, kind).repartition("block").mapInArrow(merge, kind).toLocalIterator():
+        part = np.frombuffer(row.part).reshape(-1, len(own) - row.block)
+        out[row.block : row.block + len(part), row.block :] = part
+    for k in range(0, len(own), TERM_BLOCK):  # the lower triangle, in place
+        square = out[k : k + TERM_BLOCK, k : k + TERM_BLOCK]
+        square[:] = np.triu(square) + np.triu(square, 1).T
+        out[k + TERM_BLOCK :, k : k + TERM_BLOCK] = out[k : k + TERM_BLOCK, k + TERM_BLOCK :].T
     return out
 
 
+def _corpus_grams(packed: DataFrame, idf: np.ndarray, chosen: list[np.ndarray], tasks: int) -> Iterator[np.ndarray]:
+    """The Gram matrix of all passages in each group's terms; groups of at most ``GRAM_TERMS`` terms together share a pass."""
+    k = 0
+    while k < len(chosen):
+        own, last = chosen[k], k + 1
+        while last < len(chosen) and len(more := np.union1d(own, chosen[last])) <= GRAM_TERMS:
+            own, last = more, last + 1
+        whole = _gram(packed, idf, own, tasks)
+        for ids in chosen[k:last]:
+            at = np.searchsorted(own, ids)
+            yield whole[np.ix_(at, at)]
+        k = last
+
+
 def _item_product(rows: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
     out = np.zeros(x.shape)
     for k, row in rows:
@@ -360,22 +400,21 @@ def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_col:
         yield block
 
 
-def fit(frame: DataFrame, pieces: list[Piece], id_col: str = "doc_id", text_col: str = "text", rank: int = RANK, fit_documents: int = FIT_DOCUMENTS, min_cosine: float = MIN_COSINE, min_lcs: float = MIN_LCS, min_paraphrase: float = MIN_PARAPHRASE, min_answer: float = MIN_ANSWER) -> Detector:
+def fit(frame: DataFrame, pieces: list[Piece], id_col: str = "doc_id", text_col: str = "text", rank: int = RANK, min_cosine: float = MIN_COSINE, min_lcs: float = MIN_LCS, min_paraphrase: float = MIN_PARAPHRASE, min_answer: float = MIN_ANSWER) -> Detector:
     """Counts and latent spaces for a block of pieces, against the documents of ``frame``."""
     terms = {w: k for k, w in enumerate(sorted({w for p in pieces for w in p.words}))}
     limits = {"cosine": min_cosine, "lcs": min_lcs, "paraphrase": min_paraphrase, "answer": min_answer}
     if not terms:
         return Detector({}, np.zeros(0), 1.0, [], [], limits)
     texts = frame.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    documents, counts = _document_counts(texts, terms)
+    scanned = checkpointed(_scan(texts, terms))
+    documents, passages, counts = _document_counts(scanned, len(terms))
     idf = np.log((documents + 2) / (counts + 1))
     for p in pieces:
         for i, w in enumerate(p.words):
             p.masks[w] = p.masks.get(w, 0) | 1 << i
         p.answer = frozenset(sorted(set(p.words), key=lambda w: (-idf[terms[w]], w))[:ANSWER_TERMS])
-    fitted = frame.select(F.col(f"`{id_col}`").alias("id")).distinct().orderBy(F.xxhash64("id")).limit(fit_documents)
-    sample = frame.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(F.broadcast(fitted), "id").select("text")
-    rows = checkpointed(_passage_rows(sample, terms))
+    packed = scanned.where("term is null").select("sizes", "terms", "tf")
     groups = _groups(pieces)
     chosen = [np.unique(np.array([terms[w] for k in members for w in pieces[k].words], dtype=np.int64)) for _, members in groups]
     own = []
@@ -386,17 +425,14 @@ def fit(frame: DataFrame, pieces: list[Piece], id_col: str = "doc_id", text_col:
             row = tf * idf[found]
             own[-1].append((np.searchsorted(ids, found), row / max(np.linalg.norm(row), 1e-12)))
     rng = np.random.default_rng(7)
-    bases = [np.linalg.qr(_item_product(o, rng.standard_normal((len(ids), min(rank + OVERSAMPLE, len(ids))))))[0] for o, ids in zip(own, chosen)]
-    passages = rows.count()
-
-    def grams(xs: list[np.ndarray]) -> list[np.ndarray]:
-        shares = [CORPUS_SHARE * len(o) / max(1, passages) for o in own]
-        return [share * product + _item_product(o, x) for share, product, o, x in zip(shares, _gram_products(rows, idf, chosen, xs), own, xs)]
-
-    for _ in range(POWER_ROUNDS):
-        bases = [np.linalg.qr(x)[0] for x in grams(bases)]
+    tasks = min(GRAM_TASKS, 1 + documents // GRAM_DOCUMENTS)
     spaces = []
-    for (size, members), ids, o, basis, image in zip(groups, chosen, own, bases, grams(bases)):
+    for (size, members), ids, o, corpus in zip(groups, chosen, own, _corpus_grams(packed, idf, chosen, tasks)):
+        share = CORPUS_SHARE * len(o) / max(1, passages)
+        basis = np.linalg.qr(_item_product(o, rng.standard_normal((len(ids), min(rank + OVERSAMPLE, len(ids))))))[0]
+        for _ in range(POWER_ROUNDS):
+            basis = np.linalg.qr(share * (corpus @ basis) + _item_product(o, basis))[0]
+        image = share * (corpus @ basis) + _item_product(o, basis)
         small = basis.T @ image
         values, turn = np.linalg.eigh((small + small.T) / 2)
         basis = basis @ turn[:, np.argsort(-values)[:rank]]
