@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -506,6 +507,19 @@ def test_latent_space_is_fitted_on_every_passage(spark):
     assert np.allclose(space.folded, want, atol=1e-4)
 
 
+def test_fit_keeps_matrices_of_terms_off_the_driver(spark):
+    items = [[f"t{k * 40 + j}" for j in range(40)] for k in range(90)]
+    frame = spark.createDataFrame([(k, " ".join(items[k] + items[(k + 1) % 45])) for k in range(45)], "doc_id long, text string")
+    tracemalloc.start()
+    try:
+        (space,) = decontaminate.fit(frame, [decontaminate.Piece(k, x) for k, x in enumerate(items)]).spaces
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert space.folded.shape == (3_600, 90) and np.isfinite(space.folded).all()
+    assert peak < 3_600**2  # bytes: an eighth of a matrix of its terms
+
+
 @pytest.mark.parametrize("n_items", [200, 2_000])
 def test_leaks_of_large_benchmarks_against_checks_of_every_window(spark, n_items):
     rng = np.random.default_rng(n_items)

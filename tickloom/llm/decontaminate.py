@@ -3,7 +3,9 @@
 1. Document frequencies of the benchmark's terms are counted over all documents.
 2. A randomised SVD of TF-IDF passages (all benchmark pieces and all passages of
    the corpus) gives the latent space.  The passages enter by their Gram matrix
-   A^T A, which the executors add up in one pass; blocks of it meet by name.
+   A^T A, which the executors add up in one pass; blocks of it meet by name, and
+   what a group needs of them by group, where its space is fitted: the driver
+   never holds a matrix of terms by terms.
    Groups of at most ``GROUP_PIECES`` pieces have a space each, so its rank
    follows the benchmark and every piece keeps (nearly) its whole norm.
 3. Every window of every document is a candidate for the benchmark pieces whose
@@ -32,7 +34,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import groupby, repeat
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -300,12 +303,15 @@ def _document_counts(scanned: DataFrame, n_terms: int) -> tuple[int, int, np.nda
     return int(out[-1]), int(out[-2]), out[:-2]
 
 
-def _gram(packed: DataFrame, idf: np.ndarray, own: np.ndarray, tasks: int) -> np.ndarray:
-    """A^T A over the terms ``own`` of the unit TF-IDF rows of all passages, added up on the executors."""
-    shared = packed.sparkSession.sparkContext.broadcast((idf, own))
+def _gram(packed: DataFrame, idf: np.ndarray, own: np.ndarray, places: list[np.ndarray], tasks: int) -> DataFrame:
+    """(space, top, part): rows of A^T A, from place ``top`` on, of the terms ``own[places[space]]`` over the unit TF-IDF rows of all passages.
+
+    Added up on the executors; parts begin at the diagonal, and parts of zeros are left out.
+    """
+    shared = packed.sparkSession.sparkContext.broadcast((idf, own, places))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, own = shared.value
+        idf, own, _ = shared.value
         size = len(own)
         local = np.full(len(idf), -1)
         local[own] = np.arange(size)
@@ -334,37 +340,81 @@ def _gram(packed: DataFrame, idf: np.ndarray, own: np.ndarray, tasks: int) -> np
                 yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "part": pa.array([part.tobytes()], pa.binary())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, own, places = shared.value
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, part in zip(batch.column(0).to_pylist(), batch.column(1)):
                 part = np.frombuffer(part.as_py())
                 sums[block] = sums[block] + part if block in sums else part
         for block, part in sums.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "part": pa.array([part.tobytes()], pa.binary())})
-
-    kind = "block int, part binary"
-    out = np.zeros((len(own), len(own)))
-    for row in packed.coalesce(tasks).mapInArrow(run, kind).repartition("block").mapInArrow(merge, kind).toLocalIterator():
-        part = np.frombuffer(row.part).reshape(-1, len(own) - row.block)
-        out[row.block : row.block + len(part), row.block :] = part
-    for k in range(0, len(own), TERM_BLOCK):  # the lower triangle, in place
-        square = out[k : k + TERM_BLOCK, k : k + TERM_BLOCK]
+            part = part.reshape(-1, len(own) - block)
+            for space, at in enumerate(places):
+                top, end = np.searchsorted(at, (block, block + TERM_BLOCK)).tolist()
+                if (rows := part[np.ix_(at[top:end] - block, at[top:] - block)]).any():
+                    yield pa.RecordBatch.from_pydict({"space": pa.array([space], pa.int32()), "top": pa.array([top], pa.int32()), "part": pa.array([rows.tobytes()], pa.binary())})
+
+    return packed.coalesce(tasks).mapInArrow(run, "block int, part binary").repartition("block").mapInArrow(merge, "space int, top int, part binary")
+
+
+def _folded(parts: Iterator[tuple[int, bytes]], idf: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], share: float, rank: int, state: dict) -> np.ndarray:
+    """What each term of a group adds to the score of each of its pieces (``rows``: places and values), by the randomised SVD of the pieces and ``share`` times the corpus."""
+    n = len(idf)
+    corpus = None
+    for top, part in parts:
+        corpus = np.zeros((n, n)) if corpus is None else corpus
+        part = np.frombuffer(part).reshape(-1, n - top)
+        corpus[top : top + len(part), top:] = part
+    for k in range(0, 0 if corpus is None else n, TERM_BLOCK):  # the lower triangle, in place
+        square = corpus[k : k + TERM_BLOCK, k : k + TERM_BLOCK]
         square[:] = np.triu(square) + np.triu(square, 1).T
-        out[k + TERM_BLOCK :, k : k + TERM_BLOCK] = out[k : k + TERM_BLOCK, k + TERM_BLOCK :].T
-    return out
-
-
-def _corpus_grams(packed: DataFrame, idf: np.ndarray, chosen: list[np.ndarray], tasks: int) -> Iterator[np.ndarray]:
-    """The Gram matrix of all passages in each group's terms; groups of at most ``GRAM_TERMS`` terms together share a pass."""
+        corpus[k + TERM_BLOCK :, k : k + TERM_BLOCK] = corpus[k : k + TERM_BLOCK, k + TERM_BLOCK :].T
+
+    def product(x: np.ndarray) -> np.ndarray:
+        own = _item_product(rows, x)
+        return own if corpus is None else share * (corpus @ x) + own
+
+    rng = np.random.default_rng()
+    rng.bit_generator.state = state
+    basis = np.linalg.qr(_item_product(rows, rng.standard_normal((n, min(rank + OVERSAMPLE, n)))))[0]
+    for _ in range(POWER_ROUNDS):
+        basis = np.linalg.qr(product(basis))[0]
+    image = product(basis)
+    small = basis.T @ image
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    basis = basis @ turn[:, np.argsort(-values)[:rank]]
+    vectors = np.stack([row @ basis[k] for k, row in rows])
+    vectors /= np.maximum((vectors**2).sum(axis=1, keepdims=True), 1e-12)
+    return ((basis * idf[:, None]) @ vectors.T).astype(np.float32)
+
+
+def _spaces(packed: DataFrame, idf: np.ndarray, chosen: list[np.ndarray], rows: list[list[tuple[np.ndarray, np.ndarray]]], passages: int, rank: int, tasks: int) -> Iterator[np.ndarray]:
+    """``_folded`` of each group (of the terms ``chosen``), fitted on the executors; groups of at most ``GRAM_TERMS`` terms together share a pass."""
+    context = packed.sparkSession.sparkContext
+    rng = np.random.default_rng(7)
+    starts = []
+    for ids in chosen:  # one sequence of draws for all groups, wherever they are fitted
+        starts.append(rng.bit_generator.state)
+        rng.standard_normal((len(ids), min(rank + OVERSAMPLE, len(ids))))
+    fits = [(idf[ids], r, CORPUS_SHARE * len(r) / max(1, passages), rank, state) for ids, r, state in zip(chosen, rows, starts)]
     k = 0
     while k < len(chosen):
         own, last = chosen[k], k + 1
         while last < len(chosen) and len(more := np.union1d(own, chosen[last])) <= GRAM_TERMS:
             own, last = more, last + 1
-        whole = _gram(packed, idf, own, tasks)
-        for ids in chosen[k:last]:
-            at = np.searchsorted(own, ids)
-            yield whole[np.ix_(at, at)]
+        shared = context.broadcast(fits[k:last])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            parts = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (x.as_py() for x in batch.column(2))))
+            for space, group in groupby(parts, itemgetter(0)):
+                folded = _folded((row[1:] for row in group), *shared.value[space])
+                yield pa.RecordBatch.from_pydict({"space": pa.array([space], pa.int32()), "folded": pa.array([folded.tobytes()], pa.binary())})
+
+        places = [np.searchsorted(own, ids) for ids in chosen[k:last]]
+        parts = _gram(packed, idf, own, places, tasks).repartition("space").sortWithinPartitions("space")
+        found = {row.space: np.frombuffer(row.folded, dtype=np.float32) for row in parts.mapInArrow(run, "space int, folded binary").toLocalIterator()}
+        for space, ids in enumerate(chosen[k:last]):
+            # no passage holds any of the group's terms: the pieces alone span its space
+            yield found[space].reshape(len(ids), -1) if space in found else _folded(iter(()), *fits[k + space])
         k = last
 
 
@@ -424,28 +474,17 @@ def fit(frame: DataFrame, pieces: list[Piece], id_col: str = "doc_id", text_col:
             found, tf = np.unique([terms[w] for w in pieces[k].words], return_counts=True)
             row = tf * idf[found]
             own[-1].append((np.searchsorted(ids, found), row / max(np.linalg.norm(row), 1e-12)))
-    rng = np.random.default_rng(7)
     tasks = min(GRAM_TASKS, 1 + documents // GRAM_DOCUMENTS)
     spaces = []
-    for (size, members), ids, o, corpus in zip(groups, chosen, own, _corpus_grams(packed, idf, chosen, tasks)):
-        share = CORPUS_SHARE * len(o) / max(1, passages)
-        basis = np.linalg.qr(_item_product(o, rng.standard_normal((len(ids), min(rank + OVERSAMPLE, len(ids))))))[0]
-        for _ in range(POWER_ROUNDS):
-            basis = np.linalg.qr(share * (corpus @ basis) + _item_product(o, basis))[0]
-        image = share * (corpus @ basis) + _item_product(o, basis)
-        small = basis.T @ image
-        values, turn = np.linalg.eigh((small + small.T) / 2)
-        basis = basis @ turn[:, np.argsort(-values)[:rank]]
-        vectors = np.stack([row @ basis[k] for k, row in o])
-        vectors /= np.maximum((vectors**2).sum(axis=1, keepdims=True), 1e-12)
+    for (size, members), ids, folded in zip(groups, chosen, _spaces(packed, idf, chosen, own, passages, rank, tasks)):
         local = np.full(len(terms) + 1, len(ids), dtype=np.int32)
         local[ids] = np.arange(len(ids))
         holds = [np.zeros((len(members), len(ids) + 1), dtype=bool) for _ in range(2)]
         for row, k in enumerate(members):
-            for own, held in zip((pieces[k].words, pieces[k].answer), holds):
-                held[row, local[[terms[w] for w in own]]] = True
-        lengths, answers = (np.array([len(x) for x in own]) for own in zip(*((pieces[k].words, pieces[k].answer) for k in members)))
-        spaces.append(Space(size, np.array(members), local, ((basis * idf[ids, None]) @ vectors.T).astype(np.float32), lengths, answers, *holds))
+            for words, held in zip((pieces[k].words, pieces[k].answer), holds):
+                held[row, local[[terms[w] for w in words]]] = True
+        lengths, answers = (np.array([len(x) for x in words]) for words in zip(*((pieces[k].words, pieces[k].answer) for k in members)))
+        spaces.append(Space(size, np.array(members), local, folded, lengths, answers, *holds))
     return Detector(terms, idf, float(np.log(documents + 2)), pieces, spaces, limits)
 
 
