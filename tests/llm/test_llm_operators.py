@@ -520,6 +520,25 @@ def test_fit_keeps_matrices_of_terms_off_the_driver(spark):
     assert peak < 3_600**2  # bytes: an eighth of a matrix of its terms
 
 
+def test_texts_are_split_into_words_once_for_each_block(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(k, f"before {PROSE} after {k}" if k % 5 == 0 else f"other words {k}") for k in range(40)] + [(5, None), (None, PROSE), (7, "tiny one here")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, PROSE), (2, "tiny one")], "item_id long, text string")
+    want = Counter((d, (1,) if text and PROSE in text else (2,) if text and "tiny" in text else ()) for d, text in rows)
+    for size, blocks in ((decontaminate.PASS_PIECES, 1), (1, 2)):
+        seen.value = 0
+        found = decontaminate.decontaminate(frame, bench, pass_pieces=size)
+        assert Counter((r.doc_id, tuple(r.item_ids)) for r in found.collect()) == want
+        assert seen.value == len(rows), blocks
+
+
 @pytest.mark.parametrize("n_items", [200, 2_000])
 def test_leaks_of_large_benchmarks_against_checks_of_every_window(spark, n_items):
     rng = np.random.default_rng(n_items)

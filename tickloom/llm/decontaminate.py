@@ -8,6 +8,8 @@
    never holds a matrix of terms by terms.
    Groups of at most ``GROUP_PIECES`` pieces have a space each, so its rank
    follows the benchmark and every piece keeps (nearly) its whole norm.
+   The same pass numbers the words of every document, from which 3. and 4. are
+   answered (``decontaminate``; ``drop_contaminated`` reads the texts again).
 3. Every window of every document is a candidate for the benchmark pieces whose
    latent cosine reaches ``min_cosine``.  A window whose terms cannot add up
    to it for any piece is skipped before the projection.
@@ -32,16 +34,18 @@ nothing and an empty table gives an empty result; other columns are ignored
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import groupby, repeat
 from operator import itemgetter
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import checkpointed
 
@@ -72,6 +76,15 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def numbers_of(text: str, terms: dict[str, int]) -> np.ndarray:
+    """The number of each word of a text; words that are no terms have the one after the terms'."""
+    return np.array(list(map(terms.get, words_of(text), repeat(len(terms)))), dtype=np.int32)
+
+
+def number_type(terms: dict[str, int]) -> type:
+    return np.uint16 if len(terms) < 1 << 16 else np.uint32
+
+
 def pieces_of(words: list[str], size: int = PIECE_WORDS) -> list[list[str]]:
     """Near-equal pieces of at most ``size`` words."""
     parts = max(1, -(-len(words) // size))
@@ -171,6 +184,8 @@ class Detector:
 
     def __post_init__(self):
         self.cost = np.append(self.idf, self.unknown) ** 2
+        #: Terms by their numbers; the number after theirs stands for all other words.
+        self.names = [*self.terms, ""]
         #: Pieces too short for retrieval, by their first word.
         self.short: dict[str, list[Piece]] = {}
         for piece in self.pieces:
@@ -179,19 +194,21 @@ class Detector:
 
     def find(self, text: str) -> list[tuple[int, float]]:
         """(item, share of the best common subsequence) of every leak, in order of items."""
-        words = words_of(text)
-        n = len(words)
+        return self.find_numbers(numbers_of(text, self.terms))
+
+    def find_numbers(self, ids: np.ndarray) -> list[tuple[int, float]]:
+        """``find``, for the numbers of a text's words."""
+        n = len(ids)
         if not n or not self.pieces:
             return []
-        none = len(self.terms)
-        get = self.terms.get
-        ids = np.array(list(map(get, words, repeat(none))), dtype=np.int32)
         weights = self.cost[ids]
         whole = np.concatenate(([0.0], np.cumsum(weights)))
         bound = self.thresholds["cosine"]
         best: dict[int, float] = {}
-        for at in [k for k, w in enumerate(words) if w in self.short] if self.short else ():
-            best.update((piece.item, 1.0) for piece in self.short[words[at]] if words[at : at + len(piece.words)] == piece.words)
+        if self.short:
+            words = self._words(ids)
+            for at in [k for k, w in enumerate(words) if w in self.short]:
+                best.update((piece.item, 1.0) for piece in self.short[words[at]] if words[at : at + len(piece.words)] == piece.words)
         for space in self.spaces:
             size, members = space.size, space.members
             own = space.local[ids]
@@ -220,13 +237,16 @@ class Detector:
                 place = np.arange(len(found)) - np.maximum.accumulate(np.where(fresh, np.arange(len(found)), 0))
                 for part in np.split(found, np.flatnonzero(place % TOGETHER == 0)[1:]) if len(found) else ():
                     piece = self.pieces[members[p[part[0]]]]
-                    if len(part) > 1 and not self._verify(piece, words[a[part[0]] : b[part[-1]]]):
+                    if len(part) > 1 and not self._verify(piece, self._words(ids[a[part[0]] : b[part[-1]]])):
                         continue
-                    share = max(self._verify(piece, words[a[k] : b[k]]) for k in part)
+                    share = max(self._verify(piece, self._words(ids[a[k] : b[k]])) for k in part)
                     if share > best.get(piece.item, 0.0):
                         best[piece.item] = share
         return sorted(best.items())
 
+    def _words(self, ids: np.ndarray) -> list[str]:
+        return list(map(self.names.__getitem__, ids.tolist()))
+
     def _verify(self, piece: Piece, words: list[str]) -> float:
         size = len(piece.words)
         share = lcs_length(piece.masks, size, words, self.thresholds["paraphrase"] * size) / size
@@ -238,28 +258,41 @@ class Detector:
 
     def column(self, text: Column) -> Column:
         """array<struct<item_id, share>> of the leaks in a text column."""
+        return self._found(F.coalesce(text, F.lit("")), lambda detector, t: detector.find(t))
+
+    def numbers_column(self, numbers: Column) -> Column:
+        """``column``, for a column of packed numbers (``_scan``)."""
+        return self._found(numbers, lambda detector, x: detector.find_numbers(np.frombuffer(x, dtype=number_type(detector.terms)).astype(np.int32)))
+
+    def _found(self, column: Column, find: Callable[[Detector, Any], list[tuple[int, float]]]) -> Column:
         shared = (SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()).sparkContext.broadcast(self)
 
         @F.pandas_udf("array<struct<item_id:long,share:double>>")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             detector = shared.value
             for batch in batches:
-                yield pd.Series([[{"item_id": i, "share": s} for i, s in detector.find(t)] for t in batch])
+                yield pd.Series([[{"item_id": i, "share": s} for i, s in find(detector, x)] for x in batch])
 
-        return run(F.coalesce(text, F.lit("")))
+        return run(column)
 
 
 def _scan(texts: DataFrame, terms: dict[str, int]) -> DataFrame:
     """Documents with each term (term, n; term -1: all documents, -2: passages with a term), and packed passages, of every text.
 
     A packed row holds passages one after another: how many terms each has, its terms in order, and how often each stands in it.
+    ``texts`` has the text first; if more columns follow, each document has a row of them and of the numbers of its words.
     """
+    carried = texts.columns[1:]
+    kinds = StructType.fromDDL("term int, n long, sizes binary, terms binary, tf binary, numbers binary").fields + [StructField(c, texts.schema[c].dataType) for c in carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = len(terms)
+        none, packed_type = len(terms), number_type(terms)
         counts, rows, passages = np.zeros(none + 1, dtype=np.int64), 0, 0
-        get = terms.get
         held: list[np.ndarray] = []
+        empty: dict[str, pa.DataType] = {"term": pa.int32(), "n": pa.int64()} | dict.fromkeys(("sizes", "terms", "tf", "numbers"), pa.binary())
+
+        def filled(n: int, columns: dict[str, Any]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({c: pa.array(columns[c], kind) if c in columns else pa.nulls(n, kind) for c, kind in empty.items()})
 
         def pack() -> tuple[int, pa.RecordBatch]:
             lengths = np.array([-(-len(x) // PIECE_WORDS) for x in held])
@@ -269,30 +302,35 @@ def _scan(texts: DataFrame, terms: dict[str, int]) -> DataFrame:
             sizes = np.bincount(cell // none)
             sizes = sizes[sizes > 0]
             held.clear()
-            packed = [[sizes.astype(np.uint8).tobytes()], [(cell % none).astype(np.uint32).tobytes()], [tf.astype(np.uint8).tobytes()]]
-            return len(sizes), pa.RecordBatch.from_pydict({"term": pa.nulls(1, pa.int32()), "n": pa.nulls(1, pa.int64())} | {k: pa.array(x, pa.binary()) for k, x in zip(("sizes", "terms", "tf"), packed)})
+            return len(sizes), filled(1, {"sizes": [sizes.astype(np.uint8).tobytes()], "terms": [(cell % none).astype(np.uint32).tobytes()], "tf": [tf.astype(np.uint8).tobytes()]})
 
         words_held = 0
         for batch in batches:
             rows += batch.num_rows
+            empty |= {c: batch.column(1 + k).type for k, c in enumerate(carried)}
+            numbers: list[bytes] = []
             for text in batch.column(0):
-                ids = np.array(list(map(get, words_of(text.as_py()), repeat(none))), dtype=np.int64)
+                ids = numbers_of(text.as_py(), terms)
                 counts[np.unique(ids)] += 1
                 held.append(ids)
                 words_held += len(ids)
+                if carried:
+                    numbers.append(ids.astype(packed_type).tobytes())
                 if words_held > PACK_WORDS:
                     found, packed = pack()
                     passages, words_held = passages + found, 0
                     yield packed
+            if carried:
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(numbers), kind) for kind in list(empty.values())[:5]), pa.array(numbers, pa.binary()), *batch.columns[1:]], names=list(empty))
         if held:
             found, packed = pack()
             passages += found
             yield packed
         own = np.flatnonzero(counts[:-1])
-        empty = pa.nulls(len(own) + 2, pa.binary())
-        yield pa.RecordBatch.from_pydict({"term": pa.array([-1, -2, *own.tolist()], pa.int32()), "n": pa.array([rows, passages, *counts[own].tolist()], pa.int64()), "sizes": empty, "terms": empty, "tf": empty})
+        if rows:  # else the types of the carried columns are not known here
+            yield filled(len(own) + 2, {"term": [-1, -2, *own.tolist()], "n": [rows, passages, *counts[own].tolist()]})
 
-    return texts.mapInArrow(run, "term int, n long, sizes binary, terms binary, tf binary")
+    return texts.mapInArrow(run, StructType(kinds))
 
 
 def _document_counts(scanned: DataFrame, n_terms: int) -> tuple[int, int, np.ndarray]:
@@ -450,21 +488,27 @@ def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_col:
         yield block
 
 
-def fit(frame: DataFrame, pieces: list[Piece], id_col: str = "doc_id", text_col: str = "text", rank: int = RANK, min_cosine: float = MIN_COSINE, min_lcs: float = MIN_LCS, min_paraphrase: float = MIN_PARAPHRASE, min_answer: float = MIN_ANSWER) -> Detector:
+def _terms(pieces: list[Piece]) -> dict[str, int]:
+    return {w: k for k, w in enumerate(sorted({w for p in pieces for w in p.words}))}
+
+
+def fit(frame: DataFrame, pieces: list[Piece], id_col: str = "doc_id", text_col: str = "text", **options) -> Detector:
     """Counts and latent spaces for a block of pieces, against the documents of ``frame``."""
-    terms = {w: k for k, w in enumerate(sorted({w for p in pieces for w in p.words}))}
+    terms = _terms(pieces)
+    return _fit(checkpointed(_scan(frame.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), terms)), terms, pieces, **options)
+
+
+def _fit(scanned: DataFrame, terms: dict[str, int], pieces: list[Piece], rank: int = RANK, min_cosine: float = MIN_COSINE, min_lcs: float = MIN_LCS, min_paraphrase: float = MIN_PARAPHRASE, min_answer: float = MIN_ANSWER) -> Detector:
     limits = {"cosine": min_cosine, "lcs": min_lcs, "paraphrase": min_paraphrase, "answer": min_answer}
     if not terms:
         return Detector({}, np.zeros(0), 1.0, [], [], limits)
-    texts = frame.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    scanned = checkpointed(_scan(texts, terms))
     documents, passages, counts = _document_counts(scanned, len(terms))
     idf = np.log((documents + 2) / (counts + 1))
     for p in pieces:
         for i, w in enumerate(p.words):
             p.masks[w] = p.masks.get(w, 0) | 1 << i
         p.answer = frozenset(sorted(set(p.words), key=lambda w: (-idf[terms[w]], w))[:ANSWER_TERMS])
-    packed = scanned.where("term is null").select("sizes", "terms", "tf")
+    packed = scanned.where("sizes is not null").select("sizes", "terms", "tf")
     groups = _groups(pieces)
     chosen = [np.unique(np.array([terms[w] for k in members for w in pieces[k].words], dtype=np.int64)) for _, members in groups]
     own = []
@@ -491,10 +535,16 @@ def fit(frame: DataFrame, pieces: list[Piece], id_col: str = "doc_id", text_col:
 def decontaminate(frame: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", pass_pieces: int = PASS_PIECES, **options) -> DataFrame:
     """A row per input row: id, contaminated, item_ids (ascending) and best_share (0 if none)."""
     kind = "array<struct<item_id:bigint,share:double>>"
-    out = frame.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.array().cast(kind).alias("found"))
-    for k, pieces in enumerate(item_blocks(benchmark, most=pass_pieces)):
-        out = checkpointed(out) if k else out  # so that no task holds the spaces of two blocks
-        out = out.withColumn("found", F.concat("found", fit(frame, pieces, id_col, text_col, **options).column(F.col("text"))))
+    out = frame.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.array().cast(kind).alias("found"))
+    blocks = item_blocks(benchmark, most=pass_pieces)
+    ahead = next(blocks, None)
+    while ahead is not None:
+        pieces, ahead = ahead, next(blocks, None)
+        terms = _terms(pieces)
+        kept = ["id", "found", *["text"] * (ahead is not None)]  # texts are split into words once for each block
+        scanned = checkpointed(_scan(out.select(F.col("text").alias("whole"), *kept), terms))
+        found = _fit(scanned, terms, pieces, **options).numbers_column(F.col("numbers"))
+        out = scanned.where("numbers is not null").withColumn("found", F.concat("found", found)).select(*kept)
     found = F.array_sort("found")
     return out.select(F.col("id").alias(id_col), (F.size("found") > 0).alias("contaminated"), found["item_id"].alias("item_ids"), F.coalesce(F.array_max("found.share"), F.lit(0.0)).alias("best_share"))
 
