@@ -26,6 +26,10 @@ def weights(frame):
     return {r.asset: r.weight for r in frame.collect()}
 
 
+def assets(frame):
+    return sorted(r.asset for r in frame.select("asset").distinct().collect())
+
+
 def matrix(frame, ids):
     got = {(r.i, r.j): r.value for r in frame.collect()}
     return np.array([[got[a, b] for b in ids] for a in ids])
@@ -260,3 +264,9 @@ def test_attribution_of_each_period(spark):
     for t in (1, 2):
         one = {r.sector: r.total for r in portfolio.brinson_fachler(held.where(F.col("t") == t), bench.where(F.col("t") == t), sectors).collect()}
         assert one.keys() == {"x", "y", None} and all(abs(every[t, k] - v) < 1e-12 for k, v in one.items())
+
+
+def test_rounding_decides_no_front(spark):
+    f = np.random.default_rng(2).normal(0.01, 0.05, 60)
+    same = {k: np.random.default_rng(n).permutation(f).tolist() for n, k in enumerate("ABCDEF")}  # equal means and risks, summed in other orders
+    assert assets(portfolio.select_non_dominated(returns_from_mapping(spark, same | {"G": (f - 0.02).tolist()}))) == list("ABCDEF")

@@ -289,6 +289,9 @@ def rolling_factor_exposure(rows: DataFrame, y: str, factors: Sequence[str], key
 
 # ---- pre-selection (each keeps the rows of the assets it selects) ---------
 
+#: Statistics of returns that differ by less are equal: sums of the same numbers in another order do.
+TIE = 1e-12
+
 
 def drop_zero_variance(returns: DataFrame, *, tol: float = 1e-12) -> DataFrame:
     kept = returns.groupBy("asset").agg(F.var_pop("ret").alias("v")).where(F.col("v") > tol)
@@ -334,7 +337,8 @@ def select_non_dominated(returns: DataFrame, *, risk_measure: str = "volatility"
     """Assets that no other beats in mean and risk (volatility, or the mean loss of the worst 5 percent).
 
     In order of falling mean an asset is beaten exactly if one before it has no more
-    risk, so a running minimum replaces the comparison of all pairs.
+    risk, or one of equal mean less, so running minima replace the comparison of all
+    pairs.  What is equal within ``TIE`` is equal, so assets of the same returns stay together.
     """
     if risk_measure == "volatility":
         risk = returns.groupBy("asset").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("risk"))
@@ -343,10 +347,10 @@ def select_non_dominated(returns: DataFrame, *, risk_measure: str = "volatility"
         risk = cut.groupBy("asset").agg(F.avg("ret").alias("m"), (-F.avg(F.when(F.col("ret") <= F.col("q"), F.col("ret")))).alias("risk"))
     else:
         raise ValueError(f"unknown risk measure {risk_measure!r}")
-    # equal means: only the least risk of them survives
-    tiers = risk.groupBy("m").agg(F.min("risk").alias("risk"))
-    front = tiers.withColumn("before", F.min("risk").over(Window.orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, -1))).where("before is null or risk < before")
-    return returns.join(risk.join(front.select("m", "risk"), ["m", "risk"]).select("asset"), "asset", "left_semi")
+    least = "min(risk) OVER (ORDER BY m DESC RANGE BETWEEN UNBOUNDED PRECEDING AND {}D {})"
+    ranked = risk.withColumns({"above": F.expr(least.format(TIE, "PRECEDING")), "level": F.expr(least.format(TIE, "FOLLOWING"))})
+    front = ranked.where(f"(above is null or risk < above - {TIE}D) and risk <= level + {TIE}D")
+    return returns.join(front.select("asset"), "asset", "left_semi")
 
 
 # ---- cross-validation -----------------------------------------------------
