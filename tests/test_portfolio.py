@@ -270,3 +270,9 @@ def test_rounding_decides_no_front(spark):
     f = np.random.default_rng(2).normal(0.01, 0.05, 60)
     same = {k: np.random.default_rng(n).permutation(f).tolist() for n, k in enumerate("ABCDEF")}  # equal means and risks, summed in other orders
     assert assets(portfolio.select_non_dominated(returns_from_mapping(spark, same | {"G": (f - 0.02).tolist()}))) == list("ABCDEF")
+
+
+def test_rounding_drops_no_asset(spark):
+    f, g = np.random.default_rng(2).normal(0.01, 0.05, (2, 60))
+    scaled = {k: (f * (n + 1) / 3).tolist() for n, k in enumerate("ABCDEF")}  # correlations of one
+    assert assets(portfolio.drop_highly_correlated(returns_from_mapping(spark, scaled | {"G": g.tolist()}), threshold=0.5)) == ["F", "G"]

@@ -305,18 +305,21 @@ def select_complete_assets(returns: DataFrame, *, min_obs: int | None = None) ->
 
 
 def drop_highly_correlated(returns: DataFrame, *, threshold: float = 0.95) -> DataFrame:
-    """Of the most correlated pair, the asset of greater mean absolute correlation goes, until none exceeds the threshold."""
+    """Of the most correlated pair, the asset of greater mean absolute correlation goes, until none exceeds the threshold.
+
+    What is equal within ``TIE`` is equal: the first of such pairs counts, and of equal means its first asset goes.
+    """
     m = moments(returns)
     c = np.abs(m.corr)
     np.fill_diagonal(c, 0)
     live = list(range(len(m.ids)))
     while len(live) > 1:
         sub = c[np.ix_(live, live)]
-        i, j = divmod(int(np.argmax(sub)), len(live))
-        if sub[i, j] <= threshold:
+        if sub.max() <= threshold:
             break
+        i, j = divmod(int(np.argmax((sub >= sub.max() - TIE) & (sub > threshold))), len(live))
         mean = sub.sum(axis=1) / (len(live) - 1)
-        live.pop(i if mean[i] >= mean[j] else j)
+        live.pop(i if mean[i] >= mean[j] - TIE else j)
     return returns.where(F.col("asset").isin([m.ids[k] for k in live]))
 
 
