@@ -276,3 +276,10 @@ def test_rounding_drops_no_asset(spark):
     f, g = np.random.default_rng(2).normal(0.01, 0.05, (2, 60))
     scaled = {k: (f * (n + 1) / 3).tolist() for n, k in enumerate("ABCDEF")}  # correlations of one
     assert assets(portfolio.drop_highly_correlated(returns_from_mapping(spark, scaled | {"G": g.tolist()}), threshold=0.5)) == ["F", "G"]
+
+
+def test_rounding_decides_no_subset(spark):
+    f, g = np.random.default_rng(3).normal(0.01, 0.05, (2, 60))
+    copies = {k: (f * (1 + 1e-15 * n)).tolist() for n, k in enumerate("ABCDE")}
+    held = weights(allocation.cardinality_constrained(returns_from_mapping(spark, copies | {"G": g.tolist()}), max_assets=3))
+    assert [k for k, w in held.items() if w > 0] == ["A", "G"] and abs(sum(held.values()) - 1) < 1e-6
