@@ -589,6 +589,37 @@ def test_benchmarks_of_many_terms_keep_them_all(spark):
     assert got == {-1: []} | {k: [k] for k, _ in items[::50]}
 
 
+def test_words_are_those_of_the_pattern():
+    chars = [c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    for step in (40, 1_000):  # few and many different characters between words
+        for k in range(0, len(chars), step):
+            text = "Aİ_".join(chars[k : k + step])
+            assert decontaminate.words_of(text) == re.findall(r"\w+", text.lower())
+
+
+def test_texts_sifted_together_give_what_each_gives(spark, small, monkeypatch):
+    docs = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").limit(60).collect()]
+    bench = spark.read.parquet(f"{small}/benchmark.parquet")
+    pieces = next(decontaminate.item_blocks(bench))
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(docs)], "doc_id long, text string")
+    detector = decontaminate.fit(frame, pieces)
+    texts = ["", *docs, "", *[f"{t[:200]} {r.text} {t[200:]}" for t, r in zip(docs, bench.collect())], ""]
+    numbers = [decontaminate.numbers_of(t, detector.terms) for t in texts]
+    alone = [detector.find_numbers(x) for x in numbers]
+    assert sum(map(bool, alone)) > 30
+    sifted, plain = [], detector._find_some
+    monkeypatch.setattr(detector, "_find_some", lambda some: sifted.append(len(some)) or plain(some))
+    assert detector.find_each(numbers) == alone and len(sifted) < len(texts) / 4
+    monkeypatch.setattr(decontaminate, "TOGETHER_WORDS", 700)
+    assert detector.find_each(numbers) == alone and detector.find_each([]) == []
+    for found, x in zip(alone, numbers):  # the verifier on numbers is the one on words
+        words = detector._words(x)
+        for space in detector.spaces:
+            own = space.local[x]
+            for row, k in list(enumerate(space.members.tolist()))[:5]:
+                assert detector._verify_numbers(space, row, own[:80]) == detector._verify(pieces[k], words[:80])
+
+
 def test_common_subsequence_against_dynamic_programming():
     rng = random.Random(7)
     for _ in range(200):

@@ -50,6 +50,9 @@ from pyspark.sql.types import StructField, StructType
 from .common import checkpointed
 
 _WORD = re.compile(r"\w+")
+_ASCII_GAPS = {k: " " for k in range(128) if not (chr(k).isalnum() or k == ord("_"))}
+#: Different characters between words that are replaced one by one; with more, the pattern is quicker.
+MOST_GAPS = 64
 #: Pieces that share a latent space, and its rank, which leaves room for the corpus beside them.
 GROUP_PIECES = 96
 #: Pieces that one pass over the documents looks for.
@@ -68,17 +71,27 @@ MIN_COSINE = 0.2
 MIN_LCS, MIN_PARAPHRASE, MIN_ANSWER = 0.6, 0.4, 0.8
 ANSWER_TERMS = 5
 TERM_BLOCK = 256
-#: Neighbouring windows that are checked together first.
-TOGETHER = 5
+#: Neighbouring windows that are checked together first, and words whose windows are sifted at once.
+TOGETHER, TOGETHER_WORDS = 5, 100_000
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """``_WORD`` in the text in lower case; its characters are those of ``isalnum`` and the underscore."""
+    text = text.lower()
+    if text.isascii():
+        return text.translate(_ASCII_GAPS).split()
+    gaps = [c for c in set(text) if not (c.isalnum() or c == "_")]
+    if len(gaps) > MOST_GAPS:
+        return _WORD.findall(text)
+    for c in gaps:
+        text = text.replace(c, " ")
+    return text.split()
 
 
 def numbers_of(text: str, terms: dict[str, int]) -> np.ndarray:
     """The number of each word of a text; words that are no terms have the one after the terms'."""
-    return np.array(list(map(terms.get, words_of(text), repeat(len(terms)))), dtype=np.int32)
+    words = words_of(text)
+    return np.fromiter(map(terms.get, words, repeat(len(terms))), np.int32, len(words))
 
 
 def number_type(terms: dict[str, int]) -> type:
@@ -92,9 +105,12 @@ def pieces_of(words: list[str], size: int = PIECE_WORDS) -> list[list[str]]:
     return [words[a:b] for a, b in zip(edges, edges[1:]) if b > a]
 
 
-def lcs_length(masks: dict[str, int], size: int, words: list[str], least: float = 0) -> int:
+def lcs_length(masks: dict[Any, int], size: int, words: list, least: float = 0) -> int:
     """Longest common subsequence with a piece given as bit masks of its words' places (0 if surely below ``least``)."""
-    hits = [masks[w] for w in words if w in masks]
+    return _lcs_of_hits([masks[w] for w in words if w in masks], size, least)
+
+
+def _lcs_of_hits(hits: list[int], size: int, least: float) -> int:
     if len(hits) < least:
         return 0
     full = (1 << size) - 1
@@ -130,6 +146,8 @@ class Space:
     answers: np.ndarray
     holds: np.ndarray
     answer_holds: np.ndarray
+    #: Places of the words of each piece as bit masks, by their rows here.
+    masks: list[dict[int, int]]
 
     def __post_init__(self):
         #: The most that each term adds to the score of any piece.
@@ -198,80 +216,131 @@ class Detector:
 
     def find_numbers(self, ids: np.ndarray) -> list[tuple[int, float]]:
         """``find``, for the numbers of a text's words."""
-        n = len(ids)
-        if not n or not self.pieces:
-            return []
+        return self.find_each([ids])[0]
+
+    def find_each(self, texts: list[np.ndarray]) -> list[list[tuple[int, float]]]:
+        """``find_numbers`` of each text; some ``TOGETHER_WORDS`` words are sifted at once."""
+        out: list[list[tuple[int, float]]] = []
+        ends = np.cumsum([len(x) for x in texts])
+        top = 0
+        while top < len(texts):
+            last = max(top + 1, int(np.searchsorted(ends, (ends[top - 1] if top else 0) + TOGETHER_WORDS, "right")))
+            out += self._find_some(texts[top:last])
+            top = last
+        return out
+
+    def _find_some(self, texts: list[np.ndarray]) -> list[list[tuple[int, float]]]:
+        lengths = np.array([len(x) for x in texts])
+        best: list[dict[int, float]] = [{} for _ in texts]
+        if not lengths.sum() or not self.pieces:
+            return [[] for _ in texts]
+        if self.short:
+            for ids, leaks in zip(texts, best):
+                words = self._words(ids)
+                for at in [k for k, w in enumerate(words) if w in self.short]:
+                    leaks.update((piece.item, 1.0) for piece in self.short[words[at]] if words[at : at + len(piece.words)] == piece.words)
+        ids = np.concatenate(texts)
+        bases = np.cumsum(lengths) - lengths
         weights = self.cost[ids]
         whole = np.concatenate(([0.0], np.cumsum(weights)))
         bound = self.thresholds["cosine"]
-        best: dict[int, float] = {}
-        if self.short:
-            words = self._words(ids)
-            for at in [k for k, w in enumerate(words) if w in self.short]:
-                best.update((piece.item, 1.0) for piece in self.short[words[at]] if words[at : at + len(piece.words)] == piece.words)
         for space in self.spaces:
-            size, members = space.size, space.members
+            size = space.size
             own = space.local[ids]
             peaks = np.concatenate(([0.0], np.cumsum(space.peaks[own])))
             width, stride = size + size // 3, max(2, size // 3)
-            tops = np.arange(0, max(1, n - width + stride), stride)
-            ends = np.minimum(tops + width, n)
-            mass = whole[ends] - whole[tops]
+            windows = np.where(lengths > 0, -(-np.maximum(1, lengths - width + stride) // stride), 0)
+            text = np.repeat(np.arange(len(texts)), windows)
+            place = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
+            tops = bases[text] + place * stride
+            ends = np.minimum(tops + width, (bases + lengths)[text])
             # no piece's score exceeds the sum of its terms' peaks
-            likely = np.flatnonzero((peaks[ends] - peaks[tops]) * 1.001 >= bound * np.sqrt(mass))
-            for top in range(0, len(likely), 512):
-                chosen = likely[top : top + 512]
-                scores = space.window_sums(own, chosen, stride, width) / np.sqrt(np.maximum(mass[chosen], 1e-12))[:, None]
-                w, p = np.nonzero(scores >= bound)
-                if not len(w):
+            likely = np.flatnonzero((peaks[ends] - peaks[tops]) * 1.001 >= bound * np.sqrt(whole[ends] - whole[tops]))
+            for some in np.split(likely, np.flatnonzero(np.diff(text[likely])) + 1) if len(likely) else ():
+                k = text[some[0]]
+                base, end = bases[k], bases[k] + lengths[k]
+                mass = np.concatenate(([0.0], np.cumsum(weights[base:end])))
+                self._search(space, own[base:end], mass, place[some], width, stride, best[k])
+        return [sorted(leaks.items()) for leaks in best]
+
+    def _search(self, space: Space, own: np.ndarray, whole: np.ndarray, likely: np.ndarray, width: int, stride: int, best: dict[int, float]) -> None:
+        """Adds the leaks of a space's pieces in the ``likely`` windows of a text to ``best``."""
+        n, size, bound = len(own), space.size, self.thresholds["cosine"]
+        for top in range(0, len(likely), 512):
+            chosen = likely[top : top + 512]
+            tops = chosen * stride
+            ends = np.minimum(tops + width, n)
+            scores = space.window_sums(own, chosen, stride, width) / np.sqrt(np.maximum(whole[ends] - whole[tops], 1e-12))[:, None]
+            w, p = np.nonzero(scores >= bound)
+            if not len(w):
+                continue
+            # with half a window on either side; a common subsequence has no more words than the window shares,
+            # and below min_lcs the answer terms must be there
+            a, b = np.maximum(tops[w] - size // 2, 0), np.minimum(ends[w] + size // 2, n)
+            shares = space.shared_words(space.holds, own, p, a, b) / space.lengths[p]
+            answers = space.shared_words(space.answer_holds, own, p, a, b) >= self.thresholds["answer"] * space.answers[p]
+            found = np.flatnonzero((shares >= self.thresholds["lcs"]) | (shares >= self.thresholds["paraphrase"]) & answers)
+            if not len(found):
+                continue
+            found = found[np.lexsort((w[found], p[found]))]
+            # neighbours of one piece: what fails on all of a stretch fails on every part of it
+            fresh = np.r_[True, (np.diff(p[found]) != 0) | (np.diff(chosen[w[found]]) != 1)]
+            place = np.arange(len(found)) - np.maximum.accumulate(np.where(fresh, np.arange(len(found)), 0))
+            for part in np.split(found, np.flatnonzero(place % TOGETHER == 0)[1:]):
+                row = int(p[part[0]])
+                if len(part) > 1 and not self._verify_numbers(space, row, own[a[part[0]] : b[part[-1]]]):
                     continue
-                # with half a window on either side; a common subsequence has no more words than the window shares,
-                # and below min_lcs the answer terms must be there
-                a, b = np.maximum(tops[chosen[w]] - size // 2, 0), np.minimum(ends[chosen[w]] + size // 2, n)
-                shares = space.shared_words(space.holds, own, p, a, b) / space.lengths[p]
-                answers = space.shared_words(space.answer_holds, own, p, a, b) >= self.thresholds["answer"] * space.answers[p]
-                found = np.flatnonzero((shares >= self.thresholds["lcs"]) | (shares >= self.thresholds["paraphrase"]) & answers)
-                found = found[np.lexsort((w[found], p[found]))]
-                # neighbours of one piece: what fails on all of a stretch fails on every part of it
-                fresh = np.r_[True, (np.diff(p[found]) != 0) | (np.diff(chosen[w[found]]) != 1)]
-                place = np.arange(len(found)) - np.maximum.accumulate(np.where(fresh, np.arange(len(found)), 0))
-                for part in np.split(found, np.flatnonzero(place % TOGETHER == 0)[1:]) if len(found) else ():
-                    piece = self.pieces[members[p[part[0]]]]
-                    if len(part) > 1 and not self._verify(piece, self._words(ids[a[part[0]] : b[part[-1]]])):
-                        continue
-                    share = max(self._verify(piece, self._words(ids[a[k] : b[k]])) for k in part)
-                    if share > best.get(piece.item, 0.0):
-                        best[piece.item] = share
-        return sorted(best.items())
+                share = max(self._verify_numbers(space, row, own[a[k] : b[k]]) for k in part)
+                item = self.pieces[space.members[row]].item
+                if share > best.get(item, 0.0):
+                    best[item] = share
 
     def _words(self, ids: np.ndarray) -> list[str]:
         return list(map(self.names.__getitem__, ids.tolist()))
 
     def _verify(self, piece: Piece, words: list[str]) -> float:
         size = len(piece.words)
-        share = lcs_length(piece.masks, size, words, self.thresholds["paraphrase"] * size) / size
+        return self._judged(lcs_length(piece.masks, size, words, self.thresholds["paraphrase"] * size) / size, lambda: len(piece.answer.intersection(words)), len(piece.answer))
+
+    def _verify_numbers(self, space: Space, row: int, own: np.ndarray) -> float:
+        """``_verify``, of the piece in a row of a space and the space's rows of a stretch's words."""
+        size, masks = int(space.lengths[row]), space.masks[row]
+        hits = [masks[w] for w in own[space.holds[row][own]].tolist()]
+        return self._judged(_lcs_of_hits(hits, size, self.thresholds["paraphrase"] * size) / size, lambda: len(np.unique(own[space.answer_holds[row][own]])), int(space.answers[row]))
+
+    def _judged(self, share: float, answers_held: Callable[[], int], answers: int) -> float:
         if share >= self.thresholds["lcs"]:
             return share
-        if share >= self.thresholds["paraphrase"] and piece.answer and len(piece.answer.intersection(words)) >= self.thresholds["answer"] * len(piece.answer):
+        if share >= self.thresholds["paraphrase"] and answers and answers_held() >= self.thresholds["answer"] * answers:
             return share
         return 0.0
 
     def column(self, text: Column) -> Column:
         """array<struct<item_id, share>> of the leaks in a text column."""
-        return self._found(F.coalesce(text, F.lit("")), lambda detector, t: detector.find(t))
+        return self._found(F.coalesce(text, F.lit("")), lambda detector, t: numbers_of(t, detector.terms))
 
     def numbers_column(self, numbers: Column) -> Column:
         """``column``, for a column of packed numbers (``_scan``)."""
-        return self._found(numbers, lambda detector, x: detector.find_numbers(np.frombuffer(x, dtype=number_type(detector.terms)).astype(np.int32)))
+        return self._found(numbers, lambda detector, x: np.frombuffer(x, dtype=number_type(detector.terms)).astype(np.int32))
 
-    def _found(self, column: Column, find: Callable[[Detector, Any], list[tuple[int, float]]]) -> Column:
+    def _found(self, column: Column, numbers: Callable[[Detector, Any], np.ndarray]) -> Column:
         shared = (SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()).sparkContext.broadcast(self)
 
         @F.pandas_udf("array<struct<item_id:long,share:double>>")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             detector = shared.value
             for batch in batches:
-                yield pd.Series([[{"item_id": i, "share": s} for i, s in find(detector, x)] for x in batch])
+                found: list[list[tuple[int, float]]] = []
+                held: list[np.ndarray] = []
+                words_held = 0
+                for x in batch:
+                    held.append(numbers(detector, x))
+                    words_held += len(held[-1])
+                    if words_held > TOGETHER_WORDS:
+                        found += detector.find_each(held)
+                        held, words_held = [], 0
+                found += detector.find_each(held)
+                yield pd.Series([[{"item_id": i, "share": s} for i, s in leaks] for leaks in found])
 
         return run(column)
 
@@ -528,7 +597,8 @@ def _fit(scanned: DataFrame, terms: dict[str, int], pieces: list[Piece], rank: i
             for words, held in zip((pieces[k].words, pieces[k].answer), holds):
                 held[row, local[[terms[w] for w in words]]] = True
         lengths, answers = (np.array([len(x) for x in words]) for words in zip(*((pieces[k].words, pieces[k].answer) for k in members)))
-        spaces.append(Space(size, np.array(members), local, folded, lengths, answers, *holds))
+        masks = [{int(local[terms[w]]): mask for w, mask in pieces[k].masks.items()} for k in members]
+        spaces.append(Space(size, np.array(members), local, folded, lengths, answers, *holds, masks))
     return Detector(terms, idf, float(np.log(documents + 2)), pieces, spaces, limits)
 
 
